@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, exact_dedup, mixing, ngram_join, packing, quality_lm, secrets, toxicity
+from tidemark.llm import ann, exact_dedup, mixing, ngram_join, packing, quality_lm, quotation, secrets, toxicity
 from tidemark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
+    "op6_quotation": op6_quotation,
     "op7_quality_lm": op7_quality_lm,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
