@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, exact_dedup, mixing, ngram_join, packing, quality_lm, quotation, secrets, toxicity
+from tidemark.llm import ann, exact_dedup, mixing, ngram_join, packing, quality_lm, quotation, secrets, substring_dedup, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -50,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secrets": op3_secrets,
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
