@@ -99,14 +99,14 @@ def cumulative_series(spark, sf) -> DataFrame:
 @query(
     "anchors bars_session",
     LADDER + SERIES.format(days=1) + """, s AS (SELECT *, abs(cum_bps) AS size, (epoch_us(ts) - epoch_us(anchor_ts)) / 60000000 AS minute, last_value(cum_bps) OVER (PARTITION BY cluster_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS move FROM pts)
-SELECT cluster_id, instrument_id, round(first(cum_bps ORDER BY size DESC, ts), 6) AS peak_bps, round(first(minute ORDER BY size DESC, ts), 6) AS minutes_to_peak,
-  round(min(minute) FILTER (WHERE abs(move) >= 10 AND size >= abs(move) / 2 AND sign(cum_bps) = sign(move)), 6) AS minutes_to_half,
+SELECT cluster_id, instrument_id, round(first(cum_bps ORDER BY size DESC, ts), 6) AS peak_bps, round(first(minute ORDER BY size DESC, ts), 3) AS minutes_to_peak,
+  round(min(minute) FILTER (WHERE abs(move) >= 10 AND size >= abs(move) / 2 AND sign(cum_bps) = sign(move)), 3) AS minutes_to_half,
   CASE WHEN abs(any_value(move)) < 10 THEN 'flat' WHEN any_value(move) > 0 THEN 'up' ELSE 'down' END AS direction, round(any_value(move), 6) AS move_bps, count(*) AS n_points
 FROM s GROUP BY 1, 2""",
 )
 def reaction_summary(spark, sf) -> DataFrame:
     s = study.summary(study.series(V.anchors(spark, sf), V.bars_session(spark, sf), 1))
-    return s.select("cluster_id", "instrument_id", r6("peak_bps").alias("peak_bps"), r6("minutes_to_peak").alias("minutes_to_peak"), r6("minutes_to_half").alias("minutes_to_half"), "direction", r6("move_bps").alias("move_bps"), "n_points")
+    return s.select("cluster_id", "instrument_id", r6("peak_bps").alias("peak_bps"), F.round("minutes_to_peak", 3).alias("minutes_to_peak"), F.round("minutes_to_half", 3).alias("minutes_to_half"), "direction", r6("move_bps").alias("move_bps"), "n_points")
 
 
 @query(
