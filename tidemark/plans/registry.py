@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation, study
+from tidemark.plans import evaluation, relational, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (study, evaluation):
+for _module in (study, evaluation, relational):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
