@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,47 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of one Arrow batch: what a Python worker holds of its input at a time.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes; lowers the session's bound where it is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(key) or "").lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that Python objects of only a few rows live at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+#: Keys that a join by counts broadcasts, at most.
+HOT_KEYS = 500
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows with a table that has one row for each key and the key's number of rows in ``left``.
+
+    A key with more than its 500th part of the ``total`` rows would fill a task
+    of a shuffle, and adaptive splitting doesn't reach below an aggregate. Of
+    such keys there are 500 at most, so they are broadcast; the others shuffle.
+    """
+    limit = max(total // HOT_KEYS, 100)
+    cond = [F.col(a).eqNullSafe(F.col(b)) for a, b in on]
+    right = checkpoint(right)
+    is_hot = F.col(count) >= limit
+    if right.filter(is_hot).isEmpty():
+        return left.join(right, cond, how)
+    rest = left.join(F.broadcast(right.filter(is_hot).select(*[b for _, b in on])), cond, "left_anti")
+    return left.join(F.broadcast(right.filter(is_hot)), cond).unionByName(rest.join(right.filter(~is_hot), cond, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,29 +162,40 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node of each component, for all nodes that have an edge.
 
-    Alternating large-star and small-star steps, which need a number of rounds
-    logarithmic in the size of a component. Every round is a map-side summed
-    minimum and a join; its edges go to the shared checkpoint folder. Self
-    edges and repeated edges are allowed; an empty table gives an empty one.
+    Labels start as the least neighbour and pass along edges until none
+    changes; from the third round on labels also take their label's label, so
+    long chains need rounds logarithmic in their length. Edges stay dealt by
+    their source and labels by their node, so a round shuffles only messages,
+    minima of which are taken on the map side. Sources with very many edges,
+    500 at most, get their labels by broadcast. Self edges and repeated edges
+    are allowed; an empty table gives an empty one.
     """
-
-    def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_m", "a").alias("_m"))
-        return pairs.join(least, F.col("a") == F.col("_a"))
-
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-    every = e.select(F.col("a").alias("node")).union(e.select("b"))
-    e = e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = checkpoint(e), None
+    both = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x in "ab" for y in "ab"])
+    each = checkpoint(e.select(F.explode(both).alias("e")).select("e.u", "e.v").repartition("u").distinct())
+    limit = max(each.count() // HOT_KEYS, 100)
+    hot = [r["u"] for r in each.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select("u").collect()]
+    is_hot = F.col("u").isin(hot) if hot else F.lit(False)
+    cold, wide = each, None
+    if hot:
+        cold, wide = each.filter(~is_hot), checkpoint(each.filter(is_hot).select("v", "u").repartition("v"))
+    labels = checkpoint(each.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label"))
+    done = 1
     while True:
-        both = e.union(e.select("b", "a"))
-        large = star(both).filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = star(down)
-        e = checkpoint(small.select("a", F.col("_m").alias("b")).union(small.select(F.col("b"), F.col("_m"))).filter("a <> b").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = e.select(F.col("a").alias("_n"), F.col("b").alias("component"))
-    return every.distinct().join(roots, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "node").alias("component"))
+        said = cold.join(labels, F.col("u") == F.col("node")).select("v", "label")
+        if wide is not None:
+            said = said.unionByName(wide.join(F.broadcast(labels.filter(F.col("node").isin(hot))), F.col("u") == F.col("node")).select("v", "label"))
+        now = said.groupBy("v").agg(F.min("label").alias("now"))
+        # nodes of hot sources hear from themselves too, so every node has a message
+        both = now.join(labels, F.col("v") == F.col("node")).select("node", F.least("now", "label").alias("label"), (F.col("now") < F.col("label")).alias("changed"))
+        state = checkpoint(both)
+        done += 1
+        if state.filter("changed").isEmpty():
+            return state.select("node", F.col("label").alias("component"))
+        labels = state.select("node", "label")
+        if done >= 3:
+            up = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+            sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_c")).withColumnRenamed("label", "_k")
+            roots = sizes.join(up, F.col("_k") == F.col("_n")).select("_k", "_l", "_c")
+            jumped = join_counted(labels, roots, [("label", "_k")], "_c", limit * HOT_KEYS)
+            labels = checkpoint(jumped.groupBy("node").agg(F.min(F.least("label", "_l")).alias("label")))

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, connected_components, filter_bits, member_filter, with_flag
-from tidemark.llm.common import without_ids
+from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, sliced, with_flag, without_ids
 from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, mix, shingle_hashes, text_key, words_of
 
 THRESHOLD = 0.8
@@ -57,7 +56,7 @@ def prefix_keys(sig: np.ndarray, depth: int, trees: int = TREES, levels: int = D
 
 def _signed(batches: Iterator[pa.RecordBatch], depth: int, n: int) -> Iterator[pa.RecordBatch]:
     hashes, minhash = WordHashes(), MinHash(TREES * DEPTH)
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         nodes, parts = [], []
         for text in texts:
@@ -178,7 +177,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float, target: float
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], ["node", "root", "links"])
 
     at, block = None, _Block()
-    for batch in batches:
+    for batch in sliced(batches):
         for comp, bi, bj, side, node, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
             if at != (comp, bi, bj):
                 if at:
@@ -207,33 +206,37 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     floor = shortest_depth(threshold, target)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpoint(source.mapInArrow(lambda it: _signed(it, floor, n), "doc_id long, node binary, n_shingles long, keys array<long>"))
+    signed = checkpoint(map_arrow(source, lambda it: _signed(it, floor, n), "doc_id long, node binary, n_shingles long, keys array<long>"))
     nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     nodes = checkpoint(nodes)
+    n_rows, n_nodes = signed.count(), nodes.count()
     posts = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    hubs = posts.groupBy("tree", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("tree").alias("_t"), F.col("key").alias("_k"), "hub")
-    stars = posts.join(hubs, (F.col("tree") == F.col("_t")) & (F.col("key") == F.col("_k"))).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = posts.groupBy("tree", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("tree").alias("_t"), F.col("key").alias("_k"), "hub", "m")
+    stars = join_counted(posts, hubs, [("tree", "_t"), ("key", "_k")], "m", n_nodes * TREES).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     comps = connected_components(stars)
 
     # components in blocks of bounded size, the texts of their nodes brought to them
     members = checkpoint(comps.withColumnRenamed("node", "_n").join(nodes.drop("keys"), F.col("_n") == F.col("node")).drop("_n"))
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n_blocks")).withColumnRenamed("component", "_c")
-    members = members.join(sizes, F.col("component") == F.col("_c")).select(F.col("min_id"), "node", "component", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("side"))
-    bits = filter_bits(nodes.count())
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n_blocks"), F.count(F.lit(1)).alias("m")).withColumnRenamed("component", "_c")
+    members = join_counted(members, sizes, [("component", "_c")], "m", n_nodes).select(F.col("min_id"), "node", "component", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("side"))
+    bits = filter_bits(n_nodes)
     wanted = with_flag(source, F.xxhash64("doc_id"), bits, member_filter(members, F.xxhash64("min_id"), bits), "_wanted").filter("_wanted")
     texts = wanted.join(members, F.col("doc_id").eqNullSafe(F.col("min_id")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
     blocks = texts.withColumn("_p", F.explode(pairs)).select("component", F.col("_p.i").alias("bi"), F.col("_p.j").alias("bj"), "side", "node", "copies", "text")
     blocks = blocks.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    linked = checkpoint(blocks.mapInArrow(lambda it: _verified(it, threshold, target, floor, n), "node binary, root binary, links long"))
+    linked = checkpoint(map_arrow(blocks, lambda it: _verified(it, threshold, target, floor, n), "node binary, root binary, links long"))
     classes = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_l")
     ids = nodes.select(F.col("node").alias("_n"), "min_id", "copies")
     known = ids.join(classes, F.col("_n") == F.col("node"), "left").join(links, F.col("_n") == F.col("_l"), "left").select("_n", "min_id", "copies", F.coalesce("component", "_n").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    least = known.groupBy("root").agg(F.min("min_id").alias("class_id")).withColumnRenamed("root", "_r")
-    known = known.join(least, F.col("root") == F.col("_r")).select("_n", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "node", "n_shingles").join(known, (F.col("node") == F.col("_n")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    least = known.groupBy("root").agg(F.min("min_id").alias("class_id"), F.count(F.lit(1)).alias("m")).withColumnRenamed("root", "_r")
+    known = join_counted(known, least, [("root", "_r")], "m", n_nodes).select("_n", "copies", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    known = checkpoint(known)
+    worded = signed.filter("n_shingles > 0").select("doc_id", "node")
+    out = join_counted(worded, known, [("node", "_n")], "copies", n_rows).select("doc_id", "class_id", "n_links")
+    alone = signed.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

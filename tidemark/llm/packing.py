@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_arrow, sliced
+
 WINDOW = 2048
 END_ID = 1
 #: Remainders that wait at once; beyond this the oldest windows are closed with what fits best.
@@ -206,7 +208,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, window: int, with_ids:
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = encoder.of(text or "") + end
             tokens = len(raw) // 4
@@ -232,4 +234,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _packed(it, path, window, with_ids), FIELDS + ", ids array<int>" * with_ids)
+    return map_arrow(rows, lambda it: _packed(it, path, window, with_ids), FIELDS + ", ids array<int>" * with_ids)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import Isotonic, Trees
+from tidemark.llm.common import map_arrow, sliced
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
@@ -105,7 +106,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return batch
 
-    for batch in batches:
+    for batch in sliced(batches):
         for text, half, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = set(words_of((text or "").encode("utf-8", "replace")))
             for w in words | {b for w in words for b in beginnings(w)}:
@@ -116,7 +117,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch], lexicons: tuple[frozenset, frozenset]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts, half = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
         x = np.zeros((len(texts), len(FEATURES)))
         for k in (0, 1):  # the other half's lexicon
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     toxic, clean = ([totals.get((k, v), 0) for k in (0, 1)] for v in (1, 0))
     if not sum(toxic) or not sum(clean):
         return Model(frozenset(), None, None, 1.0 if sum(toxic) else 0.0)
-    counts = rows.select("text", "half", "y").mapInArrow(_counted, "word binary, half int, toxic long, clean long")
+    counts = map_arrow(rows.select("text", "half", "y"), _counted, "word binary, half int, toxic long, clean long")
     counts = counts.groupBy("word").agg(*[F.sum(F.when(F.col("half") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("toxic", "clean")])
     # only candidates come to the driver: words that are RATIO times as frequent in toxic rows
     t, c = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     likely = [(bytes(r["word"]), r["toxic0"], r["clean0"], r["toxic1"], r["clean1"]) for r in likely.collect()]
     halves = tuple(lexicon_of([(r[0], r[1 + 2 * k], r[2 + 2 * k]) for r in likely], toxic[k], clean[k]) for k in (0, 1))
     full = lexicon_of([(r[0], r[1] + r[3], r[2] + r[4]) for r in likely], sum(toxic), sum(clean))
-    sample = rows.select("text", "half", "y", "part").mapInArrow(lambda it: _featured(it, halves), "y int, part int, x array<double>").toPandas()
+    sample = map_arrow(rows.select("text", "half", "y", "part"), lambda it: _featured(it, halves), "y int, part int, x array<double>").toPandas()
     x, y, part = np.array(sample["x"].tolist()), sample["y"].to_numpy(np.float64), sample["part"].to_numpy()
     order = np.lexsort([*x.T, y, part])  # rows arrive in any order
     x, y, part = x[order], y[order], part[order]
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         score = model.score(batch.column(batch.schema.get_field_index("_text")).to_pylist())
         columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_text"]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [f.name for f in batch.schema if f.name != "_text"] + ["score"])
@@ -191,7 +192,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     """
     model = fit(docs, labels, max_train, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    scored = rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double")
+    scored = map_arrow(rows, lambda it: _scored(it, model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -201,5 +202,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col(text_col).alias("_text"))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names))
-    scored = rows.mapInArrow(lambda it: _scored(it, model), f"{schema}, score double")
+    scored = map_arrow(rows, lambda it: _scored(it, model), f"{schema}, score double")
     return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
