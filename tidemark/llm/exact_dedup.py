@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, filter_bits, repeat_filter, with_flag
+from tidemark.llm.common import checkpoint, filter_bits, join_counted, repeat_filter, with_flag
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,13 +34,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")))
     h = F.xxhash64("text_sha256")
-    bits = filter_bits(rows.count())
+    n = rows.count()
+    bits = filter_bits(n)
     flagged = with_flag(rows, h, bits, repeat_filter(rows, h, bits), "_maybe")
     alone = flagged.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     # equal (text, id) pairs are one row with a count here, and rows again at the end
     same = flagged.filter("_maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_n"))
     best = same.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("_n").alias("group_size")).withColumnRenamed("text_sha256", "_sha")
-    joined = same.join(best, F.col("text_sha256") == F.col("_sha")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    joined = join_counted(same, best, [("text_sha256", "_sha")], "group_size", n).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)
     return alone.unionByName(joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
 
