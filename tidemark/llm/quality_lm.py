@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, map_arrow, sliced
 
-ORDER = 6
+ORDER = 5
 QUANTILE = 0.995
 #: One trusted document in so many calibrates the thresholds and trains nothing.
 CALIBRATING = 5
 #: N-grams and contexts of one broadcast shard: some 12 bytes each.
 SHARD_ROWS = 4_000_000
+#: Rows of a part of the count tables, which are far smaller than the texts.
+PART_ROWS = 250_000
 _PAD = b"\n"
 
 
@@ -120,9 +122,11 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     rows = texts.select(F.col(texts.columns[0]).alias("text"))
     top = map_arrow(rows, lambda it: _counted(it, order), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     counts = {order: checkpoint(top)}
+    parts = counts[order].count() // PART_ROWS + 1
+    counts[order] = counts[order].coalesce(parts)
     for n in range(order - 1, 0, -1):  # in how many ways a shorter n-gram continues a byte
         short = F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
-        counts[n] = checkpoint(counts[n + 1].groupBy(short.alias("key")).agg(F.count(F.lit(1)).alias("c")))
+        counts[n] = checkpoint(counts[n + 1].groupBy(short.alias("key")).agg(F.count(F.lit(1)).alias("c")).coalesce(parts))
     grams, contexts, lower = [], [], None
     for n in range(1, order + 1):
         t = counts[n]
@@ -144,12 +148,12 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         else:
             short = F.col("key").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))
             p = joined.withColumn("_short", short).join(lower.select(F.col("key").alias("_lower"), F.col("p").alias("_p")), F.col("_short") == F.col("_lower")).select("key", (own + w * F.col("_p")).alias("p"))
-        lower = checkpoint(p)
+        lower = checkpoint(p.coalesce(parts))
         turn = F.shiftright("key", 8).bitwiseAND(F.lit(255)) if n > 1 else F.lit(-1).cast("long")
         grams.append(lower.select(F.lit(n).alias("n"), turn.cast("int").alias("turn"), "key", F.log("p").alias("logp")))
         last = F.col("context").bitwiseAND(F.lit(255)) if n > 1 else F.lit(-1).cast("long")
         contexts.append(totals.select(F.lit(n - 1).alias("n"), last.cast("int").alias("turn"), F.col("context").alias("key"), F.log(F.greatest(w, F.lit(1e-300))).alias("logw")))
-    union = lambda parts: checkpoint(_union(parts))
+    union = lambda tables: checkpoint(_union(tables))
     return Model(union(grams), union(contexts), order)
 
 
