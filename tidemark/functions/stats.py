@@ -54,7 +54,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
 
     both = df.join(ranks(x), [*by, x]).join(ranks(y), [*by, y]) if by else df.join(ranks(x), x).join(ranks(y), y)
     varied = (F.count(F.lit(1)) >= 3) & (F.min(f"_r{x}") < F.max(f"_r{x}")) & (F.min(f"_r{y}") < F.max(f"_r{y}"))
-    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.corr(f"_r{x}", f"_r{y}")).alias("rho"))
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.try_divide(F.covar_pop(f"_r{x}", f"_r{y}"), F.stddev_pop(f"_r{x}") * F.stddev_pop(f"_r{y}"))).alias("rho"))
 
 
 def max_drawdown(trades: DataFrame, start: float, by: list[str], at: list[str], pnl: str = "realized_usd") -> DataFrame:
