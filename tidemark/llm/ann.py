@@ -164,13 +164,10 @@ class Shard:
 
     def add(self, vector: bytes, ids: list[int]) -> None:
         have = self.ids.setdefault(vector, [])
-        have.extend(ids)
-        if len(have) > self.k + 1:
-            have.sort()
-            del have[self.k + 1 :]
+        have[:] = sorted({*have, *ids})[: self.k + 1]
 
     def build(self) -> None:
-        self.lists = [sorted(v) for v in self.ids.values()]
+        self.lists = list(self.ids.values())
         self.vectors = np.frombuffer(b"".join(self.ids), np.float64).reshape(len(self.ids), -1) if self.ids else np.zeros((0, 0))
         self.ids = {}
         rest = np.sqrt(np.maximum(self.top**2 - (self.vectors**2).sum(1), 0))
@@ -199,7 +196,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch], shards: int, k: int) -> Iterat
 
     def out() -> pa.RecordBatch:
         keys = list(held)
-        ids = [sorted(held[v])[: k + 1] for v in keys]
+        ids = [sorted({*held[v]})[: k + 1] for v in keys]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(v) % shards for v in keys], pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(keys, pa.binary())], ["shard", "kind", "ids", "vector"])
 
@@ -208,7 +205,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch], shards: int, k: int) -> Iterat
             have = held.setdefault((np.array(v, np.float64) + 0.0).tobytes(), [])  # -0.0 equals 0.0
             have.append(i)
             if len(have) > 8 * k:
-                have[:] = sorted(have)[: k + 1]
+                have[:] = sorted({*have})[: k + 1]
         if len(held) > 20_000:
             yield out()
     yield out()

@@ -145,15 +145,19 @@ def with_flag(df: DataFrame, h: Column, bits: int, bitmaps: DataFrame, flag: str
     return out.withColumn(flag, tests[0] & tests[1]).drop("_h", *[f"_{x}{i}" for x in ("bucket", "bitmap", "slot") for i in (0, 1)])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows as one column ``row``, so that no column of theirs can clash with a helper's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id isn't in ``ids``. Only rows that a bounded filter can't clear shuffle."""
-    ids = ids.select(F.col(id_col).alias("_gone")).distinct()
-    h = F.xxhash64(F.col(id_col))
+    ids = ids.select(F.col(id_col).alias("gone")).distinct()
+    own = F.col(f"row.{id_col}")
     bits = filter_bits(ids.count())
-    flagged = with_flag(docs, h, bits, member_filter(ids, F.xxhash64("_gone"), bits), "_maybe")
-    clear = flagged.filter(~F.col("_maybe")).drop("_maybe")
-    rest = flagged.filter("_maybe").drop("_maybe")
-    return clear.unionByName(rest.join(ids, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti"))
+    flagged = with_flag(packed(docs), F.xxhash64(own), bits, member_filter(ids, F.xxhash64("gone"), bits), "maybe")
+    rest = flagged.filter("maybe").join(ids, own.eqNullSafe(F.col("gone")), "left_anti")
+    return flagged.filter(~F.col("maybe")).select("row.*").unionByName(rest.select("row.*"))
 
 
 # --- connected components -------------------------------------------------

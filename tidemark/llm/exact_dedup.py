@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, filter_bits, join_counted, repeat_filter, with_flag
+from tidemark.llm.common import checkpoint, filter_bits, join_counted, packed, repeat_filter, with_flag
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,15 +51,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat an id break ties by the other columns, so reruns agree.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    h = F.xxhash64(F.lower(text))  # coarser than the equality, so nothing equal is told apart
+    rows = packed(docs)
+    text = F.col(f"row.{text_col}")
+    h = F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))  # coarser than the equality, so nothing equal is told apart
     bits = filter_bits(docs.count())
-    flagged = with_flag(docs, h, bits, repeat_filter(docs, h, bits), "_maybe")
-    alone = flagged.filter(~F.col("_maybe")).drop("_maybe")
-    rest = [c for c in docs.columns if c != id_col]
-    whole = F.struct(F.col(id_col), *[F.col(c) for c in rest])
-    best = flagged.filter("_maybe").groupBy(F.sha2(normalised(F.col(text_col)), 256).alias("_sha")).agg(F.max(whole).alias("_row"))
-    return alone.unionByName(best.select("_row.*").select(*docs.columns))
+    flagged = with_flag(rows, h, bits, repeat_filter(rows, h, bits), "maybe")
+    whole = F.struct(F.col(f"row.{id_col}").alias("id"), F.col("row"))
+    best = flagged.filter("maybe").groupBy(F.sha2(normalised(text), 256).alias("sha")).agg(F.max(whole).alias("best"))
+    return flagged.filter(~F.col("maybe")).select("row.*").unionByName(best.select("best.row.*"))
 
 
 ORACLE = """
