@@ -11,6 +11,10 @@ from tidemark.functions.money import return_bps
 from tidemark.operators.asof import asof, settled, with_next
 
 
+#: From the loaded window's start to its end: no bar that a horizon may use is older.
+REACH_HOURS = C.WINDOW_BEFORE_HOURS + 24 * C.WINDOW_AFTER_DAYS
+
+
 def minutes(n: int | Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), n if isinstance(n, Column) else F.lit(n))
 
@@ -41,7 +45,7 @@ def anchor_bars(anchors: DataFrame, bars: DataFrame, clock: str = "anchor_ts") -
     """Anchors with ``a``: the settled bar a minute before the clock, so that it had closed; others are left out."""
     window_end = F.col(clock) + days(C.WINDOW_AFTER_DAYS)
     probes = anchors.filter(F.col(clock).isNotNull()).withColumn("at", F.col(clock) - minutes(1))
-    got = asof(probes, with_next(bars, ["instrument_id"]), ["instrument_id"], "at", name="a")
+    got = asof(probes, with_next(bars, ["instrument_id"]), ["instrument_id"], "at", name="a", max_age_hours=C.WINDOW_BEFORE_HOURS)
     in_window = F.col("a.ts") >= F.col(clock) - F.make_dt_interval(F.lit(0), F.lit(C.WINDOW_BEFORE_HOURS))
     return got.filter(in_window & settled(F.col("at"), F.col("a"), C.FRESH_MINUTES, window_end)).withColumn("window_end", window_end)
 
@@ -55,7 +59,7 @@ def ladder(anchors: DataFrame, bars: DataFrame, clock: str = "anchor_ts") -> Dat
     """
     a = anchor_bars(anchors, bars, clock)
     probes = a.withColumn("h", F.explode(horizon_frame())).select("*", "h.*").drop("h", "at").withColumn("at", F.col(clock) + minutes(F.col("minutes")))
-    got = asof(probes, with_next(bars, ["instrument_id"]), ["instrument_id"], "at", name="b")
+    got = asof(probes, with_next(bars, ["instrument_id"]), ["instrument_id"], "at", name="b", max_age_hours=REACH_HOURS)
     got = got.filter(settled(F.col("at"), F.col("b"), C.FRESH_MINUTES, F.col("window_end")))
     stale = F.col("b.ts") <= F.col("a.ts")
     near = F.col("falls") & (F.col("b.next_ts") <= F.col("at") + days(C.FALL_FORWARD_DAYS)) & (F.col("b.next_ts") <= F.col("window_end"))
@@ -74,8 +78,8 @@ def abnormal(rows: DataFrame, bars: DataFrame, betas: DataFrame, benchmark: int,
     bench = with_next(bars.filter(F.col("instrument_id") == benchmark), ["instrument_id"]).drop("instrument_id").withColumn("one", F.lit(1))
     window_end = F.col(clock) + days(C.WINDOW_AFTER_DAYS)
     r = rows.join(betas.select("instrument_id", "beta"), "instrument_id", "left").withColumn("one", F.lit(1)).withColumn("at", F.col(clock) - minutes(1))
-    r = asof(r, bench, ["one"], "at", name="ba")
-    r = asof(r, bench, ["one"], "used_ts", name="bb")
+    r = asof(r, bench, ["one"], "at", name="ba", max_age_hours=C.WINDOW_BEFORE_HOURS)
+    r = asof(r, bench, ["one"], "used_ts", name="bb", max_age_hours=REACH_HOURS)
     from_ok = settled(F.col("at"), F.col("ba"), C.FRESH_MINUTES, window_end) & (F.col("ba.ts") >= F.col(clock) - F.make_dt_interval(F.lit(0), F.lit(C.WINDOW_BEFORE_HOURS)))
     to_ok = settled(F.col("used_ts"), F.col("bb"), C.FRESH_MINUTES, window_end) & (F.col("bb.ts") > F.col("ba.ts"))
     ok = F.col("beta").isNotNull() & from_ok & to_ok

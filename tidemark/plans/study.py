@@ -175,8 +175,8 @@ def latency_by_source(spark, sf) -> DataFrame:
 
 @query("signals bars_1m", """, b AS (SELECT * FROM bars_1m) SELECT signal_id, y.ts AS quote_ts, y.close AS quote FROM signals x ASOF JOIN b y ON x.instrument_id = y.instrument_id AND y.ts <= x.anchor_ts WHERE x.anchor_ts - y.ts <= INTERVAL 24 HOUR""")
 def asof_quote_24h(spark, sf) -> DataFrame:
-    got = asof(V.signals(spark, sf), V.bars_1m(spark, sf), ["instrument_id"], "anchor_ts", name="q")
-    return got.filter(fresh(F.col("anchor_ts"), F.col("q.ts"), 60 * C.QUOTE_AGE_HOURS)).select("signal_id", F.col("q.ts").alias("quote_ts"), F.col("q.close").alias("quote"))
+    got = asof(V.signals(spark, sf), V.bars_1m(spark, sf), ["instrument_id"], "anchor_ts", name="q", max_age_hours=C.QUOTE_AGE_HOURS)
+    return got.filter("q IS NOT NULL").select("signal_id", F.col("q.ts").alias("quote_ts"), F.col("q.close").alias("quote"))
 
 
 @query(
