@@ -43,3 +43,16 @@ def apply_versions(history: DataFrame, wanted: DataFrame, keys: list[str], now:
     kept = open_rows.join(wanted.select(*keys).distinct(), keys, "left_semi")
     new = wanted.select(*keys).distinct().join(open_rows.select(*keys), keys, "left_anti").withColumns({"valid_from": now.cast(dict(history.dtypes)["valid_from"]), "valid_to": F.lit(None).cast(dict(history.dtypes)["valid_to"])})
     return history.filter("valid_to IS NOT NULL").unionByName(gone).unionByName(kept).unionByName(new)
+
+
+def extended(minute: DataFrame, daily: DataFrame) -> DataFrame:
+    """Minute closes followed by daily ones: a day's close counts at the day's end, and only past the last minute bar."""
+    last = minute.groupBy(F.col("instrument_id").alias("_i")).agg(F.max("ts").alias("_last"))
+    d = daily.select("instrument_id", (F.col("ts") + F.make_dt_interval(F.lit(1))).alias("ts"), "close").join(last, F.col("instrument_id") == F.col("_i")).filter("ts > _last")
+    return minute.select("instrument_id", "ts", "close").unionByName(d.select("instrument_id", "ts", "close"))
+
+
+def seeded(spark, rows: list[tuple[str, str]], since: str = "2020-01-01") -> DataFrame:
+    """A curated list of (symbol, name) as open-ended membership."""
+    df = spark.createDataFrame(rows, "symbol string, name string")
+    return df.select("symbol", "name", F.lit(since).cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
