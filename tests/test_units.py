@@ -482,3 +482,35 @@ def test_cursor_source_in_batch_and_stream(spark, tmp_path):
     (folder / "b.jsonl").write_text(line(3, "2024-01-03"))
     assert poll() == ["1", "2", "3"]
     assert cursor.enabled({"a": (), "b": ("KEY",)}, {}) == ["a"]
+
+
+def test_attachment_batch_by_batch_equals_all_at_once(spark):
+    from tidemark.streaming import clusters
+
+    rows = [(1, "fed holds rates steady", at(0)), (2, "fed holds rates steady today", at(30)), (3, "storm hits coast", at(40)), (4, "fed holds rates steady now", at(60)), (5, "storm hits the coast", at(70)), (6, "fed holds rates steady", at(60 * 100))]
+    df = spark.createDataFrame([(i, t, str(hash(t)), ts, None) for i, t, ts in rows], "item_id long, title string, content_hash string, received_at timestamp_ntz, cik string")
+    members = df.limit(0).withColumn("leader_id", F.lit(0).cast("long"))
+    for ids in ([1, 2], [3, 4], [5], [6]):
+        batch = df.filter(F.col("item_id").isin(ids))
+        now = F.lit(max(ts for i, _, ts in rows if i in ids))
+        got = clusters.attach(batch, members, now)
+        members = members.unionByName(batch.join(got.select("item_id", "leader_id"), "item_id")).checkpoint()
+        assert clusters.attach(batch, members, now).count() == 0
+    assert {r["item_id"]: r["leader_id"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 3, 6: 6}
+    gone = clusters.closed(members.withColumn("source", F.lit("s")), F.lit(at(60 * 60)))
+    assert {r["leader_id"]: r["n_items"] for r in gone.collect()} == {1: 3, 3: 2}
+
+
+def test_broker_places_once_and_rejects_without_a_quote(spark):
+    from tidemark.operators import broker
+
+    intents = spark.createDataFrame([("a", 1, "buy", Decimal(2), "us_equity"), ("a", 1, "buy", Decimal(2), "us_equity"), ("b", 9, "buy", Decimal(1), "crypto"), ("c", 1, "sell", Decimal(1), "crypto")], "client_order_id string, instrument_id long, side string, qty decimal(20,8), asset_class string")
+    got = {r["client_order_id"]: (r["status"], r["fill_price"], r["fee"]) for r in broker.place(intents, spark.createDataFrame([("c",)], "client_order_id string"), bars(spark, [(-5, 100)]), F.lit(at(0))).collect()}
+    assert got == {"a": ("filled", Decimal("100.050000"), Decimal("0.000000")), "b": ("rejected", None, None)}
+
+
+def test_cli_lists_and_renders(spark, capsys):
+    from tidemark import cli
+
+    assert cli.main(["list"]) == 0 and "reaction_ladder" in capsys.readouterr().out
+    assert cli.markdown(spark.createDataFrame([(1, "a|b")], "x int, y string")).endswith("| 1 | a\\|b |")
