@@ -176,13 +176,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     both = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x in "ab" for y in "ab"])
-    each = checkpoint(e.select(F.explode(both).alias("e")).select("e.u", "e.v").repartition("u").distinct())
+    each = checkpoint(e.select(F.explode(both).alias("e")).select("e.u", "e.v").distinct())
     limit = max(each.count() // HOT_KEYS, 100)
     hot = [r["u"] for r in each.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select("u").collect()]
-    is_hot = F.col("u").isin(hot) if hot else F.lit(False)
+    # edges of hot sources stay dealt by both ends, all others are dealt by their source once
     cold, wide = each, None
     if hot:
-        cold, wide = each.filter(~is_hot), checkpoint(each.filter(is_hot).select("v", "u").repartition("v"))
+        cold, wide = each.filter(~F.col("u").isin(hot)), each.filter(F.col("u").isin(hot))
+    cold = checkpoint(cold.repartition("u"))
     labels = checkpoint(each.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label"))
     done = 1
     while True:
