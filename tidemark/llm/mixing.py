@@ -14,7 +14,7 @@ the largest size down, carrying each cell's error in words to the next, so a
 source ends within about half its smallest document of its target. Which
 documents of a cell get the extra copy goes by a hash of their id, so reruns
 agree. Large cells are dealt over hash buckets, with a quota for each, so that
-no task ranks more than some thousands of rows.
+no group that a task ranks has more than some hundreds of rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 ITERATIONS, TOLERANCE = 60, 1e-9
 #: Rows of a cell that one task ranks, about.
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 500
 _LIMIT = 700.0
 
 
