@@ -9,8 +9,8 @@ links are what is cut: the first paragraph of each stays, all others go.
 
 A passage pasted into the middle of a paragraph leaves the paragraphs around it
 unlike, so sentences are compared too, by exact hashes: runs of successive
-sentences that occurred earlier in the corpus go, when they add up to
-``LEAST_WORDS`` words. Order is by doc_id and then by position.
+sentences that an earlier document has go, when they add up to ``LEAST_WORDS``
+words. Order is by doc_id and then by position.
 """
 
 from __future__ import annotations
@@ -81,10 +81,10 @@ def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int)
         parts: list[np.ndarray] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for start, end, line in paragraphs(text):
-                words = words_of(line)
-                found = []
+                words, found = [], []
                 for s, e, body in sentences(start, line):
-                    w = body.lower().split()
+                    w = words_of(body)
+                    words += w
                     if len(w) >= LEAST_SENTENCE:
                         found.append((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - (1 << 63), s, e, len(w)))
                 node = None
@@ -255,13 +255,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = join_counted(parts.filter("node is not null").select("doc_id", "start", "end", "n_words", "node"), known, [("node", "_n")], "n", total)
     lines = lines.filter(F.struct("doc_id", "start") > F.col("keep"))
 
-    # sentences: exact, the first of each stays
+    # sentences: exact, those of the first document stay
     each = parts.select("doc_id", F.explode(F.arrays_zip("s_hash", "s_start", "s_end", "s_words")).alias("s")).select("doc_id", F.col("s.s_hash").alias("h"), F.col("s.s_start").alias("start"), F.col("s.s_end").alias("end"), F.col("s.s_words").alias("n_words"))
-    twice = each.groupBy("h").agg(F.min(at).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("h", "_h")
-    repeats = join_counted(each, twice, [("h", "_h")], "n", 4 * total).filter(F.struct("doc_id", "start") > F.col("keep"))
+    twice = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select(F.col("h").alias("_h"), "first", "n")
+    repeats = join_counted(each, twice, [("h", "_h")], "n", 4 * total).filter("doc_id > first")
 
-    span = F.struct("start", "end", "n_words", F.col("keep.doc_id").alias("keep"))
-    cut = lines.select("doc_id", span.alias("x")).unionByName(repeats.select("doc_id", span.alias("x"))).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))
+    span = lambda keep: F.struct("start", "end", "n_words", F.col(keep).alias("keep")).alias("x")
+    cut = lines.select("doc_id", span("keep.doc_id")).unionByName(repeats.select("doc_id", span("first"))).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))
     out = map_arrow(cut, lambda it: _merged(it, least), "doc_id long, start long, end long, n_words long, keep_doc_id long")
     back = lambda c: F.when(F.col(c) != -(1 << 62), F.col(c)).alias(c)
     return out.select(back("doc_id"), "start", "end", "n_words", back("keep_doc_id"))
