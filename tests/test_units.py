@@ -514,3 +514,12 @@ def test_cli_lists_and_renders(spark, capsys):
 
     assert cli.main(["list"]) == 0 and "reaction_ladder" in capsys.readouterr().out
     assert cli.markdown(spark.createDataFrame([(1, "a|b")], "x int, y string")).endswith("| 1 | a\\|b |")
+
+
+def test_everything_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)

@@ -29,7 +29,8 @@ def r6(c):
     return F.round(c, 6)
 
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count(F.lit(1)).alias("n")
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://\S+', ' ', 'g'), '[^\p{{L}}\p{{N}}$%.]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -42,7 +43,7 @@ def normalised_headlines(spark, sf) -> DataFrame:
 @query("news_items", f"SELECT sha256({NORM.format("headline || ' ' || body")}) AS content_hash, min(item_id) AS first_item, count(*) AS n FROM news_items GROUP BY 1 HAVING count(*) > 1")
 def content_hash_dups(spark, sf) -> DataFrame:
     i = V.news_items(spark, sf).groupBy(X.content_hash(F.col("headline"), F.col("body")).alias("content_hash"))
-    return i.agg(F.min("item_id").alias("first_item"), n).filter("n > 1")
+    return i.agg(F.min("item_id").alias("first_item"), n()).filter("n > 1")
 
 
 @query("news_items", f"SELECT source, count(*) AS items, count(DISTINCT sha256({NORM.format("headline || ' ' || body")})) AS stories, round(1 - count(DISTINCT sha256({NORM.format("headline || ' ' || body")})) / count(*), 6) AS collapse FROM news_items GROUP BY 1")
@@ -54,7 +55,7 @@ def dedup_ratio(spark, sf) -> DataFrame:
 @query("news_items", f"SELECT left(any_value({NORM.format('headline')}), 88) AS headline, count(*) AS n, count(DISTINCT source) AS sources FROM news_items GROUP BY sha256({NORM.format('headline')}) ORDER BY n DESC, min(item_id) LIMIT 10")
 def top_clusters(spark, sf) -> DataFrame:
     """A report of the ten largest stories."""
-    i = V.news_items(spark, sf).groupBy(X.normalised(F.col("headline")).alias("h")).agg(n, F.countDistinct("source").alias("sources"), F.min("item_id").alias("first"))
+    i = V.news_items(spark, sf).groupBy(X.normalised(F.col("headline")).alias("h")).agg(n(), F.countDistinct("source").alias("sources"), F.min("item_id").alias("first"))
     return i.orderBy(F.desc("n"), "first").limit(10).select(F.left("h", F.lit(88)).alias("headline"), "n", "sources")
 
 
@@ -119,7 +120,7 @@ def lede(spark, sf) -> DataFrame:
 
 @query("", "SELECT session, count(*) AS n FROM (SELECT CASE WHEN isodow(lt) >= 6 THEN 'weekend' WHEN hour(lt) * 60 + minute(lt) BETWEEN 240 AND 569 THEN 'pre' WHEN hour(lt) * 60 + minute(lt) BETWEEN 570 AND 959 THEN 'rth' WHEN hour(lt) * 60 + minute(lt) BETWEEN 960 AND 1199 THEN 'post' ELSE 'overnight' END AS session FROM (SELECT timezone('America/New_York', timezone('UTC', ts)) AS lt FROM events)) GROUP BY 1")
 def session_buckets(spark, sf) -> DataFrame:
-    return V.table(spark, sf, "events").groupBy(dates.session(F.col("ts")).alias("session")).agg(n)
+    return V.table(spark, sf, "events").groupBy(dates.session(F.col("ts")).alias("session")).agg(n())
 
 
 # News about nations: customers write it, nations are the instruments.
@@ -158,7 +159,7 @@ def resolve_items(spark, sf) -> DataFrame:
 @query("", RESOLVED + "SELECT method, count(*) AS n, count(DISTINCT item_id) AS items, CAST(count_if(c >= 0.75) AS BIGINT) AS tradable FROM (SELECT item_id, first(method ORDER BY c DESC, method DESC) AS method, max(c) AS c FROM l GROUP BY item_id, instrument_id) GROUP BY 1")
 def link_methods(spark, sf) -> DataFrame:
     r = entity.resolve(_items(spark, sf), _dictionary(spark, sf))
-    return r.groupBy("method").agg(n, F.countDistinct("item_id").alias("items"), F.count_if(F.col("confidence") >= C.LINK_CONFIDENCE).alias("tradable"))
+    return r.groupBy("method").agg(n(), F.countDistinct("item_id").alias("items"), F.count_if(F.col("confidence") >= C.LINK_CONFIDENCE).alias("tradable"))
 
 
 @query("", ITEMS + "q AS (SELECT item_id FROM items WHERE NOT (cik IS NOT NULL OR item_id % 5 IN (0, 1, 2, 4) OR item_id % 7 = 0)) SELECT item_id FROM q")

@@ -32,7 +32,8 @@ def r6(c):
     return F.round(c, 6)
 
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count(F.lit(1)).alias("n")
 
 
 def world(spark, sf) -> DataFrame:
@@ -73,7 +74,7 @@ def decide_gates(spark, sf) -> DataFrame:
 
 @query(WV, WORLD + "SELECT coalesce(failed[1], '(none)') AS skip_reason, count(*) AS n FROM gg GROUP BY 1", True)
 def skip_reasons(spark, sf) -> DataFrame:
-    return decide.screened(world(spark, sf), RULES).groupBy(F.coalesce("skip_reason", F.lit("(none)")).alias("skip_reason")).agg(n)
+    return decide.screened(world(spark, sf), RULES).groupBy(F.coalesce("skip_reason", F.lit("(none)")).alias("skip_reason")).agg(n())
 
 
 @query(WV, WORLD + "SELECT signal_id, CASE WHEN q2 <= 0 THEN 'position_too_small' END AS size_reason, CASE WHEN q2 > 0 THEN CAST(q2 AS DOUBLE) / 1e8 END AS qty, CASE WHEN q2 > 0 THEN round(CAST(q2 * p8 // 100000000 AS DOUBLE) / 1e8, 6) END AS notional FROM z2 WHERE quote IS NOT NULL", True)
@@ -89,7 +90,7 @@ def sim_fills(spark, sf) -> DataFrame:
     fee_bps = F.when(F.col("instrument_id") % 2 == 0, C.FEE_BPS["crypto"]).otherwise(C.FEE_BPS["us_equity"])
     price, _, fee = decide.filled(F.col("side"), F.col("price"), F.col("qty"), fee_bps)
     f = V.fills(spark, sf).select("side", "instrument_id", price.alias("fp"), fee.alias("f"))
-    return f.groupBy("side", "instrument_id").agg(n, F.round(F.sum("fp").cast("double"), 4).alias("prices"), F.round(F.sum("f").cast("double"), 4).alias("fees"))
+    return f.groupBy("side", "instrument_id").agg(n(), F.round(F.sum("fp").cast("double"), 4).alias("prices"), F.round(F.sum("f").cast("double"), 4).alias("fees"))
 
 
 def positions(spark, sf) -> DataFrame:
@@ -135,7 +136,7 @@ def run_metrics(spark, sf) -> DataFrame:
 def round_trips(spark, sf) -> DataFrame:
     """Closed trades with what their signals were."""
     pnl = F.col("realized_usd")
-    return trades(spark, sf).groupBy("exit_reason", "event_type").agg(n, F.round(F.sum(pnl), 2).alias("realized_usd"), r6(F.avg("confidence")).alias("mean_confidence"), r6(F.count_if(pnl > 0) / F.count(F.lit(1))).alias("hit_rate"))
+    return trades(spark, sf).groupBy("exit_reason", "event_type").agg(n(), F.round(F.sum(pnl), 2).alias("realized_usd"), r6(F.avg("confidence")).alias("mean_confidence"), r6(F.count_if(pnl > 0) / F.count(F.lit(1))).alias("hit_rate"))
 
 
 @query("fills", "SELECT instrument_id, round(sum(CASE side WHEN 'buy' THEN -1 ELSE 1 END * CAST(price AS DECIMAL(18, 6)) * CAST(qty AS DECIMAL(10, 2)) - CAST(fee AS DECIMAL(10, 2)))::DOUBLE, 2) AS cash_delta, round(sum(CAST(fee AS DECIMAL(10, 2)))::DOUBLE, 2) AS fees, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END) AS qty FROM fills GROUP BY 1")
@@ -172,7 +173,7 @@ def replay_comparison(spark, sf) -> DataFrame:
     w = _world_for_book(spark, sf)
     a = portfolio.backtest(w, 100_000.0, RULES)[0]
     b = portfolio.backtest(w, 100_000.0, RULES | {"max_positions": 1})[0]
-    return portfolio.compare(a, b, ["run_id", "signal_id"], ["action", "skip_reason"]).groupBy("outcome").agg(n)
+    return portfolio.compare(a, b, ["run_id", "signal_id"], ["action", "skip_reason"]).groupBy("outcome").agg(n())
 
 
 @query("signals", "SELECT left(sha256('signal:' || signal_id || ':' || prompt_version), 32) AS client_order_id, 'signal:' || signal_id || ':' || prompt_version AS decision_key, instrument_id, CASE direction WHEN 'bullish' THEN 'buy' ELSE 'sell' END AS side, 'market' AS order_type, 'day' AS tif FROM signals WHERE direction <> 'neutral' AND anchor_ts >= TIMESTAMP '2024-01-20' - INTERVAL 6 HOUR AND signal_id % 3 <> 0")

@@ -26,7 +26,8 @@ def query(views: str, sql: str | None, recursive: bool = False):
     return add
 
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("", """SELECT symbol, ts, open, close, volume FROM (SELECT 'T' || user_id AS symbol, date_trunc('minute', ts)::TIMESTAMP AS ts, value AS open, value + 1 AS close, value * 10 AS volume, event_id FROM events WHERE event_id % 13 <> 0) WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'""")
@@ -50,7 +51,7 @@ def feed_items(spark, sf) -> DataFrame:
     xml = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel>'), F.concat_ws("", F.collect_list(item)), F.lit("</channel></rss>"))
     payloads = d.groupBy("source", F.pmod(F.col("doc_id"), F.lit(8)).alias("part")).agg(xml.alias("payload"))
     i = feeds.syndicated(payloads, "payload").withColumns({"source": F.split_part("external_id", F.lit("/"), F.lit(1)), "id": F.split_part("external_id", F.lit("/"), F.lit(2))})
-    return i.groupBy("source").agg(n, F.countDistinct("id").alias("ids"), F.sum(F.length("headline")).cast("long").alias("letters"))
+    return i.groupBy("source").agg(n(), F.countDistinct("id").alias("ids"), F.sum(F.length("headline")).cast("long").alias("letters"))
 
 
 @query("", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS INT) AS n_links, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS INT) AS n_distinct, regexp_extract(html, 'lang=\"(\\w+)\"', 1) AS lang FROM pages")
@@ -61,7 +62,7 @@ def page_links(spark, sf) -> DataFrame:
 
 @query("", "SELECT k, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, value FROM events) WHERE k BETWEEN 10 AND 19 GROUP BY 1")
 def json_fields(spark, sf) -> DataFrame:
-    return V.events(spark, sf).filter(F.col("k").between(10, 19)).groupBy("k").agg(n, F.round(F.avg("value"), 6).alias("mean_value"))
+    return V.events(spark, sf).filter(F.col("k").between(10, 19)).groupBy("k").agg(n(), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
 @query("", "SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 GROUP BY 1")
@@ -70,7 +71,7 @@ def overlapping_polls(spark, sf) -> DataFrame:
     e = V.table(spark, sf, "events").withColumn("minute", F.date_trunc("minute", "ts"))
     first = sinks.absent(e.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), e.limit(0), ["user_id", "minute"], ["ts", "event_id"])
     again = sinks.absent(e.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")), first, ["user_id", "minute"], ["ts", "event_id"])
-    return first.unionByName(again).groupBy("user_id").agg(n, F.min("event_id").alias("first_event"))
+    return first.unionByName(again).groupBy("user_id").agg(n(), F.min("event_id").alias("first_event"))
 
 
 @query("", "SELECT source || '/' || '2024-01-0' || (1 + doc_id % 7) || '/' || left(sha256(text), 16) || '-' || left(sha256(CAST(doc_id AS VARCHAR)), 12) || '.json' AS key FROM documents")
@@ -97,7 +98,7 @@ def day_chunks(spark, sf) -> DataFrame:
 @query("", "SELECT strftime(o_orderdate, '%Y-%m') AS month, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m') AS following, count(*) AS n FROM orders GROUP BY 1, 2")
 def months(spark, sf) -> DataFrame:
     m = F.date_format("o_orderdate", "yyyy-MM")
-    return V.table(spark, sf, "orders").groupBy(m.alias("month")).agg(n).select("month", dates.month_after(F.col("month")).alias("following"), "n")
+    return V.table(spark, sf, "orders").groupBy(m.alias("month")).agg(n()).select("month", dates.month_after(F.col("month")).alias("following"), "n")
 
 
 @query("", "SELECT event_id FROM (SELECT *, coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events WHERE event_type = 'purchase') WHERE before + 50 < 2000")

@@ -24,7 +24,8 @@ def query(views: str, sql: str | None, recursive: bool = False):
     return add
 
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("", "SELECT doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR (quality = 0 AND toxic = 0) OR (n_chars > 5000 AND quality = 1)")
@@ -75,7 +76,7 @@ def coherence(spark, sf) -> DataFrame:
     sectors = F.when(k == 0, sector()).when(k == 1, sector("energy")).when(k == 2, sector("energy", "energy")).when(k == 3, sector("moon")).otherwise(sector("energy", "utilities"))
     s = s.withColumns({"scope": F.when(F.col("k") % 3 == 0, "none").otherwise("sector"), "sectors": sectors})
     why = context.incoherent(F.col("scope"), F.col("sectors"), F.col("value") * 10, F.col("confidence"))
-    return s.groupBy(F.coalesce(why, F.lit("ok")).alias("reason")).agg(n)
+    return s.groupBy(F.coalesce(why, F.lit("ok")).alias("reason")).agg(n())
 
 
 @query("fills bars_1m", """, p AS (SELECT instrument_id, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END) AS qty, sum(CASE side WHEN 'buy' THEN -qty * price ELSE qty * price END - fee) AS cash FROM fills WHERE instrument_id < 8 GROUP BY 1),
@@ -106,7 +107,7 @@ SELECT instrument_id, count(*) AS n, max(ts) AS last_ts, round(sum(close), 2) AS
 def extended_series(spark, sf) -> DataFrame:
     """Minute bars, and after the last one daily closes at the end of their day; days are moved to follow the minutes."""
     daily = V.bars_1d(spark, sf).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(8400)))
-    return intervals.extended(V.bars_1m(spark, sf), daily).groupBy("instrument_id").agg(n, F.max("ts").alias("last_ts"), F.round(F.sum("close"), 2).alias("total"))
+    return intervals.extended(V.bars_1m(spark, sf), daily).groupBy("instrument_id").agg(n(), F.max("ts").alias("last_ts"), F.round(F.sum("close"), 2).alias("total"))
 
 
 @query("signals", "SELECT date_trunc('week', anchor_ts)::TIMESTAMP AS week, count(*) AS signals, count(*) FILTER (WHERE direction <> 'neutral') AS directional, count(*) FILTER (WHERE direction <> 'neutral' AND confidence >= 0.75) AS confident, count(*) FILTER (WHERE direction = 'bullish' AND confidence >= 0.75 AND NOT already_expected) AS tradable FROM signals s GROUP BY date_trunc('week', s.anchor_ts)")
