@@ -366,6 +366,19 @@ def test_replies_follow_their_parents(spark):
     assert quotation.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotations_equal_their_sql(spark, tmp_path):
+    import duckdb
+    from parity import differences
+
+    rows = [(4, 0, "u", "a b c d"), (4, 1, "u", "> a b c d\n> zzz\nreply one two"), (4, 2, "u", "> > a b c d\n> reply one two\n\n> other\nlast  "), (4, 3, "u", "a b c d"), (4, None, "u", "> a b c d"), (None, 0, "user", None), (5, 1, None, "X wrote:\n> nobody said that here\nok")]
+    rows += [(9, i, "user", (f"> message number {i - 1} here\n" if i else "") + f"message number {i} here") for i in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c/*.parquet')")
+    assert differences(quotation.link_quotations(df), con, quotation.ORACLE) == ""
+
+
 # --- 7 ---
 
 
@@ -583,7 +596,7 @@ def test_queries_read_whole_tables(spark):
     assert len(registry.QUERIES) == 10
 
 
-def test_exact_dedup_equals_its_sql(spark):
+def test_queries_equal_their_sql(spark):
     from parity import connection, differences
 
     for name, sql in registry.ORACLES.items():

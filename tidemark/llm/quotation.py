@@ -98,3 +98,26 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit("unknown"))
     path = F.array_join(F.transform("path", lambda t: F.lpad(t.cast("string"), 19, "0")), "/")
     return out.select("conv_id", "turn", "role", F.col("own").alias("content"), F.size("passages").cast("long").alias("n_passages"), "parent_turn", path.alias("path"), F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("own"), F.lit("\n<|end|>\n")).alias("formatted"))
+
+
+ORACLE = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS said_by, role, coalesce(text, '') AS text, regexp_matches(coalesce(text, ''), '(?m)^[ \t]*>') AS quotes, row_number() OVER () AS id FROM conversations),
+split AS (SELECT id, conv_id, turn, regexp_split_to_array(text, '\r?\n') AS ls FROM m WHERE quotes),
+lines AS (SELECT id, conv_id, turn, i, length(regexp_replace(regexp_extract(ls[i], '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS lv, regexp_replace(ls[i], '^((?:[ \t]*>)+)[ \t]?', '') AS body FROM split, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+near AS (SELECT *, coalesce(lead(lv) OVER (PARTITION BY id ORDER BY i), 0) AS next_lv, CASE WHEN lv = lag(lv) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS new FROM lines),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM near),
+own AS (SELECT id, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE lv = 0 AND NOT (next_lv > 0 AND regexp_matches(body, '(?i)^[ \t]*(on .{1,200} wrote|.{1,120} (wrote|said|schrieb|a écrit|escribió))[ \t]*:[ \t]*$'))), ''), ' ') AS own FROM runs GROUP BY id),
+passages AS (SELECT id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(lv) AS lv, string_agg(body, chr(10) ORDER BY i) AS body FROM runs GROUP BY id, run HAVING any_value(lv) > 0 AND trim(string_agg(body, chr(10) ORDER BY i), ' ') <> ''),
+said AS (SELECT m.*, CASE WHEN quotes THEN own.own ELSE trim(text, ' ') END AS content, coalesce(p.n, 0) AS n_passages FROM m LEFT JOIN own USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM passages GROUP BY 1) p USING (id)),
+units AS (SELECT 'said' AS kind, conv_id, turn, CAST(NULL AS BIGINT) AS lv, content AS body FROM said UNION ALL SELECT 'asked', conv_id, turn, lv, body FROM passages),
+parts AS (SELECT kind, conv_id, turn, lv, lower(trim(regexp_replace(body, '\s+', ' ', 'g'), ' ')) AS u, 1 AS least FROM units
+  UNION ALL SELECT kind, conv_id, turn, lv, lower(trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), 3 FROM (SELECT kind, conv_id, turn, lv, unnest(string_split(body, chr(10))) AS x FROM units)),
+good AS (SELECT DISTINCT kind, conv_id, turn, lv, u FROM parts WHERE turn IS NOT NULL AND u <> '' AND len(string_split(u, ' ')) >= least),
+hits AS (SELECT a.conv_id, a.turn, a.lv, max(s.turn) AS parent FROM good a JOIN good s ON a.kind = 'asked' AND s.kind = 'said' AND a.u = s.u AND a.conv_id IS NOT DISTINCT FROM s.conv_id AND s.turn < a.turn GROUP BY 1, 2, 3, a.u),
+links AS (SELECT conv_id, turn, first(parent ORDER BY lv, parent DESC) AS parent FROM hits GROUP BY 1, 2),
+paths AS (SELECT conv_id, turn, parent, parent AS top, [parent, turn] AS path FROM links UNION ALL SELECT p.conv_id, p.turn, p.parent, l.parent, list_prepend(l.parent, p.path) FROM paths p JOIN links l ON p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.top = l.turn),
+whole AS (SELECT conv_id, turn, any_value(parent) AS parent, arg_max(path, len(path)) AS path FROM paths GROUP BY 1, 2)
+SELECT s.conv_id, s.turn, s.role, s.content, s.n_passages, w.parent AS parent_turn,
+  coalesce(array_to_string(list_transform(coalesce(w.path, [s.turn]), lambda t: lpad(CAST(t AS VARCHAR), 19, '0')), '/'), '') AS path, '<|' || said_by || '|>' || chr(10) || s.content || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM said s LEFT JOIN whole w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.turn = w.turn
+"""

@@ -66,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_quotation": quotation.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
