@@ -7,6 +7,8 @@ text has none.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -48,6 +50,20 @@ def shingle_hashes(words: list[str], hashes: WordHashes, n: int = SHINGLE) -> np
     return out
 
 
+def many_shingles(lists: list[list[str]], hashes: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles of many texts at once, equal to ``shingle_hashes`` of each; every text has at least ``n`` words."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    if not len(sizes):
+        return np.empty(0, np.uint64), sizes
+    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    m = len(w) - n + 1
+    out = np.full(m, n, np.uint64)
+    for j in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + m])
+    ends = np.repeat(np.cumsum(sizes), sizes)[:m]
+    return out[np.arange(n, m + n) <= ends], sizes - n + 1  # windows within one text
+
+
 def text_key(words: list[str]) -> bytes:
     """128 bits that stand for the sequence of words."""
     return xxhash.xxh128_digest("\x1f".join(words).encode("utf-8", "surrogatepass"))
@@ -63,17 +79,19 @@ class MinHash:
         self.size = size
 
     def of(self, parts: list[np.ndarray]) -> np.ndarray:
-        """A row for each array of shingle hashes; none may be empty. Works through bounded runs of shingles."""
-        out = np.empty((len(parts), self.size), np.uint32)
+        """A row for each array of shingle hashes; none may be empty."""
+        return self.flat(np.concatenate(parts), np.array([len(p) for p in parts], np.int64)) if parts else np.empty((0, self.size), np.uint32)
+
+    def flat(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same for hashes in one array; works through bounded runs of whole texts."""
+        out = np.empty((len(counts), self.size), np.uint32)
+        ends = np.cumsum(counts)
         first = 0
-        while first < len(parts):
-            last, total = first, 0
-            while last < len(parts) and (total == 0 or total + len(parts[last]) <= 1 << 16):
-                total += len(parts[last])
-                last += 1
-            x = np.concatenate(parts[first:last])
-            x = (x >> np.uint64(32)).astype(np.uint32)
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[first : last - 1]])]).astype(np.int64)
+        while first < len(counts):
+            begin = int(ends[first] - counts[first])
+            last = max(int(np.searchsorted(ends, begin + (1 << 16), side="right")), first + 1)
+            x = (shingles[begin : int(ends[last - 1])] >> np.uint64(32)).astype(np.uint32)
+            starts = ends[first:last] - counts[first:last] - begin
             for j in range(self.size):
                 y = x ^ self.flip[j]
                 y *= self.times[j]

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, sliced
 from tidemark.llm.ngram_join import BLOCK_NODES, BLOCK_SHINGLES, _Block
-from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, mix, shingle_hashes, text_key, words_of
+from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, many_shingles, mix, shingle_hashes, text_key, words_of
 
 THRESHOLD, TARGET = 0.8, 0.995
-LEAST_WORDS = 25
+LEAST_WORDS = 25  # at least a shingle's
 LEAST_SENTENCE = 5
 #: Code points of a sentence too short to be hashed that a run passes over.
 SHORT = 40
@@ -64,13 +64,17 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int, str]]:
         at += len(line) + 1
 
 
-def sentences(start: int, line: str) -> Iterator[tuple[int, int, str]]:
-    at = 0
-    for m in _END.finditer(line):
-        yield start + at, start + m.start(), line[at : m.start()]
-        at = m.end()
-    if at < len(line):
-        yield start + at, start + len(line), line[at:]
+def sentences(start: int, line: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of a line's sentences; one of fewer than ``LEAST_SENTENCE`` words is joined to what follows it."""
+    at, first, held = 0, None, []
+    for end, after in [*((m.start(), m.end()) for m in _END.finditer(line)), (len(line), len(line))]:
+        held += words_of(line[at:end])
+        first = at if first is None else first
+        if len(held) >= LEAST_SENTENCE or after == len(line):
+            if held:
+                yield start + first, start + end, held
+            first, held = None, []
+        at = after
 
 
 def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -78,29 +82,28 @@ def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int)
     hashes, minhash = WordHashes(), MinHash(bands * rows, seed=2)
     for batch in sliced(batches, 128):
         out: list[tuple] = []
-        parts: list[np.ndarray] = []
+        long: list[list[str]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for start, end, line in paragraphs(text):
                 words, found = [], []
-                for s, e, body in sentences(start, line):
-                    w = words_of(body)
+                for s, e, w in sentences(start, line):
                     words += w
                     if len(w) >= LEAST_SENTENCE:
                         found.append((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - (1 << 63), s, e, len(w)))
                 node = None
                 if len(words) >= least:
                     node = text_key(words)
-                    parts.append(shingle_hashes(words, hashes))
+                    long.append(words)
                 out.append((doc, start, end, len(words), node, found))
-        sig = band_keys(minhash.of(parts), bands, rows).view(np.int64) if parts else np.zeros((0, bands), np.int64)
-        filled = iter(sig.tolist())
-        sizes = iter(parts)
+        shingles, counts = many_shingles(long, hashes)
+        filled = iter(band_keys(minhash.flat(shingles, counts), bands, rows).view(np.int64).tolist())
+        sizes = iter(counts.tolist())
         columns = list(zip(*out)) or [[]] * 6
         yield pa.RecordBatch.from_arrays(
             [
                 *[pa.array(c, pa.int64()) for c in columns[:4]],
                 pa.array(columns[4], pa.binary()),
-                pa.array([None if n is None else len(next(sizes)) for n in columns[4]], pa.int64()),
+                pa.array([None if n is None else next(sizes) for n in columns[4]], pa.int64()),
                 pa.array([None if n is None else next(filled) for n in columns[4]], pa.list_(pa.int64())),
                 *[pa.array([[x[k] for x in f] for f in columns[5]], pa.list_(pa.int64())) for k in range(4)],
             ],
