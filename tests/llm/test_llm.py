@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, boosting, common, exact_dedup, mixing, ngram_join, packing, quality_lm, quotation, registry, secrets, substring_dedup, toxicity
-from tidemark.llm.shingles import MinHash, WordHashes, jaccard, shingle_hashes, words_of
+from tidemark.llm.shingles import MinHash, WordHashes, jaccard, many_shingles, shingle_hashes, words_of
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns carry names that operators use inside.
@@ -150,6 +150,18 @@ def test_depth_reaches_its_recall():
     assert ngram_join.recall(0.8, d) >= ngram_join.TARGET > ngram_join.recall(0.8, d + 1)
 
 
+def test_shingles_of_many_equal_those_of_each():
+    r = random.Random(14)
+    lists = [words(r, r.randrange(5, 40)).split() for _ in range(50)]
+    hashes = WordHashes()
+    flat, counts = many_shingles(lists, hashes)
+    each = [shingle_hashes(x, hashes) for x in lists]
+    assert (flat == np.concatenate(each)).all() and counts.tolist() == [len(x) for x in each]
+    m = MinHash(7)
+    assert (m.flat(flat, counts) == np.stack([m.of([x])[0] for x in each])).all()
+    assert m.of([]).shape == (0, 7)
+
+
 def test_minhash_estimates_jaccard():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 62, 3000).astype(np.uint64)
@@ -198,6 +210,21 @@ def test_substring_dedup_of_many_copies(spark):
     assert sorted(x["doc_id"] for x in got) == list(range(1, 50)) and {x["keep_doc_id"] for x in got} == {0}
 
 
+def test_sentences_join_short_ones_and_cover_the_line():
+    line = "Oh no. It is so. This one has six words here. Yes. End."
+    got = [(line[a:b], w) for a, b, w in substring_dedup.sentences(0, line)]
+    assert [g for g, _ in got] == ["Oh no. It is so.", "This one has six words here.", "Yes. End."]
+    assert sum((w for _, w in got), []) == line.lower().split()
+    assert list(substring_dedup.sentences(3, "")) == []
+
+
+def test_substring_dedup_of_short_sentences(spark):
+    r = random.Random(13)
+    rows = [(i, words(r, 30) + ". " + "is so. " * 30 + words(r, 30)) for i in range(4)]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == {1, 2, 3}
+
+
 def test_substring_awkward_rows(spark):
     docs, rows = corpus(spark)
     assert substring_dedup.repeated_spans(docs).filter("doc_id IS NULL AND keep_doc_id IS NULL").count() == 0
