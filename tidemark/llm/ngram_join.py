@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, sliced, with_flag, without_ids
-from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, mix, shingle_hashes, text_key, words_of
+from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, many_shingles, mix, shingle_hashes, text_key, words_of
 
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 TARGET = 0.999
 #: Nodes, and shingles, of one block of a large component.
-BLOCK_NODES, BLOCK_SHINGLES = 400, 400_000
+BLOCK_NODES, BLOCK_SHINGLES = 160, 400_000
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -58,16 +58,16 @@ def _signed(batches: Iterator[pa.RecordBatch], depth: int, n: int) -> Iterator[p
     hashes, minhash = WordHashes(), MinHash(TREES * DEPTH)
     for batch in sliced(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        nodes, parts = [], []
-        for text in texts:
-            words = words_of(text)
-            nodes.append(text_key(words))
-            parts.append(shingle_hashes(words, hashes, n))
-        full = [i for i, p in enumerate(parts) if len(p)]
+        lists = [words_of(text) for text in texts]
+        nodes = [text_key(words) for words in lists]
+        sizes = np.array([max(len(x) - n + 1, min(len(x), 1)) for x in lists], np.int64)
         keys = np.zeros((len(texts), TREES), np.int64)
-        if full:
-            keys[full] = prefix_keys(minhash.of([parts[i] for i in full]), depth).view(np.int64)
-        sizes = np.array([len(p) for p in parts], np.int64)
+        whole = [i for i, x in enumerate(lists) if len(x) >= n]
+        short = [i for i, x in enumerate(lists) if 0 < len(x) < n]
+        flat, counts = many_shingles([lists[i] for i in whole], hashes, n)
+        for rows, sig in ((whole, minhash.flat(flat, counts)), (short, minhash.of([shingle_hashes(lists[i], hashes, n) for i in short]))):
+            if rows:
+                keys[rows] = prefix_keys(sig, depth).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, TREES, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].ravel()))
         yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(sizes), lists], ["doc_id", "node", "n_shingles", "keys"])
