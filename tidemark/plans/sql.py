@@ -4,7 +4,7 @@ VIEWS = {
     "ev": "SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
     "bars_1m": """SELECT user_id % 8 AS instrument_id, date_trunc('minute', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
         min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS volume
-        FROM events e WHERE event_type <> 'error' GROUP BY 1, date_trunc('minute', e.ts)""",
+        FROM events e WHERE event_type <> 'error' AND value > 0 GROUP BY 1, date_trunc('minute', e.ts)""",
     "bars_session": "SELECT * FROM bars_1m WHERE isodow(ts) < 6 AND hour(ts) BETWEEN 14 AND 20",
     "bars_1d": """SELECT o_custkey % 8 AS instrument_id, o_orderdate AS ts, max(o_totalprice) AS high, min(o_totalprice) AS low,
         last(o_totalprice ORDER BY o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY 1, 2""",

@@ -23,8 +23,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute bars of eight instruments; errors are anchors and make no bars."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    """Minute bars of eight instruments; errors are anchors and make no bars, nor do values that can't be prices."""
+    e = table(spark, sf_dir, "events").filter((F.col("event_type") != "error") & (F.col("value") > 0))
     at = F.struct("ts", "event_id")
     grouped = e.withColumn("instrument_id", F.col("user_id") % 8).withColumn("minute", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
     return grouped.groupBy("instrument_id", F.col("minute").alias("ts")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("volume"))
