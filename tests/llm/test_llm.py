@@ -225,6 +225,58 @@ def test_substring_dedup_of_short_sentences(spark):
     assert {x["doc_id"] for x in got} == {1, 2, 3}
 
 
+def brute_runs(rows, least=25):
+    """(doc, first word, one past the last) of maximal stretches of runs of ``least`` words that a smaller id has."""
+    first, lists = {}, {i: (t or "").lower().split() for i, t in rows}
+    for i, w in sorted(lists.items()):
+        for k in range(len(w) - least + 1):
+            first.setdefault(tuple(w[k : k + least]), i)
+    out = set()
+    for i, w in lists.items():
+        at = -1
+        for k in range(len(w) - least + 1):
+            if first[tuple(w[k : k + least])] < i:
+                begin = begin if k <= at else k
+                out.discard((i, begin, at))
+                at = k + least
+                out.add((i, begin, at))
+    return out
+
+
+def test_substring_dedup_of_passages_inside_sentences(spark):
+    r = random.Random(31)
+    passage = words(r, 60, 10**6).split()
+    cut = lambda a, b: " ".join(passage[a:b])
+    rows = [
+        (1, f"{words(r, 40)} {cut(0, 60)} {words(r, 40)}"),
+        (2, f"{words(r, 33)} {cut(3, 56)} {words(r, 41)}"),  # without any punctuation
+        (3, f"Straße {words(r, 20)} {cut(10, 35)}, {words(r, 30)}. {words(r, 9)}"),  # 24 words and one that differs
+        (4, f"{words(r, 20)} {cut(10, 35)} {words(r, 30)}"),  # just enough
+        (5, f"İ {words(r, 20)} {cut(10, 30)}\n\n {cut(30, 50).upper()}\u2003{words(r, 8)}"),  # over lines
+        (6, f"{words(r, 20)} {cut(0, 24)} {words(r, 30)} {cut(30, 54)}"),  # too short twice
+        (7, cut(35, 60)),
+        (8, None),
+    ]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text, found = dict(rows), set()
+    for x in got:
+        begin = len(text[x["doc_id"]][: x["start"]].split())
+        assert x["n_words"] == len(text[x["doc_id"]][x["start"] : x["end"]].split()) and x["keep_doc_id"] == 1
+        found.add((x["doc_id"], begin, begin + x["n_words"]))
+    assert found == brute_runs(rows) and {x[0] for x in found} == {2, 4, 5, 7}
+
+
+def test_hashes_of_runs_by_doubling():
+    r = np.random.default_rng(3)
+    w = r.integers(0, 4, 400, dtype=np.uint64)
+    for n in (1, 2, 13, 16, 25):
+        h, g = substring_dedup.run_hashes(w, n), substring_dedup.least_of(w, n)
+        runs = [tuple(w[i : i + n].tolist()) for i in range(len(w) - n + 1)]
+        assert len(set(zip(h.tolist(), runs))) == len(set(h.tolist())) == len(set(runs))
+        assert g.tolist() == [min(x) for x in runs]
+        assert not len(substring_dedup.run_hashes(w[: n - 1], n))
+
+
 def test_substring_awkward_rows(spark):
     docs, rows = corpus(spark)
     assert substring_dedup.repeated_spans(docs).filter("doc_id IS NULL AND keep_doc_id IS NULL").count() == 0

@@ -10,13 +10,21 @@ links are what is cut: the first paragraph of each stays, all others go.
 A passage pasted into the middle of a paragraph leaves the paragraphs around it
 unlike, so sentences are compared too, by exact hashes: runs of successive
 sentences that an earlier document has go, when they add up to ``LEAST_WORDS``
-words. Order is by doc_id and then by position.
+words.
+
+Neither finds a passage that starts and ends inside sentences, so every run of
+``LEAST_WORDS`` words that an earlier document has goes too, across sentences
+and lines. Of the grams of half as many words in such a run the one of least
+hash stands for it: equal runs have equal ones. Only runs whose gram two
+documents have are hashed whole and compared; a filter of those grams goes to
+the tasks that read the texts again. Order is by doc_id and then by position.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,9 @@ LEAST_SENTENCE = 5
 #: Code points of a sentence too short to be hashed that a run passes over.
 SHORT = 40
 _END = re.compile(r"(?<=[.!?])[ \t]+")
+#: Whether a code point is white.
+_WHITE = np.zeros(0x110000, bool)
+_WHITE[[c for c in range(0x110000) if chr(c).isspace()]] = True
 
 
 def tune_bands(threshold: float = THRESHOLD, target: float = TARGET, most: int = 32) -> tuple[int, int]:
@@ -84,34 +95,37 @@ def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int)
         out: list[tuple] = []
         long: list[list[str]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            before = 0
             for start, end, line in paragraphs(text):
                 words, found = [], []
                 for s, e, w in sentences(start, line):
                     words += w
-                    if len(w) >= LEAST_SENTENCE:
+                    if len(w) >= LEAST_SENTENCE:  # none but a line's last is shorter
                         found.append((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - (1 << 63), s, e, len(w)))
                 node = None
                 if len(words) >= least:
                     node = text_key(words)
                     long.append(words)
-                out.append((doc, start, end, len(words), node, found))
+                out.append((doc, start, end, len(words), node, found, before))
+                before += len(words)
         shingles, counts = many_shingles(long, hashes)
         filled = iter(band_keys(minhash.flat(shingles, counts), bands, rows).view(np.int64).tolist())
         sizes = iter(counts.tolist())
-        columns = list(zip(*out)) or [[]] * 6
+        columns = list(zip(*out)) or [[]] * 7
         yield pa.RecordBatch.from_arrays(
             [
                 *[pa.array(c, pa.int64()) for c in columns[:4]],
                 pa.array(columns[4], pa.binary()),
                 pa.array([None if n is None else next(sizes) for n in columns[4]], pa.int64()),
                 pa.array([None if n is None else next(filled) for n in columns[4]], pa.list_(pa.int64())),
-                *[pa.array([[x[k] for x in f] for f in columns[5]], pa.list_(pa.int64())) for k in range(4)],
+                *[pa.array([[x[k] for x in f] for f in columns[5]], pa.list_(pa.int64() if k == 0 else pa.int32())) for k in range(4)],
+                pa.array(columns[6], pa.int64()),
             ],
-            ["doc_id", "start", "end", "n_words", "node", "n_shingles", "bands", "s_hash", "s_start", "s_end", "s_words"],
+            ["doc_id", "start", "end", "n_words", "node", "n_shingles", "bands", "s_hash", "s_start", "s_end", "s_words", "before"],
         )
 
 
-_SCHEMA = "doc_id long, start long, end long, n_words long, node binary, n_shingles long, bands array<long>, s_hash array<long>, s_start array<long>, s_end array<long>, s_words array<long>"
+_SCHEMA = "doc_id long, start long, end long, n_words long, node binary, n_shingles long, bands array<long>, s_hash array<long>, s_start array<int>, s_end array<int>, s_words array<int>, before long"
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], bitmap: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -212,23 +226,118 @@ def _near(source: DataFrame, parts: DataFrame, threshold: float, least: int) ->
     return connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root")
 
 
+def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` successive ones, by doubling."""
+    m = len(w) - n + 1
+    if m < 1:
+        return np.empty(0, np.uint64)
+    out, done, power, span = np.full(m, n, np.uint64), 0, w, 1
+    while True:
+        if n & span:
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + power[done : done + m])
+            done += span
+            if done == n:
+                return out
+        power = mix(power[:-span] * np.uint64(0x9E3779B97F4A7C15) + power[span:])
+        span *= 2
+
+
+def least_of(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each ``n`` successive ones."""
+    span = 1
+    while 2 * span <= n:
+        x, span = np.minimum(x[:-span], x[span:]), 2 * span
+    return np.minimum(x[: len(x) - (n - span)], x[n - span :])
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end, in code points."""
+    white = np.ones(len(text) + 2, bool)
+    white[1:-1] = _WHITE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    edges = np.nonzero(white[1:] != white[:-1])[0]
+    return edges[::2], edges[1::2]
+
+
+def _runs(texts: list[str | None], hashes: WordHashes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, gram, place, words' hashes) of all runs of ``least`` words of several texts: the numbers of its text and of its first word in it, its gram's hash, and where it is among the words of all."""
+    lists = [words_of(text) for text in texts]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    if len(w) < least:
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, np.uint64), none, w
+    wide = (least + 1) // 2
+    gram = least_of(run_hashes(w, least - wide + 1), wide)
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(lists)), sizes)[: len(gram)]
+    at = np.nonzero(np.arange(least, len(gram) + least) <= ends[text])[0]  # runs within one text
+    return text[at], at - (ends - sizes)[text[at]], gram[at], at, w
+
+
+def _grams(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, gram): what stands for the runs of a document."""
+    hashes = WordHashes()
+    for batch in sliced(batches, 128):
+        text, _, gram, _, _ = _runs(batch.column(1).to_pylist(), hashes, least)
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[text[new]], pa.int64()), pa.array(gram[new].view(np.int64))], ["doc_id", "gram"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], bitmap: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Runs of ``least`` words whose gram the filter may hold, with a hash of all their words."""
+    hashes, held = WordHashes(), np.frombuffer(bitmap, np.uint8)
+    for batch in sliced(batches, 128):
+        texts = batch.column(1).to_pylist()
+        text, word, gram, place, w = _runs(texts, hashes, least)
+        slot = (gram >> np.uint64(8)) % np.uint64(bits)
+        ok = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        text, word, place = text[ok], word[ok], place[ok]
+        h = run_hashes(w, least)[place]
+        start, end = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
+        for i in np.unique(text).tolist():
+            lo, hi = np.searchsorted(text, [i, i + 1])
+            starts, ends = word_spans(texts[i])
+            start[lo:hi], end[lo:hi] = starts[word[lo:hi]], ends[word[lo:hi] + least - 1]
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[text], pa.int64()), pa.array(h.view(np.int64)), *[pa.array(x, pa.int64()) for x in (start, end, word)]], ["doc_id", "h", "start", "end", "word"])
+
+
+def _pasted(source: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, end, n_words, word, first): runs of ``least`` words that a document with a smaller id has."""
+    by_gram = map_arrow(source, lambda it: _grams(it, least), "doc_id long, gram long").groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    shared = checkpoint(by_gram.filter("last > first").select("gram"))
+    bits = filter_bits(shared.count())
+    slot = F.pmod(F.call_function("shiftrightunsigned", F.col("gram"), F.lit(8)), F.lit(bits))
+    maps = shared.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod("s", F.lit(32768))).alias("m")).collect()
+    held = bytearray(bits // 8)
+    for r in maps:
+        held[r["b"] * 4096 : r["b"] * 4096 + 4096] = r["m"]
+    bitmap = source.sparkSession.sparkContext.broadcast(bytes(held))
+    each = map_arrow(source, lambda it: _windows(it, bitmap.value, bits, least), "doc_id long, h long, start long, end long, word long")
+    # the texts are read once more rather than keeping the runs, which are as large as they
+    twice = checkpoint(each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("_h"), "first", "n"))
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_counted(each, twice, [("h", "_h")], "n", total).filter("doc_id > first").select("doc_id", "start", "end", F.lit(least).cast("long").alias("n_words"), "word", "first")
+
+
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Spans of a document to runs: paragraphs and successive sentences that go, joined where they touch."""
+    """Spans of a document to runs: paragraphs, successive sentences and runs of words that go, joined where they touch."""
     for batch in sliced(batches):
         out = []
         for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             runs: list[list] = []
             for x in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                 gap = x["start"] - runs[-1][1] if runs else 0
-                # a separator lies between, or a sentence too short to count within one repeated passage
-                if runs and (gap <= 3 or gap <= SHORT and x["keep"] == runs[-1][4]):
+                # runs of words touch; else a separator lies between, or a sentence too short to count within one repeated passage
+                if runs and ((gap <= 3 or gap <= SHORT and x["keep"] == runs[-1][4]) if x["loose"] else x["word"] <= runs[-1][5]):
                     run = runs[-1]
-                    if x["end"] > run[1]:
-                        run[2] += x["n_words"] if x["start"] >= run[1] else 0
-                        run[1] = x["end"]
-                    run[3], run[4] = min(run[3], x["keep"]), x["keep"]
+                    run[1] = max(run[1], x["end"])
+                    run[2] += max(0, x["word"] + x["n_words"] - max(x["word"], run[5]))
+                    run[3], run[4], run[5] = min(run[3], x["keep"]), x["keep"] if x["loose"] else run[4], max(run[5], x["word"] + x["n_words"])
                 else:
-                    runs.append([x["start"], x["end"], x["n_words"], x["keep"], x["keep"]])
+                    runs.append([x["start"], x["end"], x["n_words"], x["keep"], x["keep"] if x["loose"] else None, x["word"] + x["n_words"]])
             out += [(doc, *r[:4]) for r in runs if r[2] >= least]
         columns = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end", "n_words", "keep_doc_id"])
@@ -255,16 +364,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = checkpoint(nodes.join(near, F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
     roots = nodes.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).filter("all > 1").withColumnRenamed("root", "_r")
     known = join_counted(nodes, roots, [("root", "_r")], "m", total).select(F.col("node").alias("_n"), "keep", "n")
-    lines = join_counted(parts.filter("node is not null").select("doc_id", "start", "end", "n_words", "node"), known, [("node", "_n")], "n", total)
+    lines = join_counted(parts.filter("node is not null").select("doc_id", "start", "end", "n_words", "node", F.col("before").alias("word")), known, [("node", "_n")], "n", total)
     lines = lines.filter(F.struct("doc_id", "start") > F.col("keep"))
 
     # sentences: exact, those of the first document stay
-    each = parts.select("doc_id", F.explode(F.arrays_zip("s_hash", "s_start", "s_end", "s_words")).alias("s")).select("doc_id", F.col("s.s_hash").alias("h"), F.col("s.s_start").alias("start"), F.col("s.s_end").alias("end"), F.col("s.s_words").alias("n_words"))
+    so_far = F.transform("s_words", lambda _, i: F.col("before") + F.aggregate(F.slice("s_words", 1, i), F.lit(0).cast("long"), lambda a, b: a + b.cast("long")))
+    each = parts.select("doc_id", F.explode(F.arrays_zip("s_hash", "s_start", "s_end", "s_words", so_far.alias("s_word"))).alias("s"))
+    each = each.select("doc_id", F.col("s.s_hash").alias("h"), *[F.col(f"s.{c}").cast("long").alias(name) for c, name in (("s_start", "start"), ("s_end", "end"), ("s_words", "n_words"), ("s_word", "word"))])
     twice = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select(F.col("h").alias("_h"), "first", "n")
     repeats = join_counted(each, twice, [("h", "_h")], "n", 4 * total).filter("doc_id > first")
 
-    span = lambda keep: F.struct("start", "end", "n_words", F.col(keep).alias("keep")).alias("x")
-    cut = lines.select("doc_id", span("keep.doc_id")).unionByName(repeats.select("doc_id", span("first"))).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))
+    span = lambda keep, loose=True: F.struct("start", "end", "n_words", F.col(keep).alias("keep"), "word", F.lit(loose).alias("loose")).alias("x")
+    cut = lines.select("doc_id", span("keep.doc_id")).unionByName(repeats.select("doc_id", span("first"))).unionByName(_pasted(source, least).select("doc_id", span("first", False))).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))
     out = map_arrow(cut, lambda it: _merged(it, least), "doc_id long, start long, end long, n_words long, keep_doc_id long")
     back = lambda c: F.when(F.col(c) != -(1 << 62), F.col(c)).alias(c)
     return out.select(back("doc_id"), "start", "end", "n_words", back("keep_doc_id"))
