@@ -99,6 +99,62 @@ def test_recovery_after_the_trough_only(spark):
     assert not study.recovery(points(spark, [(60, -40)])).first()["conclusive"]
 
 
+def brute_series(spark, until_days, extend=False, sf="/root/testdata/sf0.001", anchors=None, bars=None, betas=None):
+    """{(cluster, ts): abnormal return} by the rules, an anchor at a time."""
+    from bisect import bisect_right
+
+    from tidemark.sources import views as V
+
+    by = {}
+    for x in (V.bars_session(spark, sf) if bars is None else bars).orderBy("ts").collect():
+        by.setdefault(x["instrument_id"], []).append((x["ts"], x["close"]))
+    betas = {x["instrument_id"]: x["beta"] for x in study.beta(V.bars_1d(spark, sf), 0).collect()} if betas is None else betas
+    hours, day = dt.timedelta(hours=72), dt.timedelta(days=1)
+
+    def settled(bars, when, clock):
+        bars = [b for b in bars if clock - hours <= b[0] <= clock + 8 * day]
+        i = bisect_right([b[0] for b in bars], when) - 1
+        return bars[i] if i >= 0 and (when - bars[i][0] <= dt.timedelta(minutes=30) or i + 1 < len(bars)) else None
+
+    out = {}
+    for x in (V.anchors(spark, sf) if anchors is None else anchors).collect():
+        clock, own, bench, beta = x["anchor_ts"], by.get(x["instrument_id"], []), by.get(0, []), betas.get(x["instrument_id"])
+        at, until = clock - dt.timedelta(minutes=1), clock + until_days * day
+        a, ba = settled(own, at, clock), settled(bench, at, clock)
+        if not a:
+            continue
+        if extend and not any(a[0] < b[0] <= until for b in own):
+            until = next((b[0] for b in own if until < b[0] <= until + 3 * day), until)
+        for ts, close in own:
+            if a[0] < ts <= until:
+                cum = (close - a[1]) / a[1] * 1e4
+                bb = [b for b in bench if b[0] <= ts][-1:]
+                if beta is not None and ba and bb and bb[0][0] > ba[0]:
+                    cum -= beta * (bb[0][1] - ba[1]) / ba[1] * 1e4
+                out[x["cluster_id"], ts] = cum
+    return out
+
+
+def test_series_take_the_benchmark_off_at_every_bar(spark):
+    both = bars(spark, [(-10, 100), (2, 102), (20, 104)]).unionByName(bars(spark, [(-5, 50), (10, 51)], 0))
+    a = spark.createDataFrame([(1, 1, T0)], "cluster_id long, instrument_id long, anchor_ts timestamp_ntz")
+    betas = spark.createDataFrame([(1, 0.5)], "instrument_id long, beta double")
+    got = [x["cum_bps"] for x in study.series(a, both, 1, betas=betas, benchmark=0).orderBy("ts").collect()]
+    assert got == pytest.approx([200, 400 - 0.5 * 200])  # the benchmark hasn't moved at the first bar
+    assert list(brute_series(spark, 1, anchors=a, bars=both, betas={1: 0.5}).values()) == pytest.approx(got)
+
+
+def test_summaries_are_abnormal_and_fall_forward(spark):
+    from tidemark.plans import registry
+
+    want, last = brute_series(spark, 1, extend=True), {}
+    for (cluster, ts), cum in sorted(want.items()):
+        last[cluster] = cum
+    got = {x["cluster_id"]: x for x in registry.QUERIES["reaction_summary"](spark, "/root/testdata/sf0.001").collect()}
+    assert {k: x["move_bps"] for k, x in got.items()} == pytest.approx(last, abs=1e-5)
+    assert sum(x["n_points"] for x in got.values()) == len(want) and set(last) > {k for k, _ in brute_series(spark, 1)}
+
+
 def test_return_of_a_bad_price_fails(spark):
     with pytest.raises(Exception, match="positive"):
         one(spark, money.return_bps(F.lit(0.0), F.lit(1.0)))

@@ -87,21 +87,37 @@ def abnormal(rows: DataFrame, bars: DataFrame, betas: DataFrame, benchmark: int,
     return r.withColumns({"abnormal_bps": value, "beta_used": F.when(ok, F.col("beta"))}).drop("one", "at", "ba", "bb", "beta")
 
 
-def series(anchors: DataFrame, bars: DataFrame, until_days: int, clock: str = "anchor_ts", extend: bool = False) -> DataFrame:
+def series(anchors: DataFrame, bars: DataFrame, until_days: int, clock: str = "anchor_ts", extend: bool = False, betas: DataFrame | None = None, benchmark: int | None = None) -> DataFrame:
     """(cluster_id, instrument_id, clock, ts, cum_bps): a row for each bar after the anchor's bar, up to ``until_days``.
 
-    The range join is on the instrument and the day, so that a bar meets only
-    anchors near it.
+    The return from the anchor's bar less, with ``betas``, beta times that of
+    the benchmark, from its settled bar at the anchor to its last one at each
+    bar. Raw without a beta, without a settled benchmark bar at the anchor, and
+    until the benchmark moves on from it. The range join is on the instrument
+    and the day, so that a bar meets only anchors near it.
     """
     a = anchor_bars(anchors, bars, clock).withColumn("until", F.col(clock) + days(until_days))
+    b = bars.select("instrument_id", "ts", "close")
+    if betas is not None:
+        bench = with_next(b.filter(F.col("instrument_id") == benchmark), ["instrument_id"]).drop("instrument_id").withColumn("one", F.lit(1))
+        a = asof(a.join(betas.select("instrument_id", "beta"), "instrument_id", "left").withColumn("one", F.lit(1)), bench, ["one"], "at", name="ba", max_age_hours=C.WINDOW_BEFORE_HOURS).drop("one")
+        ok = F.col("beta").isNotNull() & settled(F.col("at"), F.col("ba"), C.FRESH_MINUTES, F.col("window_end")) & (F.col("ba.ts") >= F.col(clock) - F.make_dt_interval(F.lit(0), F.lit(C.WINDOW_BEFORE_HOURS)))
+        a = a.withColumns({"ba_ts": F.when(ok, F.col("ba.ts")), "ba_close": F.when(ok, F.col("ba.close"))}).drop("ba")
+        # the benchmark's bar depends on the bar's time alone
+        b = asof(b.withColumn("one", F.lit(1)), bench, ["one"], "ts", name="bb").select("instrument_id", "ts", "close", F.col("bb.ts").alias("bb_ts"), F.col("bb.close").alias("bb_close"))
     if extend:  # a window that ends before any bar after the anchor's reaches for the first one within the cap
         got = asof(a, with_next(bars, ["instrument_id"]), ["instrument_id"], "until", name="u")
         reach = (F.col("u.ts") <= F.col("a.ts")) & (F.col("u.next_ts") <= F.col("until") + days(C.FALL_FORWARD_DAYS))
         a = got.withColumn("until", F.when(reach, F.col("u.next_ts")).otherwise(F.col("until"))).drop("u")
     a = a.withColumn("day", F.explode(F.sequence(F.to_date("a.ts"), F.to_date("until"))))
-    b = bars.select("instrument_id", "ts", "close").withColumn("day", F.to_date("ts"))
+    b = b.withColumn("day", F.to_date("ts"))
+    if betas is not None:  # the as-of joins by the one benchmark leave few partitions
+        a, b = a.repartition("instrument_id", "day"), b.repartition("instrument_id", "day")
     joined = a.join(b, ["instrument_id", "day"]).filter((F.col("ts") > F.col("a.ts")) & (F.col("ts") <= F.col("until")))
-    return joined.select("cluster_id", "instrument_id", F.col(clock).alias("clock"), "ts", return_bps(F.col("a.close"), F.col("close")).alias("cum_bps"))
+    cum = return_bps(F.col("a.close"), F.col("close"))
+    if betas is not None:
+        cum = F.when(F.col("bb_ts") > F.col("ba_ts"), cum - F.col("beta") * return_bps(F.col("ba_close"), F.col("bb_close"))).otherwise(cum)
+    return joined.select("cluster_id", "instrument_id", F.col(clock).alias("clock"), "ts", cum.alias("cum_bps"))
 
 
 def summary(points: DataFrame) -> DataFrame:

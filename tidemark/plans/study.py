@@ -84,6 +84,10 @@ def ladder_pivot(spark, sf) -> DataFrame:
     return wide.select("cluster_id", "instrument_id", *[r6(h).alias(f"abn_{h}") for h in C.HORIZONS])
 
 
+def _series(spark, sf, anchors, bars, until_days, **more) -> DataFrame:
+    return study.series(anchors, bars, until_days, betas=study.beta(V.bars_1d(spark, sf), V.BENCHMARK), benchmark=V.BENCHMARK, **more)
+
+
 SERIES = """, pts AS (SELECT a.cluster_id, a.instrument_id, a.anchor_ts, y.ts, (y.close - a_close) / a_close * 10000 AS cum_bps
   FROM a JOIN bars_session y ON a.instrument_id = y.instrument_id AND y.ts > a.a_ts AND y.ts <= a.anchor_ts + to_days({days}))
 """
@@ -92,7 +96,7 @@ SERIES = """, pts AS (SELECT a.cluster_id, a.instrument_id, a.anchor_ts, y.ts, (
 @query("anchors bars_session", LADDER + SERIES.format(days=1) + "SELECT cluster_id, instrument_id, ts, round(cum_bps, 6) AS cum_bps FROM pts WHERE cluster_id % 7 = 0")
 def cumulative_series(spark, sf) -> DataFrame:
     """A seventh of the stories is the report's own choice."""
-    points = study.series(V.anchors(spark, sf).filter("cluster_id % 7 = 0"), V.bars_session(spark, sf), 1)
+    points = _series(spark, sf, V.anchors(spark, sf).filter("cluster_id % 7 = 0"), V.bars_session(spark, sf), 1)
     return points.select("cluster_id", "instrument_id", "ts", r6("cum_bps").alias("cum_bps"))
 
 
@@ -105,7 +109,7 @@ SELECT cluster_id, instrument_id, round(first(cum_bps ORDER BY size DESC, ts), 6
 FROM s GROUP BY 1, 2""",
 )
 def reaction_summary(spark, sf) -> DataFrame:
-    s = study.summary(study.series(V.anchors(spark, sf), V.bars_session(spark, sf), 1))
+    s = study.summary(_series(spark, sf, V.anchors(spark, sf), V.bars_session(spark, sf), 1, extend=True))
     return s.select("cluster_id", "instrument_id", r6("peak_bps").alias("peak_bps"), F.round("minutes_to_peak", 3).alias("minutes_to_peak"), F.round("minutes_to_half", 3).alias("minutes_to_half"), "direction", r6("move_bps").alias("move_bps"), "n_points")
 
 
@@ -119,7 +123,7 @@ SELECT s.cluster_id, instrument_id, round(trough, 6) AS trough_bps, round(t.at,
 FROM s JOIN t USING (cluster_id) WHERE trough < 0 GROUP BY s.cluster_id, instrument_id, trough, t.at""",
 )
 def recovery(spark, sf) -> DataFrame:
-    r = study.recovery(study.series(V.anchors(spark, sf), V.bars_session(spark, sf), C.WINDOW_AFTER_DAYS))
+    r = study.recovery(_series(spark, sf, V.anchors(spark, sf), V.bars_session(spark, sf), C.WINDOW_AFTER_DAYS))
     return r.select("cluster_id", "instrument_id", *[r6(c).alias(c) for c in ("trough_bps", "hours_to_trough", "hours_to_half", "hours_to_full", "days_used")], "conclusive")
 
 
