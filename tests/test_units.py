@@ -155,6 +155,13 @@ def test_summaries_are_abnormal_and_fall_forward(spark):
     assert sum(x["n_points"] for x in got.values()) == len(want) and set(last) > {k for k, _ in brute_series(spark, 1)}
 
 
+def test_series_of_all_stories(spark):
+    from tidemark.plans import registry
+
+    got = {(x["cluster_id"], x["ts"]): x["cum_bps"] for x in registry.QUERIES["cumulative_series"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx(brute_series(spark, 1), abs=1e-5) and len({k % 7 for k, _ in got}) > 1
+
+
 def test_return_of_a_bad_price_fails(spark):
     with pytest.raises(Exception, match="positive"):
         one(spark, money.return_bps(F.lit(0.0), F.lit(1.0)))

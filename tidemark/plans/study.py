@@ -95,8 +95,7 @@ SERIES = """, pts AS (SELECT a.cluster_id, a.instrument_id, a.anchor_ts, y.ts, (
 
 @query("anchors bars_session", LADDER + SERIES.format(days=1) + "SELECT cluster_id, instrument_id, ts, round(cum_bps, 6) AS cum_bps FROM pts WHERE cluster_id % 7 = 0")
 def cumulative_series(spark, sf) -> DataFrame:
-    """A seventh of the stories is the report's own choice."""
-    points = _series(spark, sf, V.anchors(spark, sf).filter("cluster_id % 7 = 0"), V.bars_session(spark, sf), 1)
+    points = _series(spark, sf, V.anchors(spark, sf), V.bars_session(spark, sf), 1)
     return points.select("cluster_id", "instrument_id", "ts", r6("cum_bps").alias("cum_bps"))
 
 
