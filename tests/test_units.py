@@ -162,6 +162,24 @@ def test_series_of_all_stories(spark):
     assert got == pytest.approx(brute_series(spark, 1), abs=1e-5) and len({k % 7 for k, _ in got}) > 1
 
 
+def test_recoveries_last_thirty_days(spark, monkeypatch):
+    from tidemark.plans import registry
+    from tidemark.sources import views as V
+
+    daily = V.bars_1d(spark, "/root/testdata/sf0.001")
+    late = daily.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(8400)))  # days that follow the minutes
+    monkeypatch.setattr(V, "bars_1d", lambda *_: late)
+    start = {x["cluster_id"]: x["anchor_ts"] for x in V.anchors(spark, "/root/testdata/sf0.001").collect()}
+    bars = intervals.extended(V.bars_session(spark, "/root/testdata/sf0.001"), late)
+    low = {}
+    for (cluster, ts), cum in brute_series(spark, 30, bars=bars).items():
+        if ts > start[cluster]:
+            low[cluster] = min(low.get(cluster, (0.0, None)), (cum, ts))
+    got = {x["cluster_id"]: x for x in registry.QUERIES["recovery"](spark, "/root/testdata/sf0.001").collect()}
+    assert {k: x["trough_bps"] for k, x in got.items()} == pytest.approx({k: v[0] for k, v in low.items() if v[0] < 0}, abs=1e-5)
+    assert max(x["hours_to_trough"] for x in got.values()) > 24 * C.WINDOW_AFTER_DAYS and any(x["days_used"] >= C.CONCLUSIVE_DAYS for x in got.values())
+
+
 def test_return_of_a_bad_price_fails(spark):
     with pytest.raises(Exception, match="positive"):
         one(spark, money.return_bps(F.lit(0.0), F.lit(1.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.operators import study
+from tidemark.operators import intervals, study
 from tidemark.operators.asof import asof, fresh, with_next
 from tidemark.plans.sql import with_views
 from tidemark.sources import views as V
@@ -122,7 +122,9 @@ SELECT s.cluster_id, instrument_id, round(trough, 6) AS trough_bps, round(t.at,
 FROM s JOIN t USING (cluster_id) WHERE trough < 0 GROUP BY s.cluster_id, instrument_id, trough, t.at""",
 )
 def recovery(spark, sf) -> DataFrame:
-    r = study.recovery(_series(spark, sf, V.anchors(spark, sf), V.bars_session(spark, sf), C.WINDOW_AFTER_DAYS))
+    """Over minute bars, and daily closes after the last of them."""
+    bars = intervals.extended(V.bars_session(spark, sf), V.bars_1d(spark, sf))
+    r = study.recovery(_series(spark, sf, V.anchors(spark, sf), bars, C.RECOVERY_DAYS))
     return r.select("cluster_id", "instrument_id", *[r6(c).alias(c) for c in ("trough_bps", "hours_to_trough", "hours_to_half", "hours_to_full", "days_used")], "conclusive")
 
 
