@@ -180,6 +180,22 @@ def test_recoveries_last_thirty_days(spark, monkeypatch):
     assert max(x["hours_to_trough"] for x in got.values()) > 24 * C.WINDOW_AFTER_DAYS and any(x["days_used"] >= C.CONCLUSIVE_DAYS for x in got.values())
 
 
+def test_account_counts_the_cash_of_all_instruments(spark):
+    from tidemark.operators import broker
+    from tidemark.plans import registry
+    from tidemark.sources import views as V
+
+    rows = [(1, "buy", 2.0, 10.0, 0.5), (40, "buy", 3.0, 5.0, 0.25), (40, "sell", 1.0, 6.0, 0.25)]
+    fills = spark.createDataFrame(rows, "instrument_id long, side string, qty double, price double, fee double")
+    got = broker.account(fills, bars(spark, [(0, 11)]), F.lit(at(5)).cast("timestamp_ntz"), 100.0).first()
+    assert tuple(got) == pytest.approx((100 - 20.5 - 15.25 + 5.75, 22, 92))
+    none = broker.account(fills.filter("instrument_id = 40"), bars(spark, [(0, 11)]), F.lit(at(5)).cast("timestamp_ntz"), 100.0).first()
+    assert tuple(none) == pytest.approx((90.5, 0, 90.5))
+    all_fills = V.fills(spark, "/root/testdata/sf0.001").collect()
+    cash = 1_000_000 + sum((-1 if x["side"] == "buy" else 1) * x["qty"] * x["price"] - x["fee"] for x in all_fills)
+    assert registry.QUERIES["account_state"](spark, "/root/testdata/sf0.001").first()["cash_usd"] == pytest.approx(float(cash), abs=0.01)
+
+
 def test_return_of_a_bad_price_fails(spark):
     with pytest.raises(Exception, match="positive"):
         one(spark, money.return_bps(F.lit(0.0), F.lit(1.0)))

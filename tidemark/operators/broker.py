@@ -26,11 +26,11 @@ def place(intents: DataFrame, orders: DataFrame, bars: DataFrame, now: Column) -
 
 
 def account(fills: DataFrame, bars: DataFrame, now: Column, starting_cash: float) -> DataFrame:
-    """One row: cash, market value and equity; positions are net quantities at their last bar, whatever its age."""
+    """One row: cash, market value and equity; positions are net quantities at their last bar, whatever its age. One without a bar has cash but no value."""
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     book = fills.groupBy("instrument_id").agg(F.sum(sign * F.col("qty")).alias("qty"), F.sum(-sign * F.col("qty") * F.col("price") - F.col("fee")).alias("cash")).withColumn("now", now)
     marked = asof(book, bars, ["instrument_id"], "now", name="bar")
-    value = F.sum(F.col("qty").cast("double") * F.col("bar.close"))
+    value = F.coalesce(F.sum(F.col("qty").cast("double") * F.col("bar.close")), F.lit(0.0))
     return marked.agg((F.lit(float(starting_cash)) + F.sum("cash").cast("double")).alias("cash_usd"), value.alias("market_value_usd")).withColumn("equity_usd", F.col("cash_usd") + F.col("market_value_usd"))
 
 
