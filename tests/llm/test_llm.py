@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -512,6 +513,24 @@ def test_kneser_ney(spark, shard_rows):
         assert got[i] == pytest.approx(ppl(t), rel=1e-4)
 
 
+def test_quality_sums_shards_of_rows_in_any_order(spark):
+    r = random.Random(32)
+    texts = [words(r, 30, 20) for _ in range(40)]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x["doc_id"]: x["perplexity"] for x in quality_lm.score(docs, model).collect()}
+    reads = spark.sparkContext.accumulator(0)
+
+    def shaken(batches):  # another order at each read
+        reads.add(1)
+        for b in batches:
+            yield b.take(pa.array(np.random.permutation(b.num_rows)))
+
+    got = quality_lm.score(docs.repartition(1).mapInArrow(shaken, docs.schema), model, shard_rows=40).collect()
+    assert reads.value == 1 and len(got) == len(want)
+    assert {x["doc_id"]: x["perplexity"] for x in got} == pytest.approx(want, rel=1e-6)
+
+
 def test_quality_keeps_clean_texts(spark):
     r = random.Random(10)
     rows = [(i, words(r, 60, 50), "en" if i % 2 else None) for i in range(200)] + [(1000 + i, "".join(chr(r.randrange(33, 120)) for _ in range(300)), "en") for i in range(20)] + [(3000, None, "xx"), (None, "w1 w2", "en")]

@@ -231,11 +231,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     keep = [F.col(c).alias(f"x{i}") for i, c in enumerate(extra)]
     kinds = "".join(f"x{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(extra))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    parts = list(_parts(rows, model, shard_rows, f"doc_id long, {kinds}logp double, n_bytes long"))
+    names = ["doc_id", *[f"x{i}" for i in range(len(extra))]]
+    schema = f"doc_id long, {kinds}"
+    several = model.grams.count() + model.contexts.count() > shard_rows
+    if several:  # sums add up by a number that rows are given once, whatever order later reads have them in
+        rows = checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
+        schema += "_row long, "
+    parts = list(_parts(rows, model, shard_rows, schema + "logp double, n_bytes long"))
     out = parts[0]
-    if len(parts) > 1:  # rows of the same scan, so sums line up by a number that each part gives its rows
-        names = ["doc_id", *[f"x{i}" for i in range(len(extra))]]
-        out = _union(parts).groupBy("_row", *names).agg(F.sum("logp").alias("logp"), F.first("n_bytes").alias("n_bytes"))
+    if several:
+        out = _union(parts).groupBy("_row").agg(*[F.first(c).alias(c) for c in names], F.sum("logp").alias("logp"), F.first("n_bytes").alias("n_bytes"))
     return out.select("doc_id", *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)], F.exp(-F.col("logp") / F.col("n_bytes")).alias("perplexity"))
 
 
@@ -243,8 +248,7 @@ def _parts(rows: DataFrame, model: Model, shard_rows: int, schema: str) -> Itera
     context, order = rows.sparkSession.sparkContext, model.order
     for shard in model.shards(shard_rows):
         held = context.broadcast(shard)
-        got = map_arrow(rows, lambda it, held=held: _scored(it, held.value, order), schema)
-        yield got.withColumn("_row", F.monotonically_increasing_id())
+        yield map_arrow(rows, lambda it, held=held: _scored(it, held.value, order), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> DataFrame:
