@@ -138,6 +138,31 @@ def test_ngram_join_of_a_large_group_in_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(brute_links(rows))
 
 
+def test_ngram_join_of_rows_without_ids_or_with_one_id(spark):
+    """Rows that share an id aren't joined to each other by it: every text is met once."""
+    r = random.Random(31)
+    texts = [words(r, 30) for _ in range(150)]
+    near = [t.replace(t.split()[-1], "other") for t in texts[:60]]
+    for id_ in (None, 7):
+        rows = [(id_, t) for t in [*texts, *near, *texts[:20]]]
+        got = [(x["doc_id"], x["class_id"], x["n_links"]) for x in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert sorted(got, key=key) == sorted(brute_links(rows), key=key)
+
+
+def test_walks_of_sub_tries_link_what_is_near():
+    r = np.random.default_rng(4)
+    deep = np.sort(r.integers(0, 3, 40) << 16 | r.integers(0, 3, 40))
+    sketch = r.integers(0, 1 << 62, (6, 2)).astype(np.uint64)[r.integers(0, 6, 40)]
+    sketch ^= np.uint64(1) << r.integers(0, 64, (40, 2)).astype(np.uint64)
+    label = ngram_join.walked(deep, sketch, 3, 5)
+    near = np.bitwise_count(sketch[:, None] ^ sketch[None, :]).sum(2) <= 5
+    want = np.arange(40)
+    while (want != (now := np.where(near, want[None, :], 99).min(1))).any():
+        want = now
+    assert (label == want).all()
+    assert 0.2 < ngram_join.most_unlike(0.8) / ngram_join.SKETCH < 0.3
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     docs, rows = corpus(spark)
     classes = {a: b for a, b, _ in brute_links(rows)}

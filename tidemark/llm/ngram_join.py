@@ -1,22 +1,30 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 A signature holds TREES tries' labels of DEPTH hashes each. Texts that are the
-same words become one node first, so copies are never joined to each other. The
-tries are sorted by their shortest useful prefix: the longest at which two
-texts of the threshold's similarity still share a prefix in some trie with the
-target recall. Nodes of a common prefix form components, found by star edges to
-the least node of each prefix, never by pairs. Within a component (or two
-blocks of a large one) prefixes start at full depth and are shortened until the
-recall, estimated from the pairs verified so far, reaches the target; every
-candidate pair is verified by exact Jaccard similarity of shingle sets.
-
-Pairs stay inside a task: what leaves it is a row for each node, with its links
-counted and the least node that it is linked to.
+same words become one node first, so copies are never joined to each other.
+
+Each trie is cut into sub-tries at the floor: the longest prefix at which two
+texts of the threshold's similarity share a prefix in some trie with the target
+recall. A sub-trie is sorted by what its labels have beyond the floor and is
+walked from the leaves: nodes of a common prefix are compared by sketches of
+SKETCH bits, then the prefix is shortened by a hash, and so on down to the
+floor. Nodes linked at a longer prefix count as one at the shorter ones, so
+only pairs of different sets are compared there. Sketches leave out what can't
+reach the threshold, so sets of linked nodes don't grow by texts that merely
+share a prefix. Sub-tries of more than ``WIDE`` nodes link all their nodes to
+one by a join and are sorted out by the verification alone.
+
+Linked nodes form components. The pairs of a component (or of two blocks of a
+large one) that share a prefix in some trie are candidates, and each is
+verified by the exact Jaccard similarity of shingle sets. Pairs stay inside a
+task: what leaves it is a row for each node, with its links counted and the
+least node that it is linked to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +37,14 @@ from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, many_shingles, m
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 TARGET = 0.999
+#: Bits of a sketch, one for each of so many hashes of the signature.
+SKETCH = 128
+#: Nodes of a sub-trie that one task walks.
+WIDE = 512
 #: Nodes, and shingles, of one block of a large component.
 BLOCK_NODES, BLOCK_SHINGLES = 160, 400_000
+#: Rows that a task of the verification gets, about.
+TASK_ROWS = 1024
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -54,23 +68,114 @@ def prefix_keys(sig: np.ndarray, depth: int, trees: int = TREES, levels: int = D
     return out
 
 
+def most_unlike(threshold: float, bits: int = SKETCH, loss: float = 1e-6) -> int:
+    """In how many bits the sketches of a pair at the threshold differ at most, but for the loss."""
+    p = (1 - threshold) / 2  # hashes that aren't equal have equal bits half the time
+    tail, d = 1.0, -1
+    while tail > loss and d < bits:
+        d += 1
+        tail -= comb(bits, d) * p**d * (1 - p) ** (bits - d)
+    return d
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(rows, 2): a bit of each of the first SKETCH hashes."""
+    bits = (sig[:, :SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bits.astype(bool), axis=1).view(np.uint64)
+
+
+def beyond(sig: np.ndarray, floor: int) -> np.ndarray:
+    """(rows, TREES): eight bits of each hash of a label beyond the floor, so that sorting puts longer common prefixes together."""
+    s = sig.reshape(len(sig), TREES, DEPTH)
+    out = np.zeros((len(sig), TREES), np.int64)
+    for j in range(floor, DEPTH):
+        out = out << 8 | (s[:, :, j].astype(np.int64) & 255)
+    return out
+
+
 def _signed(batches: Iterator[pa.RecordBatch], depth: int, n: int) -> Iterator[pa.RecordBatch]:
     hashes, minhash = WordHashes(), MinHash(TREES * DEPTH)
     for batch in sliced(batches):
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         lists = [words_of(text) for text in texts]
         nodes = [text_key(words) for words in lists]
         sizes = np.array([max(len(x) - n + 1, min(len(x), 1)) for x in lists], np.int64)
-        keys = np.zeros((len(texts), TREES), np.int64)
+        sig = np.zeros((len(texts), TREES * DEPTH), np.uint32)
         whole = [i for i, x in enumerate(lists) if len(x) >= n]
         short = [i for i, x in enumerate(lists) if 0 < len(x) < n]
         flat, counts = many_shingles([lists[i] for i in whole], hashes, n)
-        for rows, sig in ((whole, minhash.flat(flat, counts)), (short, minhash.of([shingle_hashes(lists[i], hashes, n) for i in short]))):
+        for rows, got in ((whole, minhash.flat(flat, counts)), (short, minhash.of([shingle_hashes(lists[i], hashes, n) for i in short]))):
             if rows:
-                keys[rows] = prefix_keys(sig, depth).view(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, TREES, 0))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].ravel()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(sizes), lists], ["doc_id", "node", "n_shingles", "keys"])
+                sig[rows] = got
+        some = np.nonzero(sizes)[0]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, TREES, 0))]).astype(np.int32))
+        keys = pa.ListArray.from_arrays(offsets, pa.array(prefix_keys(sig[some], depth).view(np.int64).ravel()))
+        deep = pa.ListArray.from_arrays(offsets, pa.array(beyond(sig[some], depth).ravel()))
+        sketch = sketches(sig).view(np.int64)
+        columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes), keys, deep, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "n_shingles", "keys", "deep", "s0", "s1"])
+
+
+_SIGNED = "doc_id long, th long, node binary, n_shingles long, keys array<long>, deep array<long>, s0 long, s1 long"
+
+
+def walked(deep: np.ndarray, sketch: np.ndarray, levels: int, unlike: int) -> np.ndarray:
+    """The least row that each row of a sorted sub-trie is linked to, from the longest prefixes to the sub-trie's own."""
+    label = np.arange(len(deep))
+    for level in range(levels + 1):
+        prefix = deep >> (8 * level)
+        starts = np.nonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))[0]
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(deep)]):
+            if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
+                continue
+            part = label[lo:hi]
+            other = part[:, None] != part[None, :]
+            i, j = np.nonzero(np.triu(other, 1))
+            near = np.bitwise_count(sketch[lo + i] ^ sketch[lo + j]).sum(1) <= unlike
+            for x, y in zip(part[i[near]].tolist(), part[j[near]].tolist()):
+                x, y = label[x], label[y]
+                while label[x] != x:
+                    x = label[x]
+                while label[y] != y:
+                    y = label[y]
+                label[max(x, y)] = min(x, y)
+            while True:  # roots of all
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+    return label
+
+
+def _walked(batches: Iterator[pa.RecordBatch], levels: int, unlike: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): links of sub-tries, which come one after the other and sorted."""
+
+    def links(key: np.ndarray, deep: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        two = starts[sizes == 2]
+        near = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1) <= unlike
+        a, b = [node[two[near] + 1]], [node[two[near]]]
+        for lo, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            label = walked(deep[lo : lo + m], sketch[lo : lo + m], levels, unlike)
+            linked = np.nonzero(label != np.arange(m))[0]
+            a.append(node[lo + linked])
+            b.append(node[lo + label[linked]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        key, deep, node, s0, s1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        now = [key, deep, node, np.stack([s0, s1], 1).view(np.uint64)]
+        now = [np.concatenate(x) for x in zip(held, now)] if held else now
+        if not len(now[0]):
+            continue
+        last = int(np.nonzero(now[0] != now[0][-1])[0][-1]) + 1 if now[0][0] != now[0][-1] else 0
+        if last:
+            yield links(*[x[:last] for x in now])
+        held = [x[last:] for x in now]
+    if held and len(held[0]):
+        yield links(*held)
 
 
 class _Block:
@@ -106,47 +211,37 @@ class _Block:
             out += part @ part.T
         return out
 
-    def links(self, minhash: MinHash, across: bool, threshold: float, target: float, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j) with i < j whose similarity reaches the threshold."""
-        n = len(self.sets)
+    def verified(self, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose similarity reaches the threshold; a matrix product serves where most pairs of the block are asked for."""
         sizes = np.array([len(s) for s in self.sets], np.float64)
-        side = np.array([x[0] for x in self.seen.values()])
-        sig, shared = minhash.of(self.sets), self.shared()
-        done = np.tri(n, dtype=bool)  # pairs already looked at, and the lower half
+        close = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
+        i, j = i[close], j[close]
+        shared = self.shared() if len(i) * 8 > len(sizes) ** 2 else None
+        both = shared[i, j].astype(np.float64) if shared is not None else np.array([np.intersect1d(self.sets[x], self.sets[y], assume_unique=True).size for x, y in zip(i, j)], np.float64)
+        ok = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+        return i[ok], j[ok]
+
+    def candidates(self, keys: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) with i < j that share a key; across blocks only pairs of both sides."""
+        n = len(self.sets)
+        match = np.zeros((n, n), bool)
+        for t in range(keys.shape[1]):
+            match |= keys[:, t][:, None] == keys[:, t][None, :]
         if across:
-            done |= side[:, None] == side[None, :]
-        found_i, found_j, similarities = [], [], []
-        for depth in range(DEPTH, floor - 1, -1):
-            keys = prefix_keys(sig, depth)
-            match = np.zeros((n, n), bool)
-            for t in range(TREES):
-                match |= keys[:, t][:, None] == keys[:, t][None, :]
-            match &= ~done
-            done |= match
-            i, j = np.nonzero(match)
-            if len(i):
-                both = shared[i, j].astype(np.float64) if shared is not None else np.array([np.intersect1d(self.sets[x], self.sets[y], assume_unique=True).size for x, y in zip(i, j)], np.float64)
-                s = both / (sizes[i] + sizes[j] - both)
-                ok = s >= threshold
-                found_i.append(i[ok])
-                found_j.append(j[ok])
-                similarities.append(s[ok])
-            if similarities and depth > floor:
-                s = np.concatenate(similarities)
-                if len(s):
-                    # pairs that there must be, for each found one, by its chance to be found; one more at the threshold for prudence
-                    missed = (1 / (1 - (1 - s**depth) ** TREES) - 1).sum() + 1 / recall(threshold, depth) - 1
-                    if missed <= (1 - target) * len(s):
-                        break
-        empty = np.empty(0, np.int64)
-        return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (empty, empty)
-
-    def rows(self, minhash: MinHash, across: bool, threshold: float, target: float, floor: int) -> Iterator[tuple[bytes, bytes, int]]:
+            side = np.array([x[0] for x in self.seen.values()])
+            match &= side[:, None] != side[None, :]
+        return np.nonzero(np.triu(match, 1))
+
+    def links(self, keys_of, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        return self.verified(*self.candidates(keys_of(self.sets), across), threshold)
+
+    def rows(self, keys_of, across: bool, threshold: float) -> Iterator[tuple[bytes, bytes, int]]:
+        """(node, least node linked to it, links) for the nodes that have links; ``keys_of`` gives the keys of shingle sets."""
         nodes = list(self.seen)
         if len(nodes) < 2:
             return
         copies = np.array([x[1] for x in self.seen.values()], np.int64)
-        i, j = self.links(minhash, across, threshold, target, floor)
+        i, j = self.links(keys_of, across, threshold)
         count = np.zeros(len(nodes), np.int64)
         np.add.at(count, i, copies[j])
         np.add.at(count, j, copies[i])
@@ -164,13 +259,11 @@ class _Block:
             yield nodes[x], by_rank[int(least[x])], int(count[x])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float, target: float, floor: int, n: int) -> Iterator[pa.RecordBatch]:
-    hashes, minhash = WordHashes(), MinHash(TREES * DEPTH)
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, keys_of, n: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+    """(node, root, links) of blocks, which come one after the other."""
+    hashes = WordHashes()
     out: list[tuple[bytes, bytes, int]] = []
 
-    def flush(block: _Block, bi: int, bj: int) -> None:
-        out.extend(block.rows(minhash, bi != bj, threshold, target, floor))
-
     def batch_of() -> pa.RecordBatch:
         columns = list(zip(*out)) or [[], [], []]
         out.clear()
@@ -181,19 +274,52 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float, target: float
         for comp, bi, bj, side, node, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
             if at != (comp, bi, bj):
                 if at:
-                    flush(block, *at[1:])
+                    out.extend(block.rows(keys_of, at[1] != at[2], threshold))
                 at, block = (comp, bi, bj), _Block()
             if node not in block.seen:
-                words = words_of(text)
-                if text_key(words) == node:  # another row may bear the same id
-                    block.add(node, side, copies, shingle_hashes(words, hashes, n))
+                block.add(node, side, copies, shingle_hashes(words_of(text), hashes, n))
         if len(out) > 50_000:
             yield batch_of()
     if at:
-        flush(block, *at[1:])
+        out.extend(block.rows(keys_of, at[1] != at[2], threshold))
     yield batch_of()
 
 
+def in_blocks(members: DataFrame, total: int) -> DataFrame:
+    """Add ``n_blocks`` and ``side``: into how many blocks of bounded size a member's component falls, and in which one it is."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = members.groupBy("component").agg(blocks.alias("n_blocks"), F.count(F.lit(1)).alias("m")).withColumnRenamed("component", "_c")
+    return join_counted(members, sizes, [("component", "_c")], "m", total).drop("_c", "m").withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+
+
+def verified(rows: DataFrame, n_rows: int, threshold: float, keys_of, n: int = SHINGLE) -> DataFrame:
+    """(node, root, links) for rows with component, n_blocks, side, node, copies and text, each of which goes to all pairs of its block with another.
+
+    The pairs of a component go to partitions in turn, so no partition gets
+    several pairs of a large one while others have none.
+    """
+    last = F.col("n_blocks") - 1
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
+    i, j = F.col("_p.i"), F.col("_p.j")
+    turn = i * F.col("n_blocks") - F.floor(i * (i - 1) / 2) + j - i
+    parts = min(max(n_rows // TASK_ROWS, 8), 20_000)
+    dealt = rows.withColumn("_p", F.explode(pairs)).select("component", i.alias("bi"), j.alias("bj"), "side", "node", "copies", "text", F.pmod(F.xxhash64("component") + turn, F.lit(parts)).cast("int").alias("slot"))
+    dealt = dealt.repartitionById(parts, "slot").drop("slot").sortWithinPartitions("component", "bi", "bj")
+    return map_arrow(dealt, lambda it: _verified(it, threshold, keys_of, n), "node binary, root binary, links long")
+
+
+def forest_keys(floor: int):
+    """A function from shingle sets to their prefix keys."""
+    held: list[MinHash] = []
+
+    def keys(sets: list[np.ndarray]) -> np.ndarray:
+        if not held:
+            held.append(MinHash(TREES * DEPTH))
+        return prefix_keys(held[0].of(sets), floor)
+
+    return keys
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET, n: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id, n_links), a row for each row of ``docs``.
 
@@ -201,31 +327,39 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similarity of at least ``threshold``, copies included. ``class_id`` is the
     least doc_id of those linked directly or through others, or the document's
     own. Texts without words are linked to none, not even to each other. Null
-    ids are allowed (the class is then the least id that isn't null); repeated
-    rows count as copies. An empty table gives an empty result.
+    ids are allowed (the class is then the least id that isn't null); rows that
+    repeat an id, with the same text or another, are documents of their own.
+    Texts of fewer than ``n`` words are one shingle; very long ones are read
+    whole. There are no ties: every link counts. Other columns play no part,
+    whatever their names. An empty table gives an empty result.
     """
     floor = shortest_depth(threshold, target)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpoint(map_arrow(source, lambda it: _signed(it, floor, n), "doc_id long, node binary, n_shingles long, keys array<long>"))
-    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    nodes = checkpoint(nodes)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    signed = checkpoint(map_arrow(source, lambda it: _signed(it, floor, n), _SIGNED))
+    first = [F.first(c).alias(c) for c in ("n_shingles", "keys", "deep", "s0", "s1")]
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "th")).alias("row"), F.count(F.lit(1)).alias("copies"), *first)
+    nodes = checkpoint(nodes.withColumn("short", F.xxhash64("node")))
     n_rows, n_nodes = signed.count(), nodes.count()
-    posts = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    hubs = posts.groupBy("tree", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("tree").alias("_t"), F.col("key").alias("_k"), "hub", "m")
-    stars = join_counted(posts, hubs, [("tree", "_t"), ("key", "_k")], "m", n_nodes * TREES).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    comps = connected_components(stars)
+
+    # sub-tries: a key holds its trie's number, so it stands alone
+    posts = nodes.select("short", "s0", "s1", F.explode(F.arrays_zip("keys", "deep")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.deep").alias("deep"), "short", "s0", "s1")
+    hubs = posts.groupBy("key").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "_k")
+    met = join_counted(posts, hubs, [("key", "_k")], "m", n_nodes * TREES)
+    levels, unlike = DEPTH - floor, most_unlike(threshold)
+    narrow = met.filter(F.col("m") <= WIDE).select("key", "deep", "short", "s0", "s1").repartition("key").sortWithinPartitions("key", "deep", "short")
+    edges = map_arrow(narrow, lambda it: _walked(it, levels, unlike), "a long, b long")
+    edges = edges.unionByName(met.filter((F.col("m") > WIDE) & (F.col("short") != F.col("hub"))).select(F.col("short").alias("a"), F.col("hub").alias("b")))
+    comps = connected_components(edges.distinct()).withColumnRenamed("node", "_n")
 
     # components in blocks of bounded size, the texts of their nodes brought to them
-    members = checkpoint(comps.withColumnRenamed("node", "_n").join(nodes.drop("keys"), F.col("_n") == F.col("node")).drop("_n"))
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n_blocks"), F.count(F.lit(1)).alias("m")).withColumnRenamed("component", "_c")
-    members = join_counted(members, sizes, [("component", "_c")], "m", n_nodes).select(F.col("min_id"), "node", "component", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("side"))
+    members = checkpoint(comps.join(nodes.select("node", "short", "row", "copies", "n_shingles"), F.col("_n") == F.col("short")).drop("_n", "short"))
+    members = checkpoint(in_blocks(members, n_nodes))
     bits = filter_bits(n_nodes)
-    wanted = with_flag(source, F.xxhash64("doc_id"), bits, member_filter(members, F.xxhash64("min_id"), bits), "_wanted").filter("_wanted")
-    texts = wanted.join(members, F.col("doc_id").eqNullSafe(F.col("min_id")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
-    blocks = texts.withColumn("_p", F.explode(pairs)).select("component", F.col("_p.i").alias("bi"), F.col("_p.j").alias("bj"), "side", "node", "copies", "text")
-    blocks = blocks.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    linked = checkpoint(map_arrow(blocks, lambda it: _verified(it, threshold, target, floor, n), "node binary, root binary, links long"))
+    wanted = with_flag(source, F.xxhash64("doc_id", "th"), bits, member_filter(members, F.xxhash64("row.doc_id", "row.th"), bits), "_wanted").filter("_wanted").drop("_wanted")
+    wanted = wanted.groupBy("doc_id", "th").agg(F.first("text").alias("text"))  # a row of each that repeat an id and a text
+    texts = wanted.join(members, F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("th") == F.col("row.th")))
+    n_dealt = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    linked = checkpoint(verified(texts, n_dealt, threshold, forest_keys(floor), n))
     classes = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_l")
     ids = nodes.select(F.col("node").alias("_n"), "min_id", "copies")
