@@ -236,14 +236,6 @@ def test_substring_dedup_of_many_copies(spark):
     assert sorted(x["doc_id"] for x in got) == list(range(1, 50)) and {x["keep_doc_id"] for x in got} == {0}
 
 
-def test_sentences_join_short_ones_and_cover_the_line():
-    line = "Oh no. It is so. This one has six words here. Yes. End."
-    got = [(line[a:b], w) for a, b, w in substring_dedup.sentences(0, line)]
-    assert [g for g, _ in got] == ["Oh no. It is so.", "This one has six words here.", "Yes. End."]
-    assert sum((w for _, w in got), []) == line.lower().split()
-    assert list(substring_dedup.sentences(3, "")) == []
-
-
 def test_substring_dedup_of_short_sentences(spark):
     r = random.Random(13)
     rows = [(i, words(r, 30) + ". " + "is so. " * 30 + words(r, 30)) for i in range(4)]
@@ -296,7 +288,7 @@ def test_hashes_of_runs_by_doubling():
     r = np.random.default_rng(3)
     w = r.integers(0, 4, 400, dtype=np.uint64)
     for n in (1, 2, 13, 16, 25):
-        h, g = substring_dedup.run_hashes(w, n), substring_dedup.least_of(w, n)
+        h, g = substring_dedup.run_hashes(w, n), w[substring_dedup.least_at(w, n)]
         runs = [tuple(w[i : i + n].tolist()) for i in range(len(w) - n + 1)]
         assert len(set(zip(h.tolist(), runs))) == len(set(h.tolist())) == len(set(runs))
         assert g.tolist() == [min(x) for x in runs]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,9 +107,9 @@ def filter_bits(n: int) -> int:
     return bits
 
 
-def _slots(h: Column, bits: int) -> list[Column]:
-    """Two slots from 1 to ``bits`` for a 64-bit hash."""
-    return [F.pmod(h, F.lit(bits)) + 1, F.pmod(F.xxhash64(h, F.lit(7)), F.lit(bits)) + 1]
+def _slots(h: Column, bits: int, hashes: int = 2) -> list[Column]:
+    """One slot or two, from 1 to ``bits``, for a 64-bit hash."""
+    return [F.pmod(h, F.lit(bits)) + 1, F.pmod(F.xxhash64(h, F.lit(7)), F.lit(bits)) + 1][:hashes]
 
 
 def _bitmaps(slots: DataFrame) -> DataFrame:
@@ -116,33 +117,93 @@ def _bitmaps(slots: DataFrame) -> DataFrame:
     return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
 
 
-def member_filter(df: DataFrame, h: Column, bits: int) -> DataFrame:
+def member_filter(df: DataFrame, h: Column, bits: int, hashes: int = 2) -> DataFrame:
     """A Bloom filter of the hashes ``h``."""
-    return _bitmaps(df.select(F.explode(F.array(*_slots(h, bits))).alias("slot")))
+    return _bitmaps(df.select(F.explode(F.array(*_slots(h, bits, hashes))).alias("slot")))
 
 
-def repeat_filter(df: DataFrame, h: Column, bits: int) -> DataFrame:
+def repeat_filter(df: DataFrame, h: Column, bits: int, hashes: int = 2) -> DataFrame:
     """A Bloom filter that holds every hash which occurs twice or more, and few others.
 
     Only slot numbers with counts shuffle, summed on the map side; a slot that
     two rows hit gets its bit.
     """
-    slots = df.select(F.explode(F.array(*_slots(h, bits))).alias("slot"))
+    slots = df.select(F.explode(F.array(*_slots(h, bits, hashes))).alias("slot"))
     return _bitmaps(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("slot"))
 
 
-def with_flag(df: DataFrame, h: Column, bits: int, bitmaps: DataFrame, flag: str) -> DataFrame:
+def _slots_of(batches: Iterator[pa.RecordBatch], bits: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(bucket, positions) of the hashes in lists of longs: two bytes for each slot that was hit, four where it was hit again."""
+    waiting: list[np.ndarray] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal size
+        slot, n = np.unique(np.concatenate(waiting) if waiting else np.empty(0, np.int64), return_counts=True)
+        slot = np.repeat(slot, np.minimum(n, 2))
+        waiting.clear()
+        size = 0
+        bucket = slot >> 15
+        starts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0] if len(slot) else np.empty(0, np.int64)
+        cuts = np.concatenate([starts, [len(slot)]]).astype(np.int32) * 2
+        positions = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer((slot & 32767).astype("<u2").tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts] + 1), positions], ["bucket", "positions"])
+
+    for batch in batches:
+        h = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        waiting.append(h % np.int64(bits))
+        size += len(h)
+        if size > most:
+            yield out()
+    yield out()
+
+
+def _hit_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the positions that come twice in a bucket; rows of a bucket come one after the other."""
+    at, hits = None, np.zeros(BITMAP_BITS, np.uint8)
+    rows: list[tuple[int, bytes]] = []
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[], []]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["bucket", "bitmap"])
+
+    def close() -> None:
+        if at is not None and (hits > 1).any():
+            rows.append((at, np.packbits(hits > 1, bitorder="little").tobytes()))
+
+    for batch in batches:
+        for bucket, positions in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bucket != at:
+                close()
+                at = bucket
+                hits[:] = 0
+            position, n = np.unique(np.frombuffer(positions, "<u2"), return_counts=True)
+            hits[position] = np.minimum(hits[position] + n, 2)
+        if len(rows) > 500:
+            yield out()
+    close()
+    yield out()
+
+
+def repeats(df: DataFrame, bits: int) -> DataFrame:
+    """``repeat_filter`` with one slot a hash for a column of lists of hashes: a slot shuffles as two bytes. A list should not repeat a hash."""
+    slots = map_arrow(df, lambda it: _slots_of(it, bits), "bucket long, positions binary")
+    return map_arrow(slots.repartition("bucket").sortWithinPartitions("bucket"), _hit_twice, "bucket long, bitmap binary")
+
+
+def with_flag(df: DataFrame, h: Column, bits: int, bitmaps: DataFrame, flag: str, hashes: int = 2) -> DataFrame:
     """Add ``flag``: whether the filter may hold the hash. Only the bounded filter is broadcast."""
     out = df.withColumn("_h", h)
     tests = []
-    for i, slot in enumerate(_slots(F.col("_h"), bits)):
+    for i, slot in enumerate(_slots(F.col("_h"), bits, hashes)):
         b = F.broadcast(bitmaps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_bitmap{i}")))
         out = out.withColumn(f"_slot{i}", slot)
         out = out.join(b, F.bitmap_bucket_number(f"_slot{i}") == F.col(f"_bucket{i}"), "left")
         at = F.bitmap_bit_position(f"_slot{i}")
         byte = F.conv(F.hex(F.substring(F.col(f"_bitmap{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         tests.append(F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
-    return out.withColumn(flag, tests[0] & tests[1]).drop("_h", *[f"_{x}{i}" for x in ("bucket", "bitmap", "slot") for i in (0, 1)])
+    return out.withColumn(flag, tests[0] & tests[-1]).drop("_h", *[f"_{x}{i}" for x in ("bucket", "bitmap", "slot") for i in (0, 1)])
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -285,6 +285,15 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float, keys_of, n: i
     yield batch_of()
 
 
+def linked(posts: DataFrame, total: int, levels: int, unlike: int) -> DataFrame:
+    """(a, b): links between the ``short`` numbers of nodes in each sub-trie of ``posts``: key, deep, short, s0, s1."""
+    hubs = posts.groupBy("key").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "_k")
+    met = join_counted(posts, hubs, [("key", "_k")], "m", total)
+    narrow = met.filter(F.col("m") <= WIDE).select("key", "deep", "short", "s0", "s1").repartition("key").sortWithinPartitions("key", "deep", "short")
+    stars = met.filter((F.col("m") > WIDE) & (F.col("short") != F.col("hub"))).select(F.col("short").alias("a"), F.col("hub").alias("b"))
+    return map_arrow(narrow, lambda it: _walked(it, levels, unlike), "a long, b long").unionByName(stars).distinct()
+
+
 def in_blocks(members: DataFrame, total: int) -> DataFrame:
     """Add ``n_blocks`` and ``side``: into how many blocks of bounded size a member's component falls, and in which one it is."""
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
@@ -343,13 +352,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # sub-tries: a key holds its trie's number, so it stands alone
     posts = nodes.select("short", "s0", "s1", F.explode(F.arrays_zip("keys", "deep")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.deep").alias("deep"), "short", "s0", "s1")
-    hubs = posts.groupBy("key").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "_k")
-    met = join_counted(posts, hubs, [("key", "_k")], "m", n_nodes * TREES)
-    levels, unlike = DEPTH - floor, most_unlike(threshold)
-    narrow = met.filter(F.col("m") <= WIDE).select("key", "deep", "short", "s0", "s1").repartition("key").sortWithinPartitions("key", "deep", "short")
-    edges = map_arrow(narrow, lambda it: _walked(it, levels, unlike), "a long, b long")
-    edges = edges.unionByName(met.filter((F.col("m") > WIDE) & (F.col("short") != F.col("hub"))).select(F.col("short").alias("a"), F.col("hub").alias("b")))
-    comps = connected_components(edges.distinct()).withColumnRenamed("node", "_n")
+    edges = linked(posts, n_nodes * TREES, DEPTH - floor, most_unlike(threshold))
+    comps = connected_components(edges).withColumnRenamed("node", "_n")
 
     # components in blocks of bounded size, the texts of their nodes brought to them
     members = checkpoint(comps.join(nodes.select("node", "short", "row", "copies", "n_shingles"), F.col("_n") == F.col("short")).drop("_n", "short"))
@@ -359,9 +363,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = wanted.groupBy("doc_id", "th").agg(F.first("text").alias("text"))  # a row of each that repeat an id and a text
     texts = wanted.join(members, F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("th") == F.col("row.th")))
     n_dealt = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
-    linked = checkpoint(verified(texts, n_dealt, threshold, forest_keys(floor), n))
-    classes = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_l")
+    near = checkpoint(verified(texts, n_dealt, threshold, forest_keys(floor), n))
+    classes = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = near.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_l")
     ids = nodes.select(F.col("node").alias("_n"), "min_id", "copies")
     known = ids.join(classes, F.col("_n") == F.col("node"), "left").join(links, F.col("_n") == F.col("_l"), "left").select("_n", "min_id", "copies", F.coalesce("component", "_n").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     least = known.groupBy("root").agg(F.min("min_id").alias("class_id"), F.count(F.lit(1)).alias("m")).withColumnRenamed("root", "_r")

@@ -2,46 +2,44 @@
 
 Paragraphs are lines of at least ``LEAST_WORDS`` words. Equal ones are one
 node. Nodes that share a band of their MinHash signature collide; bands are
-tuned to the recall wanted at the threshold. Collisions are star edges to the
-least node of a band, components of them are verified block by block with
-exact Jaccard similarity of word shingles, and components of the verified
-links are what is cut: the first paragraph of each stays, all others go.
-
-A passage pasted into the middle of a paragraph leaves the paragraphs around it
-unlike, so sentences are compared too, by exact hashes: runs of successive
-sentences that an earlier document has go, when they add up to ``LEAST_WORDS``
-words.
-
-Neither finds a passage that starts and ends inside sentences, so every run of
-``LEAST_WORDS`` words that an earlier document has goes too, across sentences
-and lines. Of the grams of half as many words in such a run the one of least
-hash stands for it: equal runs have equal ones. Only runs whose gram two
-documents have are hashed whole and compared; a filter of those grams goes to
-the tasks that read the texts again. Order is by doc_id and then by position.
+tuned to the recall wanted at the threshold. Colliding nodes whose sketches
+could reach the threshold are linked, and of each component of links the pairs
+that share a band are verified by the exact Jaccard similarity of their word
+shingles. Components of verified pairs are what is cut: the first paragraph of
+each stays, all others go.
+
+A passage pasted inside a paragraph leaves the paragraphs around it unlike, so
+there are paragraphs cut by content too: of every ``WINDOW`` successive grams
+of ``GRAM`` words, across lines, the one of least hash. A text's anchors are
+such grams, and two texts that share ``GRAM + WINDOW - 1`` words in a row share
+an anchor of them. Grams are compared exactly, so there is nothing to band: an
+anchor that an earlier document has goes, with the words before and after it
+for as long as both texts agree. Neighbouring anchors overlap or touch, so a
+repeated passage goes as one span.
+
+Texts are read twice: once for signatures and anchors' hashes, which fill
+filters of bounded size, then for what the filters may hold. Order is by
+doc_id, then by the hash of the text, then by position.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, sliced
-from tidemark.llm.ngram_join import BLOCK_NODES, BLOCK_SHINGLES, _Block
-from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, many_shingles, mix, shingle_hashes, text_key, words_of
+from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, repeats, sliced, with_flag
+from tidemark.llm.ngram_join import SKETCH, in_blocks, linked, most_unlike, sketches, verified
+from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, many_shingles, mix, text_key, words_of
 
 THRESHOLD, TARGET = 0.8, 0.995
 LEAST_WORDS = 25  # at least a shingle's
-LEAST_SENTENCE = 5
-#: Code points of a sentence too short to be hashed that a run passes over.
-SHORT = 40
-_END = re.compile(r"(?<=[.!?])[ \t]+")
+#: Words of an anchor, and of how many successive grams one is an anchor; no more than ``GRAM``, so that neighbours touch.
+GRAM, WINDOW = 13, 13
 #: Whether a code point is white.
 _WHITE = np.zeros(0x110000, bool)
 _WHITE[[c for c in range(0x110000) if chr(c).isspace()]] = True
@@ -75,155 +73,71 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int, str]]:
         at += len(line) + 1
 
 
-def sentences(start: int, line: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of a line's sentences; one of fewer than ``LEAST_SENTENCE`` words is joined to what follows it."""
-    at, first, held = 0, None, []
-    for end, after in [*((m.start(), m.end()) for m in _END.finditer(line)), (len(line), len(line))]:
-        held += words_of(line[at:end])
-        first = at if first is None else first
-        if len(held) >= LEAST_SENTENCE or after == len(line):
-            if held:
-                yield start + first, start + end, held
-            first, held = None, []
-        at = after
+class _Read:
+    """Words of several texts: their hashes in one array, and the lines of at least ``least`` words."""
 
-
-def _read(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int) -> Iterator[pa.RecordBatch]:
-    """A row for each paragraph; its sentences as lists, and bands where it is long enough."""
-    hashes, minhash = WordHashes(), MinHash(bands * rows, seed=2)
-    for batch in sliced(batches, 128):
-        out: list[tuple] = []
-        long: list[list[str]] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    def __init__(self, texts: list[str | None], hashes: WordHashes, least: int):
+        self.lines: list[tuple[int, int, int, int, str]] = []  # text, start, end, words before it, itself
+        self.words: list[list[str]] = []
+        every, sizes = [], []
+        for i, text in enumerate(texts):
             before = 0
             for start, end, line in paragraphs(text):
-                words, found = [], []
-                for s, e, w in sentences(start, line):
-                    words += w
-                    if len(w) >= LEAST_SENTENCE:  # none but a line's last is shorter
-                        found.append((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - (1 << 63), s, e, len(w)))
-                node = None
-                if len(words) >= least:
-                    node = text_key(words)
-                    long.append(words)
-                out.append((doc, start, end, len(words), node, found, before))
-                before += len(words)
-        shingles, counts = many_shingles(long, hashes)
-        filled = iter(band_keys(minhash.flat(shingles, counts), bands, rows).view(np.int64).tolist())
-        sizes = iter(counts.tolist())
-        columns = list(zip(*out)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[pa.array(c, pa.int64()) for c in columns[:4]],
-                pa.array(columns[4], pa.binary()),
-                pa.array([None if n is None else next(sizes) for n in columns[4]], pa.int64()),
-                pa.array([None if n is None else next(filled) for n in columns[4]], pa.list_(pa.int64())),
-                *[pa.array([[x[k] for x in f] for f in columns[5]], pa.list_(pa.int64() if k == 0 else pa.int32())) for k in range(4)],
-                pa.array(columns[6], pa.int64()),
-            ],
-            ["doc_id", "start", "end", "n_words", "node", "n_shingles", "bands", "s_hash", "s_start", "s_end", "s_words", "before"],
-        )
-
-
-_SCHEMA = "doc_id long, start long, end long, n_words long, node binary, n_shingles long, bands array<long>, s_hash array<long>, s_start array<int>, s_end array<int>, s_words array<int>, before long"
-
-
-def _wanted(batches: Iterator[pa.RecordBatch], bitmap: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(node, text) of the paragraphs that the filter of wanted nodes may hold; each once a partition, nearly."""
-    held = np.frombuffer(bitmap, np.uint8)
-    seen: set[bytes] = set()
-    for batch in sliced(batches, 128):
-        out = []
-        for text in batch.column(0).to_pylist():
-            for _, _, line in paragraphs(text):
                 words = words_of(line)
                 if len(words) >= least:
-                    node = text_key(words)
-                    slot = int.from_bytes(node[:7], "big") % bits
-                    if held[slot >> 3] >> (slot & 7) & 1 and node not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.add(node)
-                        out.append((node, line))
-        columns = list(zip(*out)) or [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string())], ["node", "text"])
-
-
-class _Pairs(_Block):
-    """All pairs of a block are verified: the block is a component of collisions, or part of one."""
-
-    def links(self, minhash, across, threshold, target, floor):
-        n, shared = len(self.sets), self.shared()
-        sizes = np.array([len(s) for s in self.sets], np.float64)
-        side = np.array([x[0] for x in self.seen.values()])
-        i, j = np.triu_indices(n, 1)
-        if across:
-            other = side[i] != side[j]
-            i, j = i[other], j[other]
-        close = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
-        i, j = i[close], j[close]
-        both = shared[i, j].astype(np.float64) if shared is not None else np.array([np.intersect1d(self.sets[x], self.sets[y], assume_unique=True).size for x, y in zip(i, j)], np.float64)
-        ok = both >= threshold * (sizes[i] + sizes[j] - both)
-        return i[ok], j[ok]
-
-
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    out: list[tuple[bytes, bytes]] = []
-
-    def batch_of() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [[], []]
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], ["node", "root"])
-
-    def flush(block: _Pairs, across: bool) -> None:
-        out.extend((n, r) for n, r, _ in block.rows(None, across, threshold, 0.0, 0))
+                    self.lines.append((i, start, end, before, line))
+                    self.words.append(words)
+                every.append(words)
+                before += len(words)
+            sizes.append(before)
+        self.sizes = np.array(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.hashes = np.fromiter(map(hashes.__getitem__, chain.from_iterable(every)), np.uint64, int(self.sizes.sum()))
 
-    at, block = None, _Pairs()
-    for batch in sliced(batches):
-        for comp, bi, bj, side, node, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if at != (comp, bi, bj):
-                if at:
-                    flush(block, at[1] != at[2])
-                at, block = (comp, bi, bj), _Pairs()
-            if node not in block.seen:
-                block.add(node, side, 1, shingle_hashes(words_of(text), hashes))
-        if len(out) > 50_000:
-            yield batch_of()
-    if at:
-        flush(block, at[1] != at[2])
-    yield batch_of()
-
-
-def _near(source: DataFrame, parts: DataFrame, threshold: float, least: int) -> DataFrame:
-    """(node, root) for paragraphs that have a near duplicate with other words."""
-    nodes = checkpoint(parts.filter("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    n = nodes.count()
-    posts = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = posts.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "_k")
-    width = n * tune_bands(threshold)[0]
-    stars = join_counted(posts, hubs, [("key", "_k")], "m", width).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    comps = connected_components(stars).withColumnRenamed("node", "_n")
-    members = checkpoint(comps.join(nodes.drop("bands"), F.col("_n") == F.col("node")).drop("_n"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-    sizes = members.groupBy("component").agg(blocks.alias("n_blocks"), F.count(F.lit(1)).alias("m")).withColumnRenamed("component", "_c")
-    members = join_counted(members, sizes, [("component", "_c")], "m", n).select(F.col("node").alias("_n"), "component", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("side"))
-    bits = filter_bits(n)
-    # a filter of bounded size goes to the tasks that read the texts again
-    slot = F.conv(F.hex(F.substring("_n", 1, 7)), 16, 10).cast("long") % bits
-    maps = members.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod("s", F.lit(32768))).alias("m")).collect()
-    held = bytearray(bits // 8)
-    for r in maps:
-        held[r["b"] * 4096 : r["b"] * 4096 + 4096] = r["m"]
-    spark = source.sparkSession
-    bitmap = spark.sparkContext.broadcast(bytes(held))
-    texts = map_arrow(source.select("text"), lambda it: _wanted(it, bitmap.value, bits, least), "node binary, text string").groupBy("node").agg(F.min("text").alias("text"))
-    rows = texts.join(members, F.col("node") == F.col("_n"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
-    dealt = rows.withColumn("_p", F.explode(pairs)).select("component", F.col("_p.i").alias("bi"), F.col("_p.j").alias("bj"), "side", "node", "text")
-    dealt = dealt.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    linked = checkpoint(map_arrow(dealt, lambda it: _verified(it, threshold), "node binary, root binary"))
-    return connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root")
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, gram, text): where in the array of all words anchors start, their hashes, and which texts they are in."""
+        none = np.empty(0, np.int64)
+        if len(self.hashes) < GRAM + WINDOW - 1:
+            return none, none.view(np.uint64), none
+        gram = run_hashes(self.hashes, GRAM)
+        at = least_at(gram, WINDOW)
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        whole = np.arange(len(at)) + GRAM + WINDOW - 1 <= self.ends[text[: len(at)]]  # windows within one text
+        place = np.unique(at[whole])
+        return place, gram[place], text[place]
+
+
+def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each row: hashes of its anchors, and its paragraphs with nodes, bands and sketches."""
+    hashes, minhash = WordHashes(), MinHash(SKETCH, seed=2)
+    for batch in sliced(batches, 128):
+        read = _Read(batch.column(1).to_pylist(), hashes, least)
+        _, gram, text = read.anchors()
+        pairs = np.unique(np.stack([text.astype(np.uint64), gram], 1), axis=0) if len(gram) else np.empty((0, 2), np.uint64)
+        shingles, counts = many_shingles(read.words, hashes)
+        sig = minhash.flat(shingles, counts)
+        of = np.array([x[0] for x in read.lines], np.int64)
+        per_text = lambda t: np.concatenate([[0], np.cumsum(np.bincount(t.astype(np.int64), minlength=batch.num_rows))]).astype(np.int32)
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
+        at = per_text(of)
+        ints = [pa.array([x[k] for x in read.lines], pa.int32()) for k in (1, 2, 3)]
+        sketch = sketches(sig).view(np.int64)
+        keys = band_keys(sig[:, : bands * rows], bands, rows).view(np.int64)
+        columns = [
+            batch.column(0),
+            batch.column(2),
+            lists(per_text(pairs[:, 0]), pa.array(pairs[:, 1].view(np.int64))),
+            *[lists(at, x) for x in ints],
+            lists(at, pa.array([len(w) for w in read.words], pa.int32())),
+            lists(at, pa.array([text_key(w) for w in read.words], pa.binary())),
+            lists(at * bands, pa.array(keys.ravel())),
+            *[lists(at, pa.array(sketch[:, k])) for k in (0, 1)],
+        ]
+        yield pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
+_NAMES = ["o", "th", "grams", "start", "end", "before", "n_words", "node", "bands", "s0", "s1"]
+_SIGNED = "o long, th long, grams array<long>, start array<int>, end array<int>, before array<int>, n_words array<int>, node array<binary>, bands array<long>, s0 array<long>, s1 array<long>"
 
 
 def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
@@ -242,12 +156,16 @@ def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
         span *= 2
 
 
-def least_of(x: np.ndarray, n: int) -> np.ndarray:
-    """The least of each ``n`` successive ones."""
-    span = 1
+def least_at(x: np.ndarray, n: int) -> np.ndarray:
+    """Where the least of each ``n`` successive ones is, the first of equal ones."""
+    at, span = np.arange(len(x)), 1
+
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[b] < x[a], b, a)
+
     while 2 * span <= n:
-        x, span = np.minimum(x[:-span], x[span:]), 2 * span
-    return np.minimum(x[: len(x) - (n - span)], x[n - span :])
+        at, span = less(at[:-span], at[span:]), 2 * span
+    return less(at[: len(at) - (n - span)], at[n - span :])
 
 
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -258,124 +176,204 @@ def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _runs(texts: list[str | None], hashes: WordHashes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, gram, place, words' hashes) of all runs of ``least`` words of several texts: the numbers of its text and of its first word in it, its gram's hash, and where it is among the words of all."""
-    lists = [words_of(text) for text in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
-    if len(w) < least:
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64), none, w
-    wide = (least + 1) // 2
-    gram = least_of(run_hashes(w, least - wide + 1), wide)
-    ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(lists)), sizes)[: len(gram)]
-    at = np.nonzero(np.arange(least, len(gram) + least) <= ends[text])[0]  # runs within one text
-    return text[at], at - (ends - sizes)[text[at]], gram[at], at, w
+class Held:
+    """A filter of one bit a hash, as bytes, for tasks in Python."""
 
+    def __init__(self, bitmaps: DataFrame, bits: int):
+        self.bits, held = bits, bytearray(bits // 8)
+        for r in bitmaps.collect():  # bits / 8 bytes at most
+            held[r["bucket"] * 4096 - 4096 : r["bucket"] * 4096] = r["bitmap"]
+        self.bytes = bytes(held)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        slot = (h.view(np.int64) % np.int64(self.bits)).astype(np.int64)
+        return (np.frombuffer(self.bytes, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
-def _grams(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, gram): what stands for the runs of a document."""
-    hashes = WordHashes()
-    for batch in sliced(batches, 128):
-        text, _, gram, _, _ = _runs(batch.column(1).to_pylist(), hashes, least)
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[text[new]], pa.int64()), pa.array(gram[new].view(np.int64))], ["doc_id", "gram"])
 
+def _context(read: _Read, texts: list[str | None], place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hashes, steps) of anchors in code points.
 
-def _windows(batches: Iterator[pa.RecordBatch], bitmap: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Runs of ``least`` words whose gram the filter may hold, with a hash of all their words."""
-    hashes, held = WordHashes(), np.frombuffer(bitmap, np.uint8)
+    ``hashes`` has two bytes of each of the words before an anchor, nearest
+    first, and of those after it, 0 where the text has none. ``steps`` has the code
+    points from word to word, 255 where there are more.
+    """
+    n = len(place)
+    start, end = np.empty(n, np.int64), np.empty(n, np.int64)
+    hashes, steps = np.zeros((n, 2 * WINDOW), np.uint16), np.full((n, 2 * WINDOW), 255, np.uint8)
+    for t in np.unique(text).tolist():
+        lo, hi = np.searchsorted(text, [t, t + 1])
+        starts, ends = word_spans(texts[t])
+        begin, size = int(read.ends[t] - read.sizes[t]), int(read.sizes[t])
+        k = place[lo:hi] - begin
+        start[lo:hi], end[lo:hi] = starts[k], ends[k + GRAM - 1]
+        # windows over the words' hashes and steps with padding on both sides
+        pad = lambda x, fill: np.pad(x, WINDOW, constant_values=fill)
+        short = pad((read.hashes[begin : begin + size] % np.uint64(65535) + np.uint64(1)).astype(np.uint16), 0)
+        back, on = (pad(np.minimum(np.diff(x, prepend=x[:1] - 255), 255).astype(np.uint8), 255) for x in (starts, ends))
+        before, after = k[:, None] + WINDOW - 1 - np.arange(WINDOW), k[:, None] + WINDOW + GRAM + np.arange(WINDOW)
+        hashes[lo:hi, :WINDOW], hashes[lo:hi, WINDOW:] = short[before], short[after]
+        steps[lo:hi, :WINDOW], steps[lo:hi, WINDOW:] = back[before + 1], on[after]
+    return start, end, hashes, steps
+
+
+def _blobs(x: np.ndarray) -> pa.Array:
+    """Rows of bytes."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _again(batches: Iterator[pa.RecordBatch], grams: Held, nodes: Held, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text: its anchors that the one filter may hold, and lines whose node the other may hold, each line once a partition, nearly."""
+    hashes = WordHashes()
+    seen: set[bytes] = set()
     for batch in sliced(batches, 128):
         texts = batch.column(1).to_pylist()
-        text, word, gram, place, w = _runs(texts, hashes, least)
-        slot = (gram >> np.uint64(8)) % np.uint64(bits)
-        ok = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        text, word, place = text[ok], word[ok], place[ok]
-        h = run_hashes(w, least)[place]
-        start, end = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
-        for i in np.unique(text).tolist():
-            lo, hi = np.searchsorted(text, [i, i + 1])
-            starts, ends = word_spans(texts[i])
-            start[lo:hi], end[lo:hi] = starts[word[lo:hi]], ends[word[lo:hi] + least - 1]
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[text], pa.int64()), pa.array(h.view(np.int64)), *[pa.array(x, pa.int64()) for x in (start, end, word)]], ["doc_id", "h", "start", "end", "word"])
-
-
-def _pasted(source: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, end, n_words, word, first): runs of ``least`` words that a document with a smaller id has."""
-    by_gram = map_arrow(source, lambda it: _grams(it, least), "doc_id long, gram long").groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = checkpoint(by_gram.filter("last > first").select("gram"))
-    bits = filter_bits(shared.count())
-    slot = F.pmod(F.call_function("shiftrightunsigned", F.col("gram"), F.lit(8)), F.lit(bits))
-    maps = shared.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod("s", F.lit(32768))).alias("m")).collect()
-    held = bytearray(bits // 8)
-    for r in maps:
-        held[r["b"] * 4096 : r["b"] * 4096 + 4096] = r["m"]
-    bitmap = source.sparkSession.sparkContext.broadcast(bytes(held))
-    each = map_arrow(source, lambda it: _windows(it, bitmap.value, bits, least), "doc_id long, h long, start long, end long, word long")
-    # the texts are read once more rather than keeping the runs, which are as large as they
-    twice = checkpoint(each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("_h"), "first", "n"))
-    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return join_counted(each, twice, [("h", "_h")], "n", total).filter("doc_id > first").select("doc_id", "start", "end", F.lit(least).cast("long").alias("n_words"), "word", "first")
+        read = _Read(texts, hashes, least)
+        place, gram, text = read.anchors()
+        hit = grams.of(gram)
+        place, gram, text = place[hit], gram[hit], text[hit]
+        start, end, near, steps = _context(read, texts, place, text)
+        word = place - (read.ends - read.sizes)[text]
+        at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
+        keys = [text_key(w) for w in read.words]
+        wanted = nodes.of(np.array([int.from_bytes(k[:7], "big") for k in keys], np.int64))
+        lines: list[list] = [[] for _ in texts]
+        for i in np.nonzero(wanted)[0].tolist():
+            if keys[i] not in seen:
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(keys[i])
+                lines[read.lines[i][0]].append({"node": keys[i], "text": read.lines[i][4]})
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(at), values)
+        columns = [batch.column(0), batch.column(2), lists(pa.array(gram.view(np.int64))), lists(pa.array(word.astype(np.int32)))]
+        columns += [lists(pa.array(start.astype(np.int32))), lists(pa.array(end.astype(np.int32))), lists(_blobs(near)), lists(_blobs(steps))]
+        columns += [pa.array(lines, pa.list_(pa.struct([("node", pa.binary()), ("text", pa.string())])))]
+        yield pa.RecordBatch.from_arrays(columns, ["o", "th", "gram", "word", "start", "end", "hashes", "steps", "lines"])
+
+
+_AGAIN = "o long, th long, gram array<long>, word array<int>, start array<int>, end array<int>, hashes array<binary>, steps array<binary>, lines array<struct<node: binary, text: string>>"
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with the words around them on which both texts agree."""
+    for batch in sliced(batches, 4096):
+        o, th, start, end, word = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
+        own, other, steps = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(-1, 2 * WINDOW) for c, t in ((5, np.uint16), (6, np.uint16), (7, np.uint8)))
+        grown = []
+        for side in (slice(0, WINDOW), slice(WINDOW, None)):
+            agree = np.cumprod((own[:, side] == other[:, side]) & (own[:, side] > 0) & (steps[:, side] < 255), axis=1, dtype=np.int64)
+            grown.append((agree.sum(1), (agree * steps[:, side]).sum(1)))
+        (lw, lc), (rw, rc) = grown
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (o, th, start - lc, end + rc, word - lw, GRAM + lw + rw)] + [batch.column(8)], ["o", "th", "start", "end", "word", "n_words", "keep"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Spans of a document to runs: paragraphs, successive sentences and runs of words that go, joined where they touch."""
+    """Spans of a document to runs, joined where they overlap or touch."""
     for batch in sliced(batches):
         out = []
         for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            runs: list[list] = []
-            for x in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                gap = x["start"] - runs[-1][1] if runs else 0
-                # runs of words touch; else a separator lies between, or a sentence too short to count within one repeated passage
-                if runs and ((gap <= 3 or gap <= SHORT and x["keep"] == runs[-1][4]) if x["loose"] else x["word"] <= runs[-1][5]):
+            runs: list[list[int]] = []
+            for x in sorted(spans, key=lambda s: (s["word"], -s["n_words"], s["keep"])):
+                last = x["word"] + x["n_words"]
+                if runs and x["word"] <= runs[-1][4]:
                     run = runs[-1]
-                    run[1] = max(run[1], x["end"])
-                    run[2] += max(0, x["word"] + x["n_words"] - max(x["word"], run[5]))
-                    run[3], run[4], run[5] = min(run[3], x["keep"]), x["keep"] if x["loose"] else run[4], max(run[5], x["word"] + x["n_words"])
+                    run[1], run[3], run[4] = max(run[1], x["end"]), min(run[3], x["keep"]), max(run[4], last)
                 else:
-                    runs.append([x["start"], x["end"], x["n_words"], x["keep"], x["keep"] if x["loose"] else None, x["word"] + x["n_words"]])
-            out += [(doc, *r[:4]) for r in runs if r[2] >= least]
+                    runs.append([x["start"], x["end"], x["word"], x["keep"], last])
+            out += [(doc, r[0], r[1], r[4] - r[2], r[3]) for r in runs if r[4] - r[2] >= least]
         columns = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end", "n_words", "keep_doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["o", "start", "end", "n_words", "keep"])
+
+
+def banded(bands: int, rows: int):
+    """A function from shingle sets to their band keys."""
+    held: list[MinHash] = []
+
+    def keys(sets: list[np.ndarray]) -> np.ndarray:
+        if not held:
+            held.append(MinHash(SKETCH, seed=2))
+        return band_keys(held[0].of(sets)[:, : bands * rows], bands, rows)
+
+    return keys
+
+
+def _start_of(node: str) -> Column:
+    """The first 7 bytes of a node as a number."""
+    return F.conv(F.hex(F.substring(node, 1, 7)), 16, 10).cast("long")
+
+
+#: What stands for a null id in the order; an id of this value is the same document as those without.
+_NULL_ID = -(1 << 63)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, keep_doc_id): spans to cut, in code points, end exclusive.
 
-    ``keep_doc_id`` is a document whose copy stays: the least of those whose
-    text the span repeats. Null ids come before others; null and empty texts
-    have no spans. Rows that repeat an id are one document for the order, and
-    a span that both repeat is cut from neither. An empty table gives an empty
-    result; other columns play no part.
+    A document is an id and a text. Paragraphs that equal an earlier one, of
+    the same document or another, or are near it, are cut whole. Passages of
+    ``least`` words or more that an earlier document has are cut; where one
+    ends is found to a word, but for one end in 65,535, which is a word too far.
+    Passages of several earlier documents that touch are one span. ``keep_doc_id`` is a document whose copy stays: the least of those
+    whose text the span repeats. Null ids come before others; null and empty
+    texts have no spans; very long texts are read whole. Rows that repeat an id
+    and a text are one document: what they have in common with each other
+    alone is cut from neither, and other spans are given once. Equal hashes of
+    texts decide no tie but of order. An empty table gives an empty result;
+    other columns play no part, whatever their names.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("o"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     bands, rows = tune_bands(threshold)
-    parts = checkpoint(map_arrow(source, lambda it: _read(it, bands, rows, least), _SCHEMA))
-    total = parts.count()
-
-    # paragraphs: nodes are equal words, roots are near duplicates
-    near = _near(source, parts, threshold, least).withColumnRenamed("node", "_n")
-    at = F.struct("doc_id", "start")
-    nodes = parts.filter("node is not null").groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-    nodes = checkpoint(nodes.join(near, F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
+    parts = checkpoint(map_arrow(source, lambda it: _signed(it, bands, rows, least), _SIGNED))
+    sizes = parts.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.sum(F.size("node")), F.lit(0))).first()
+    n_grams, n_lines = sizes
+
+    # paragraphs: nodes are equal words; those whose bands collide are linked where their sketches allow it
+    bits = filter_bits(n_lines * bands)
+    of = parts.select(F.posexplode(F.arrays_zip("node", "s0", "s1")).alias("i", "p"), "bands").select(F.xxhash64("p.node").alias("short"), "p.s0", "p.s1", F.explode(F.slice("bands", F.col("i") * bands + 1, F.lit(bands))).alias("key"))
+    likely = with_flag(of, F.col("key"), bits, repeats(parts.select("bands"), bits), "_met", 1).filter("_met").select("key", F.lit(0).cast("long").alias("deep"), "short", "s0", "s1").distinct()
+    comps = checkpoint(connected_components(linked(checkpoint(likely), n_lines * bands, 0, most_unlike(threshold))).withColumnRenamed("node", "_n"))
+    # lines that have a copy, or a link: nodes of other lines have no part in what follows
+    bits = filter_bits(n_lines)
+    lines = parts.select("o", "th", F.explode(F.arrays_zip("start", "end", "before", "n_words", "node")).alias("p")).select("o", "th", "p.*").withColumn("short", F.xxhash64("node"))
+    lines = with_flag(lines, F.col("short"), bits, repeats(parts.select(F.transform("node", lambda x: F.xxhash64(x))), bits), "_twice", 1)
+    lines = with_flag(lines, F.col("short"), bits, member_filter(comps, F.col("_n"), bits), "_linked").filter("_twice or _linked").drop("_twice", "_linked")
+    first = F.min(F.struct("o", "th", "start"))
+    nodes = checkpoint(lines.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), (F.max("n_words") - SHINGLE + 1).cast("long").alias("n_shingles")).withColumn("short", F.xxhash64("node")))
+    members = checkpoint(comps.join(nodes.select("node", "short", "n_shingles"), F.col("_n") == F.col("short")).select("component", "node", "n_shingles"))
+    members = checkpoint(in_blocks(members, n_lines))
+
+    # the texts once more, for anchors that two documents may have and for lines of linked nodes
+    gram_bits, node_bits = filter_bits(n_grams), filter_bits(n_lines)
+    spark = source.sparkSession.sparkContext
+    grams = spark.broadcast(Held(repeats(parts.select("grams"), gram_bits), gram_bits))
+    known = spark.broadcast(Held(member_filter(members, _start_of("node"), node_bits, 1), node_bits))
+    again = checkpoint(map_arrow(source, lambda it: _again(it, grams.value, known.value, least), _AGAIN))
+    texts = again.select(F.explode("lines").alias("p")).groupBy("p.node").agg(F.min("p.text").alias("text")).withColumnRenamed("node", "_n")
+    asked = texts.join(members, F.col("_n") == F.col("node")).withColumn("copies", F.lit(1))
+    n_dealt = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    near = checkpoint(verified(asked, n_dealt, threshold, banded(bands, rows)))
+    near = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("_n"), F.col("component").alias("root"))
+
+    # paragraphs that go: all of a root but the first
+    nodes = nodes.join(near, F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     roots = nodes.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).filter("all > 1").withColumnRenamed("root", "_r")
-    known = join_counted(nodes, roots, [("root", "_r")], "m", total).select(F.col("node").alias("_n"), "keep", "n")
-    lines = join_counted(parts.filter("node is not null").select("doc_id", "start", "end", "n_words", "node", F.col("before").alias("word")), known, [("node", "_n")], "n", total)
-    lines = lines.filter(F.struct("doc_id", "start") > F.col("keep"))
-
-    # sentences: exact, those of the first document stay
-    so_far = F.transform("s_words", lambda _, i: F.col("before") + F.aggregate(F.slice("s_words", 1, i), F.lit(0).cast("long"), lambda a, b: a + b.cast("long")))
-    each = parts.select("doc_id", F.explode(F.arrays_zip("s_hash", "s_start", "s_end", "s_words", so_far.alias("s_word"))).alias("s"))
-    each = each.select("doc_id", F.col("s.s_hash").alias("h"), *[F.col(f"s.{c}").cast("long").alias(name) for c, name in (("s_start", "start"), ("s_end", "end"), ("s_words", "n_words"), ("s_word", "word"))])
-    twice = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select(F.col("h").alias("_h"), "first", "n")
-    repeats = join_counted(each, twice, [("h", "_h")], "n", 4 * total).filter("doc_id > first")
-
-    span = lambda keep, loose=True: F.struct("start", "end", "n_words", F.col(keep).alias("keep"), "word", F.lit(loose).alias("loose")).alias("x")
-    cut = lines.select("doc_id", span("keep.doc_id")).unionByName(repeats.select("doc_id", span("first"))).unionByName(_pasted(source, least).select("doc_id", span("first", False))).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))
-    out = map_arrow(cut, lambda it: _merged(it, least), "doc_id long, start long, end long, n_words long, keep_doc_id long")
-    back = lambda c: F.when(F.col(c) != -(1 << 62), F.col(c)).alias(c)
-    return out.select(back("doc_id"), "start", "end", "n_words", back("keep_doc_id"))
+    kept = checkpoint(join_counted(nodes, roots, [("root", "_r")], "m", n_lines).select(F.col("node").alias("_n"), "keep", "n"))
+    maybe = with_flag(lines, F.xxhash64("node"), node_bits, member_filter(kept, F.xxhash64("_n"), node_bits), "_kept").filter("_kept")
+    gone = join_counted(maybe, kept, [("node", "_n")], "n", n_lines).filter(F.struct("o", "th", "start") > F.col("keep"))
+    long = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    gone = gone.select("o", "th", *long("start", "end"), F.col("before").cast("long").alias("word"), *long("n_words"), F.col("keep.o").alias("keep"))
+
+    # anchors that go: all but the first document's
+    each = again.select("o", "th", F.explode(F.arrays_zip("gram", "word", "start", "end", "hashes", "steps")).alias("a")).select("o", "th", "a.*")
+    origin = F.struct("o", "th")
+    keepers = each.groupBy("gram").agg(F.min(F.struct("o", "th", "word", "hashes")).alias("k"), F.max(origin).alias("last"), F.count(F.lit(1)).alias("n"))
+    keepers = keepers.filter(F.col("last") > F.struct(F.col("k.o"), F.col("k.th"))).select(F.col("gram").alias("_g"), "k", "n")
+    pasted = join_counted(each, keepers, [("gram", "_g")], "n", n_grams).filter(origin > F.struct(F.col("k.o"), F.col("k.th")))
+    pasted = pasted.select("o", "th", "start", "end", "word", "hashes", F.col("k.hashes").alias("other"), "steps", F.col("k.o").alias("keep"))
+    pasted = map_arrow(pasted, _extended, "o long, th long, start long, end long, word long, n_words long, keep long")
+
+    span = F.struct("start", "end", "word", "n_words", "keep")
+    cut = gone.unionByName(pasted).groupBy("o", "th").agg(F.collect_set(span).alias("spans"))
+    out = map_arrow(cut.select("o", "spans"), lambda it: _merged(it, least), "o long, start long, end long, n_words long, keep long")
+    back = lambda c, name: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(name)
+    return out.select(back("o", "doc_id"), "start", "end", "n_words", back("keep", "keep_doc_id"))
