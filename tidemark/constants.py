@@ -10,6 +10,8 @@ FETCH_BEFORE_HOURS, FETCH_AFTER_DAYS = 72, 5
 LEAST_BETA_DAYS = 30
 FLAT_BPS = 10.0
 RECOVERY_TRIGGER_BPS, RECOVERY_DAYS, CONCLUSIVE_DAYS = -50.0, 30, 29
+# Versions of measurements and the clocks that they start from: receipt and publication.
+CLOCKS = {"m1": "anchor_ts", "m1-pub": "published_ts"}
 SKEW_MINUTES, STALE_HOURS = 2, 24
 LINK_CONFIDENCE = 0.75
 SIMILARITY, CLUSTER_HOURS = 0.5, 48

@@ -13,6 +13,8 @@ from tidemark.operators.asof import asof, settled, with_next
 
 #: From the loaded window's start to its end: no bar that a horizon may use is older.
 REACH_HOURS = C.WINDOW_BEFORE_HOURS + 24 * C.WINDOW_AFTER_DAYS
+#: All rows ask the one benchmark, so they are dealt by time alone: by quarters of a day. Its few bars are copied into each that they serve.
+BENCH_BUCKET = 0.25
 
 
 def minutes(n: int | Column) -> Column:
@@ -78,8 +80,8 @@ def abnormal(rows: DataFrame, bars: DataFrame, betas: DataFrame, benchmark: int,
     bench = with_next(bars.filter(F.col("instrument_id") == benchmark), ["instrument_id"]).drop("instrument_id").withColumn("one", F.lit(1))
     window_end = F.col(clock) + days(C.WINDOW_AFTER_DAYS)
     r = rows.join(betas.select("instrument_id", "beta"), "instrument_id", "left").withColumn("one", F.lit(1)).withColumn("at", F.col(clock) - minutes(1))
-    r = asof(r, bench, ["one"], "at", name="ba", max_age_hours=C.WINDOW_BEFORE_HOURS)
-    r = asof(r, bench, ["one"], "used_ts", name="bb", max_age_hours=REACH_HOURS)
+    r = asof(r, bench, ["one"], "at", name="ba", max_age_hours=C.WINDOW_BEFORE_HOURS, bucket_days=BENCH_BUCKET)
+    r = asof(r, bench, ["one"], "used_ts", name="bb", max_age_hours=REACH_HOURS, bucket_days=BENCH_BUCKET)
     from_ok = settled(F.col("at"), F.col("ba"), C.FRESH_MINUTES, window_end) & (F.col("ba.ts") >= F.col(clock) - F.make_dt_interval(F.lit(0), F.lit(C.WINDOW_BEFORE_HOURS)))
     to_ok = settled(F.col("used_ts"), F.col("bb"), C.FRESH_MINUTES, window_end) & (F.col("bb.ts") > F.col("ba.ts"))
     ok = F.col("beta").isNotNull() & from_ok & to_ok
@@ -87,37 +89,60 @@ def abnormal(rows: DataFrame, bars: DataFrame, betas: DataFrame, benchmark: int,
     return r.withColumns({"abnormal_bps": value, "beta_used": F.when(ok, F.col("beta"))}).drop("one", "at", "ba", "bb", "beta")
 
 
-def series(anchors: DataFrame, bars: DataFrame, until_days: int, clock: str = "anchor_ts", extend: bool = False, betas: DataFrame | None = None, benchmark: int | None = None) -> DataFrame:
+def series(anchors: DataFrame, bars: DataFrame, until_days: int, clock: str = "anchor_ts", extend: bool = False, betas: DataFrame | None = None, benchmark: int | None = None, daily: DataFrame | None = None) -> DataFrame:
     """(cluster_id, instrument_id, clock, ts, cum_bps): a row for each bar after the anchor's bar, up to ``until_days``.
 
     The return from the anchor's bar less, with ``betas``, beta times that of
     the benchmark, from its settled bar at the anchor to its last one at each
     bar. Raw without a beta, without a settled benchmark bar at the anchor, and
-    until the benchmark moves on from it. The range join is on the instrument
-    and the day, so that a bar meets only anchors near it.
+    until the benchmark moves on from it. With ``daily``, minute bars end with
+    the loaded window, and closes of days that end after the last of them
+    follow. The range joins are on the instrument and the day, so that a bar
+    meets only anchors near it.
     """
+    window = F.col(clock) + days(C.WINDOW_AFTER_DAYS)
     a = anchor_bars(anchors, bars, clock).withColumn("until", F.col(clock) + days(until_days))
     b = bars.select("instrument_id", "ts", "close")
+    bench = None
     if betas is not None:
         bench = with_next(b.filter(F.col("instrument_id") == benchmark), ["instrument_id"]).drop("instrument_id").withColumn("one", F.lit(1))
-        a = asof(a.join(betas.select("instrument_id", "beta"), "instrument_id", "left").withColumn("one", F.lit(1)), bench, ["one"], "at", name="ba", max_age_hours=C.WINDOW_BEFORE_HOURS).drop("one")
+        a = asof(a.join(betas.select("instrument_id", "beta"), "instrument_id", "left").withColumn("one", F.lit(1)), bench, ["one"], "at", name="ba", max_age_hours=C.WINDOW_BEFORE_HOURS, bucket_days=BENCH_BUCKET)
         ok = F.col("beta").isNotNull() & settled(F.col("at"), F.col("ba"), C.FRESH_MINUTES, F.col("window_end")) & (F.col("ba.ts") >= F.col(clock) - F.make_dt_interval(F.lit(0), F.lit(C.WINDOW_BEFORE_HOURS)))
         a = a.withColumns({"ba_ts": F.when(ok, F.col("ba.ts")), "ba_close": F.when(ok, F.col("ba.close"))}).drop("ba")
         # the benchmark's bar depends on the bar's time alone
-        b = asof(b.withColumn("one", F.lit(1)), bench, ["one"], "ts", name="bb").select("instrument_id", "ts", "close", F.col("bb.ts").alias("bb_ts"), F.col("bb.close").alias("bb_close"))
+        b = asof(b.withColumn("one", F.lit(1)), bench, ["one"], "ts", name="bb", bucket_days=BENCH_BUCKET).select("instrument_id", "ts", "close", F.col("bb.ts").alias("bb_ts"), F.col("bb.close").alias("bb_close"))
     if extend:  # a window that ends before any bar after the anchor's reaches for the first one within the cap
         got = asof(a, with_next(bars, ["instrument_id"]), ["instrument_id"], "until", name="u")
         reach = (F.col("u.ts") <= F.col("a.ts")) & (F.col("u.next_ts") <= F.col("until") + days(C.FALL_FORWARD_DAYS))
         a = got.withColumn("until", F.when(reach, F.col("u.next_ts")).otherwise(F.col("until"))).drop("u")
-    a = a.withColumn("day", F.explode(F.sequence(F.to_date("a.ts"), F.to_date("until"))))
-    b = b.withColumn("day", F.to_date("ts"))
-    if betas is not None:  # the as-of joins by the one benchmark leave few partitions
-        a, b = a.repartition("instrument_id", "day"), b.repartition("instrument_id", "day")
-    joined = a.join(b, ["instrument_id", "day"]).filter((F.col("ts") > F.col("a.ts")) & (F.col("ts") <= F.col("until")))
-    cum = return_bps(F.col("a.close"), F.col("close"))
+
+    def joined(a: DataFrame, b: DataFrame, since: Column, until: Column) -> DataFrame:
+        a = a.withColumn("day", F.explode(F.sequence(F.to_date(since), F.to_date(until))))
+        b = b.withColumn("day", F.to_date("ts"))
+        if betas is not None:  # the as-of joins by the one benchmark leave few partitions
+            a, b = a.repartition("instrument_id", "day"), b.repartition("instrument_id", "day")
+        return a.join(b, ["instrument_id", "day"]).filter((F.col("ts") > since) & (F.col("ts") <= until))
+
+    def points(rows: DataFrame) -> DataFrame:
+        cum = return_bps(F.col("a.close"), F.col("close"))
+        if betas is not None:
+            cum = F.when(F.col("bb_ts") > F.col("ba_ts"), cum - F.col("beta") * return_bps(F.col("ba_close"), F.col("bb_close"))).otherwise(cum)
+        return rows.select("cluster_id", "instrument_id", F.col(clock).alias("clock"), "ts", cum.alias("cum_bps"))
+
+    if daily is None:
+        return points(joined(a, b, F.col("a.ts"), F.col("until")))
+    minute = points(joined(a, b, F.col("a.ts"), F.least("until", window)))
+    close = daily.select("instrument_id", (F.col("ts") + days(1)).alias("ts"), "close")
+    a = asof(a.withColumn("end", window), bars.select("instrument_id", "ts"), ["instrument_id"], "end", name="last", max_age_hours=REACH_HOURS)
     if betas is not None:
-        cum = F.when(F.col("bb_ts") > F.col("ba_ts"), cum - F.col("beta") * return_bps(F.col("ba_close"), F.col("bb_close"))).otherwise(cum)
-    return joined.select("cluster_id", "instrument_id", F.col(clock).alias("clock"), "ts", cum.alias("cum_bps"))
+        ends = close.filter(F.col("instrument_id") == benchmark).select(F.lit(1).alias("one"), "ts", "close")
+        close = asof(close.withColumn("one", F.lit(1)), ends, ["one"], "ts", name="bd").drop("one")
+        a = asof(a.withColumn("one", F.lit(1)), bench.select("one", "ts", "close"), ["one"], "end", name="bm", max_age_hours=REACH_HOURS, bucket_days=BENCH_BUCKET).drop("one")
+    later = joined(a, close, F.col("last.ts"), F.col("until"))
+    if betas is not None:  # the benchmark's last minute bar, or a day of its own that ends after that
+        own = F.coalesce(F.col("bd.ts") > F.col("bm.ts"), F.col("bm").isNull())
+        later = later.withColumns({f"bb_{c}": F.when(own, F.col(f"bd.{c}")).otherwise(F.col(f"bm.{c}")) for c in ("ts", "close")})
+    return minute.unionByName(points(later))
 
 
 def summary(points: DataFrame) -> DataFrame:
@@ -141,3 +166,35 @@ def recovery(points: DataFrame, window_days: int = C.RECOVERY_DAYS) -> DataFrame
     g = p.groupBy("cluster_id", "instrument_id").agg(F.first("t").alias("t"), F.min(F.when(after & (F.col("cum_bps") >= F.col("t.cum_bps") / 2), F.col("hour"))).alias("hours_to_half"), F.min(F.when(after & (F.col("cum_bps") >= 0), F.col("hour"))).alias("hours_to_full"), F.max("hour").alias("last"))
     used = F.least(F.lit(float(window_days)), F.col("last") / 24)
     return g.select("cluster_id", "instrument_id", F.col("t.cum_bps").alias("trough_bps"), F.col("t.hour").alias("hours_to_trough"), "hours_to_half", "hours_to_full", used.alias("days_used"), (F.col("hours_to_full").isNotNull() | (used >= C.CONCLUSIVE_DAYS)).alias("conclusive"))
+
+
+def falls(rows: DataFrame, trigger_bps: float = C.RECOVERY_TRIGGER_BPS) -> DataFrame:
+    """(cluster_id, instrument_id) of a ladder's falls: those whose abnormal return after a day is at most the trigger."""
+    return rows.filter((F.col("horizon") == "1d") & (F.col("abnormal_bps") <= trigger_bps)).select("cluster_id", "instrument_id").distinct()
+
+
+def measure(anchors: DataFrame, bars: DataFrame, daily: DataFrame, betas: DataFrame, benchmark: int, clocks: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ladders, summaries, recoveries) of all anchors under each clock, each row with its ``measurer_version``.
+
+    ``clocks`` names the version and the column of each clock; an anchor whose
+    column is null isn't measured under it. Summaries need a settled day,
+    recoveries a fall and an answer that later bars can't change.
+    """
+    out: list[list[DataFrame]] = [[], [], []]
+    keys = ["cluster_id", "instrument_id"]
+    for version, clock in (clocks or C.CLOCKS).items():
+        rows = abnormal(ladder(anchors, bars, clock), bars, betas, benchmark, clock)
+        day = rows.filter(F.col("horizon") == "1d").select(*keys).distinct()
+        summaries = summary(series(anchors.join(day, keys, "left_semi"), bars, 1, clock, True, betas, benchmark))
+        fell = series(anchors.join(falls(rows), keys, "left_semi"), bars, C.RECOVERY_DAYS, clock, False, betas, benchmark, daily)
+        parts = (rows.select(*keys, "horizon", F.col(clock).alias("clock"), "raw_bps", "abnormal_bps", "beta_used"), summaries, recovery(fell).filter("conclusive"))
+        for held, part in zip(out, parts):
+            held.append(part.withColumn("measurer_version", F.lit(version)))
+    return tuple(_all(x) for x in out)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

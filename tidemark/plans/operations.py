@@ -79,8 +79,10 @@ def coherence(spark, sf) -> DataFrame:
     return s.groupBy(F.coalesce(why, F.lit("ok")).alias("reason")).agg(n())
 
 
-@query("fills bars_1m", """, p AS (SELECT instrument_id, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END) AS qty, sum(CASE side WHEN 'buy' THEN -qty * price ELSE qty * price END - fee) AS cash FROM fills WHERE instrument_id < 8 GROUP BY 1),
-m AS (SELECT instrument_id, last(close ORDER BY ts) AS mark FROM bars_1m WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1) SELECT round(1000000 + sum(cash), 2) AS cash_usd, round(sum(qty * mark), 2) AS market_value_usd, round(1000000 + sum(cash) + sum(qty * mark), 2) AS equity_usd FROM p JOIN m USING (instrument_id)""")
+@query("fills bars_1m", """, f AS (SELECT instrument_id, side, qty::DECIMAL(12, 2) AS qty, price::DECIMAL(18, 6) AS price, fee::DECIMAL(18, 6) AS fee FROM fills),
+p AS (SELECT instrument_id, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END) AS qty, sum(CASE side WHEN 'buy' THEN -qty * price ELSE qty * price END - fee)::DOUBLE AS cash FROM f GROUP BY 1),
+m AS (SELECT instrument_id, last(close ORDER BY ts) AS mark FROM bars_1m WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1), e AS (SELECT 1000000 + sum(cash) AS cash, coalesce(sum(qty * mark), 0) AS value FROM p LEFT JOIN m USING (instrument_id))
+SELECT round(cash, 2) AS cash_usd, round(value, 2) AS market_value_usd, round(cash + value, 2) AS equity_usd FROM e""")
 def account_state(spark, sf) -> DataFrame:
     a = broker.account(V.fills(spark, sf).withColumn("qty", F.col("qty").cast("decimal(12,2)")), V.bars_1m(spark, sf), F.lit("2024-01-20").cast("timestamp_ntz"), 1_000_000.0)
     return a.select(*[F.round(c, 2).alias(c) for c in a.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.operators import intervals, study
+from tidemark.operators import study
 from tidemark.operators.asof import asof, fresh, with_next
 from tidemark.plans.sql import with_views
 from tidemark.sources import views as V
@@ -28,8 +28,8 @@ BETA = """, bt AS (SELECT d.instrument_id, d.ts, ln(d.close / lag(d.close) OVER
   FROM bars_1d d JOIN bars_1d m ON d.ts = m.ts AND m.instrument_id = 0 WHERE d.instrument_id <> 0 WINDOW w AS (PARTITION BY d.instrument_id ORDER BY d.ts)),
 beta AS (SELECT instrument_id, count(*) AS n_days, CASE WHEN count(*) >= 30 THEN regr_slope(r, rb) END AS beta FROM bt GROUP BY 1)
 """
-ABNORMAL = """, mk AS (SELECT ts, close, lead(ts) OVER (ORDER BY ts) AS next_ts FROM bars_session WHERE instrument_id = 0),
-x1 AS (SELECT lad.*, beta, y.ts AS ba_ts, y.close AS ba_close, y.next_ts AS ba_next FROM lad LEFT JOIN beta USING (instrument_id) ASOF LEFT JOIN mk y ON y.ts <= lad.anchor_ts - INTERVAL 1 MINUTE),
+MARKET = ", mk AS (SELECT ts, close, lead(ts) OVER (ORDER BY ts) AS next_ts FROM bars_session WHERE instrument_id = 0)\n"
+ABNORMAL = MARKET + """, x1 AS (SELECT lad.*, beta, y.ts AS ba_ts, y.close AS ba_close, y.next_ts AS ba_next FROM lad LEFT JOIN beta USING (instrument_id) ASOF LEFT JOIN mk y ON y.ts <= lad.anchor_ts - INTERVAL 1 MINUTE),
 x2 AS (SELECT x1.*, y.ts AS bb_ts, y.close AS bb_close, y.next_ts AS bb_next FROM x1 ASOF LEFT JOIN mk y ON y.ts <= x1.used_ts),
 ab AS (SELECT *, coalesce(beta IS NOT NULL AND ba_ts >= anchor_ts - INTERVAL 72 HOUR
     AND (anchor_ts - INTERVAL 1 MINUTE - ba_ts <= INTERVAL 30 MINUTE OR coalesce(ba_next <= anchor_ts + INTERVAL 8 DAY, false))
@@ -88,20 +88,45 @@ def _series(spark, sf, anchors, bars, until_days, **more) -> DataFrame:
     return study.series(anchors, bars, until_days, betas=study.beta(V.bars_1d(spark, sf), V.BENCHMARK), benchmark=V.BENCHMARK, **more)
 
 
-SERIES = """, pts AS (SELECT a.cluster_id, a.instrument_id, a.anchor_ts, y.ts, (y.close - a_close) / a_close * 10000 AS cum_bps
-  FROM a JOIN bars_session y ON a.instrument_id = y.instrument_id AND y.ts > a.a_ts AND y.ts <= a.anchor_ts + to_days({days}))
+# anchors with the benchmark's settled bar, and bars with the benchmark's last one
+SIDES = """, sa AS (SELECT a.*, beta, y.ts AS m_ts, y.close AS m_close, y.next_ts AS m_next FROM a LEFT JOIN beta USING (instrument_id) ASOF LEFT JOIN mk y ON y.ts <= a.anchor_ts - INTERVAL 1 MINUTE),
+sb AS (SELECT *, CASE WHEN beta IS NOT NULL AND m_ts >= anchor_ts - INTERVAL 72 HOUR
+    AND (anchor_ts - INTERVAL 1 MINUTE - m_ts <= INTERVAL 30 MINUTE OR coalesce(m_next <= anchor_ts + INTERVAL 8 DAY, false)) THEN m_ts END AS ba_ts FROM sa),
+su AS (SELECT sb.*, y.ts AS u_ts, y.next_ts AS u_next FROM sb ASOF LEFT JOIN b y ON sb.instrument_id = y.instrument_id AND y.ts <= sb.anchor_ts + INTERVAL 1 DAY),
+sm AS (SELECT x.instrument_id, x.ts, x.close, y.ts AS bb_ts, y.close AS bb_close FROM bars_session x ASOF LEFT JOIN mk y ON y.ts <= x.ts)
+"""
+CUM = "CASE WHEN {t} > s.ba_ts THEN (y.close - a_close) / a_close * 10000 - beta * (({c} - m_close) / m_close * 10000) ELSE (y.close - a_close) / a_close * 10000 END AS cum_bps"
+POINTS = """, pts AS (SELECT s.cluster_id, s.instrument_id, s.anchor_ts, y.ts, """ + CUM.format(t="y.bb_ts", c="y.bb_close") + """
+  FROM su s JOIN sm y ON s.instrument_id = y.instrument_id AND y.ts > s.a_ts AND y.ts <= {until})
+"""
+REACHING = "CASE WHEN u_ts <= a_ts AND u_next <= s.anchor_ts + INTERVAL 4 DAY THEN u_next ELSE s.anchor_ts + INTERVAL 1 DAY END"
+# minute bars of the loaded window, then closes of days that end after the last of them
+LONG = """, dl AS (SELECT instrument_id, ts + to_days(8401) AS ts, close FROM bars_1d), md AS (SELECT ts, close FROM dl WHERE instrument_id = 0),
+dd AS (SELECT x.*, y.ts AS bd_ts, y.close AS bd_close FROM dl x ASOF LEFT JOIN md y ON y.ts <= x.ts),
+f1 AS (SELECT su.*, y.ts AS f_ts FROM su ASOF JOIN b y ON su.instrument_id = y.instrument_id AND y.ts <= su.anchor_ts + INTERVAL 8 DAY),
+f2 AS (SELECT f1.*, y.ts AS bm_ts, y.close AS bm_close FROM f1 ASOF LEFT JOIN mk y ON y.ts <= f1.anchor_ts + INTERVAL 8 DAY),
+dj AS (SELECT s.*, y.ts, y.close, CASE WHEN coalesce(bd_ts > bm_ts, bm_ts IS NULL) THEN bd_ts ELSE bm_ts END AS bb_ts, CASE WHEN coalesce(bd_ts > bm_ts, bm_ts IS NULL) THEN bd_close ELSE bm_close END AS bb_close
+  FROM f2 s JOIN dd y ON s.instrument_id = y.instrument_id AND y.ts > f_ts AND y.ts <= s.anchor_ts + INTERVAL 30 DAY),
+fell AS (SELECT DISTINCT cluster_id FROM abn WHERE horizon = '1d' AND abnormal_bps <= -50),
+every AS (SELECT cluster_id, instrument_id, anchor_ts, ts, cum_bps FROM pts UNION ALL SELECT s.cluster_id, s.instrument_id, s.anchor_ts, s.ts, """ + CUM.format(t="s.bb_ts", c="s.bb_close").replace("y.close", "s.close") + """ FROM dj s),
+s AS (SELECT *, (epoch_us(ts) - epoch_us(anchor_ts)) / 3600000000 AS hour FROM every SEMI JOIN fell USING (cluster_id) WHERE ts > anchor_ts),
+t AS (SELECT cluster_id, min(cum_bps) AS trough, first(hour ORDER BY cum_bps, hour) AS at FROM s GROUP BY 1),
+rec AS (SELECT s.cluster_id, instrument_id, trough AS trough_bps, t.at AS hours_to_trough, min(hour) FILTER (WHERE hour > t.at AND cum_bps >= trough / 2) AS hours_to_half,
+  min(hour) FILTER (WHERE hour > t.at AND cum_bps >= 0) AS hours_to_full, least(30.0, max(hour) / 24) AS days_used,
+  (min(hour) FILTER (WHERE hour > t.at AND cum_bps >= 0)) IS NOT NULL OR least(30.0, max(hour) / 24) >= 29 AS conclusive
+FROM s JOIN t USING (cluster_id) WHERE trough < 0 GROUP BY s.cluster_id, instrument_id, trough, t.at)
 """
 
 
-@query("anchors bars_session", LADDER + SERIES.format(days=1) + "SELECT cluster_id, instrument_id, ts, round(cum_bps, 6) AS cum_bps FROM pts WHERE cluster_id % 7 = 0")
+@query("anchors bars_session bars_1d", LADDER + BETA + MARKET + SIDES + POINTS.format(until="s.anchor_ts + INTERVAL 1 DAY") + "SELECT cluster_id, instrument_id, ts, round(cum_bps, 6) AS cum_bps FROM pts")
 def cumulative_series(spark, sf) -> DataFrame:
     points = _series(spark, sf, V.anchors(spark, sf), V.bars_session(spark, sf), 1)
     return points.select("cluster_id", "instrument_id", "ts", r6("cum_bps").alias("cum_bps"))
 
 
 @query(
-    "anchors bars_session",
-    LADDER + SERIES.format(days=1) + """, s AS (SELECT *, abs(cum_bps) AS size, (epoch_us(ts) - epoch_us(anchor_ts)) / 60000000 AS minute, last_value(cum_bps) OVER (PARTITION BY cluster_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS move FROM pts)
+    "anchors bars_session bars_1d",
+    LADDER + BETA + MARKET + SIDES + POINTS.format(until=REACHING) + """, s AS (SELECT *, abs(cum_bps) AS size, (epoch_us(ts) - epoch_us(anchor_ts)) / 60000000 AS minute, last_value(cum_bps) OVER (PARTITION BY cluster_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS move FROM pts)
 SELECT cluster_id, instrument_id, round(first(cum_bps ORDER BY size DESC, ts), 6) AS peak_bps, round(first(minute ORDER BY size DESC, ts), 3) AS minutes_to_peak,
   round(min(minute) FILTER (WHERE abs(move) >= 10 AND size >= abs(move) / 2 AND sign(cum_bps) = sign(move)), 3) AS minutes_to_half,
   CASE WHEN abs(any_value(move)) < 10 THEN 'flat' WHEN any_value(move) > 0 THEN 'up' ELSE 'down' END AS direction, round(any_value(move), 6) AS move_bps, count(*) AS n_points
@@ -112,19 +137,21 @@ def reaction_summary(spark, sf) -> DataFrame:
     return s.select("cluster_id", "instrument_id", r6("peak_bps").alias("peak_bps"), F.round("minutes_to_peak", 3).alias("minutes_to_peak"), F.round("minutes_to_half", 3).alias("minutes_to_half"), "direction", r6("move_bps").alias("move_bps"), "n_points")
 
 
+def _daily(spark, sf) -> DataFrame:
+    """Daily bars moved to where the minute bars are."""
+    return V.bars_1d(spark, sf).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(8400)))
+
+
 @query(
-    "anchors bars_session",
-    LADDER + SERIES.format(days=8) + """, s AS (SELECT *, (epoch_us(ts) - epoch_us(anchor_ts)) / 3600000000 AS hour FROM pts WHERE ts > anchor_ts),
-t AS (SELECT cluster_id, min(cum_bps) AS trough, first(hour ORDER BY cum_bps, hour) AS at FROM s GROUP BY 1)
-SELECT s.cluster_id, instrument_id, round(trough, 6) AS trough_bps, round(t.at, 6) AS hours_to_trough, round(min(hour) FILTER (WHERE hour > t.at AND cum_bps >= trough / 2), 6) AS hours_to_half,
-  round(min(hour) FILTER (WHERE hour > t.at AND cum_bps >= 0), 6) AS hours_to_full, round(least(30.0, max(hour) / 24), 6) AS days_used,
-  (min(hour) FILTER (WHERE hour > t.at AND cum_bps >= 0)) IS NOT NULL OR least(30.0, max(hour) / 24) >= 29 AS conclusive
-FROM s JOIN t USING (cluster_id) WHERE trough < 0 GROUP BY s.cluster_id, instrument_id, trough, t.at""",
-)
+    "anchors bars_session bars_1d",
+    LADDER + BETA + ABNORMAL + SIDES + POINTS.format(until="s.anchor_ts + INTERVAL 8 DAY") + LONG
+    + "SELECT cluster_id, instrument_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("trough_bps", "hours_to_trough", "hours_to_half", "hours_to_full", "days_used")) + ", conclusive FROM rec",
+)
 def recovery(spark, sf) -> DataFrame:
-    """Over minute bars, and daily closes after the last of them."""
-    bars = intervals.extended(V.bars_session(spark, sf), V.bars_1d(spark, sf))
-    r = study.recovery(_series(spark, sf, V.anchors(spark, sf), bars, C.RECOVERY_DAYS))
+    """Of falls: over minute bars of eight days, then daily closes up to the thirtieth."""
+    anchors, bars = V.anchors(spark, sf), V.bars_session(spark, sf)
+    fell = anchors.join(study.falls(_abnormal(spark, sf)), ["cluster_id", "instrument_id"], "left_semi")
+    r = study.recovery(_series(spark, sf, fell, bars, C.RECOVERY_DAYS, daily=_daily(spark, sf)))
     return r.select("cluster_id", "instrument_id", *[r6(c).alias(c) for c in ("trough_bps", "hours_to_trough", "hours_to_half", "hours_to_full", "days_used")], "conclusive")
 
 
@@ -136,6 +163,31 @@ def credible(received, published):
     return (published >= received - F.make_dt_interval(F.lit(1))) & (published <= received + study.minutes(C.SKEW_MINUTES))
 
 
+# both clocks at once: an anchor of each clock is a story of its own
+CLOCKED = f""", two AS (SELECT cluster_id * 2 AS cluster_id, instrument_id, anchor_ts, published_ts, k FROM anchors
+  UNION ALL SELECT cluster_id * 2 + 1, instrument_id, published_ts, published_ts, k FROM anchors WHERE {CREDIBLE})
+"""
+
+
+@query(
+    "anchors bars_session bars_1d",
+    CLOCKED + LADDER.replace("FROM anchors x", "FROM two x") + BETA + ABNORMAL + SIDES + POINTS.format(until="s.anchor_ts + INTERVAL 8 DAY") + LONG
+    + """, lo AS (SELECT cluster_id % 2 AS v, count(DISTINCT cluster_id) AS measured, count(*) AS horizons, round(sum(abnormal_bps), 3) AS total_abnormal_bps, count(beta_used) AS with_beta FROM abn GROUP BY 1),
+su2 AS (SELECT s.cluster_id % 2 AS v, count(DISTINCT s.cluster_id) AS summaries FROM su s JOIN sm y ON s.instrument_id = y.instrument_id AND y.ts > s.a_ts AND y.ts <= """ + REACHING + """ SEMI JOIN (SELECT cluster_id FROM abn WHERE horizon = '1d') d ON s.cluster_id = d.cluster_id GROUP BY 1),
+re2 AS (SELECT cluster_id % 2 AS v, count(*) AS recoveries, round(sum(trough_bps), 3) AS total_trough_bps FROM rec WHERE conclusive GROUP BY 1)
+SELECT CASE v WHEN 0 THEN 'm1' ELSE 'm1-pub' END AS measurer_version, measured, horizons, with_beta, total_abnormal_bps, coalesce(summaries, 0) AS summaries, coalesce(recoveries, 0) AS recoveries, total_trough_bps FROM lo LEFT JOIN su2 USING (v) LEFT JOIN re2 USING (v)""",
+)
+def measure_two_clocks(spark, sf) -> DataFrame:
+    """What a measurement writes under each clock; a publication time counts where it is credible."""
+    anchors = V.anchors(spark, sf)
+    anchors = anchors.withColumn("published_ts", F.when(credible(F.col("anchor_ts"), F.col("published_ts")), F.col("published_ts")))
+    rows, summaries, recoveries = study.measure(anchors, V.bars_session(spark, sf), _daily(spark, sf), study.beta(V.bars_1d(spark, sf), V.BENCHMARK), V.BENCHMARK)
+    r = rows.groupBy("measurer_version").agg(F.count_distinct("cluster_id").alias("measured"), F.count(F.lit(1)).alias("horizons"), F.count("beta_used").alias("with_beta"), F.round(F.sum("abnormal_bps"), 3).alias("total_abnormal_bps"))
+    s = summaries.groupBy("measurer_version").agg(F.count(F.lit(1)).alias("summaries"))
+    c = recoveries.groupBy("measurer_version").agg(F.count(F.lit(1)).alias("recoveries"), F.round(F.sum("trough_bps"), 3).alias("total_trough_bps"))
+    return r.join(s, "measurer_version", "left").join(c, "measurer_version", "left").fillna(0, ["summaries", "recoveries"])
+
+
 @query("anchors", f"SELECT instrument_id, min(published_ts) FILTER (WHERE {CREDIBLE}) AS first_published, count(*) FILTER (WHERE {CREDIBLE}) AS n_credible, count(*) AS n FROM anchors GROUP BY 1")
 def publication_anchor(spark, sf) -> DataFrame:
     ok = credible(F.col("anchor_ts"), F.col("published_ts"))
