@@ -295,6 +295,48 @@ def test_hashes_of_runs_by_doubling():
         assert not len(substring_dedup.run_hashes(w[: n - 1], n))
 
 
+def test_words_by_code_points_are_those_of_split():
+    r = random.Random(8)
+    kinds = ["a", "B", "ß", "İ", "Σ", "é", "\U0001f600", " ", "\n", "\t", "\u2003", "\u3000", "\x1c", "\x85", "\ud800", "x1"]
+    texts = ["".join(r.choice(kinds) for _ in range(r.randrange(60))) for _ in range(80)] + [None, "", "\n", "one"]
+    read = substring_dedup._Read(texts, substring_dedup.Chars(), 3)
+    seen = {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        lo, hi = read.first[i], read.first[i] + read.sizes[i]
+        spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", t.translate({0x1c: " ", 0x85: " "}))]
+        assert [(a - read.begin[i], b - read.begin[i]) for a, b in zip(read.starts[lo:hi].tolist(), read.stops[lo:hi].tolist())] == spans
+        for w, h in zip(t.lower().split(), read.hashes[lo:hi].tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    lines = [(i, at, at + len(line), line) for i, t in enumerate(texts) for at, line in zip(itertools.accumulate([0, *(len(x) + 1 for x in (t or "").split("\n"))]), (t or "").split("\n")) if len(line.split()) >= 3]
+    start, end, before, n = (x.tolist() for x in read.lines())
+    assert list(zip(read.line_text.tolist(), start, end, n)) == [(i, a, b, len(x.split())) for i, a, b, x in lines]
+    assert before == [len((texts[i] or "")[:a].split()) for i, a, _, _ in lines]
+
+
+def test_substring_rows_without_ids_or_with_one_id(spark):
+    """A document is an id and a text: of equal rows nothing goes, of others what the smaller text hash has stays."""
+    r = random.Random(9)
+    line = words(r, 40)
+    for id_ in (None, 5):
+        rows = [(id_, f"{words(r, 10)} {line}") for _ in range(6)] + [(id_, words(r, 60))] * 3
+        got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == 5 and {(x["doc_id"], x["n_words"], x["keep_doc_id"]) for x in got} == {(id_, 40, id_)}
+
+
+def test_slots_hit_twice(spark):
+    r = random.Random(10)
+    rows = [([r.randrange(-(1 << 62), 1 << 62) for _ in range(3)],) for _ in range(200)]
+    rows += rows[:20]
+    bits = 1 << 20
+    got = common.repeats(spark.createDataFrame(rows, "h array<long>").repartition(5), bits)
+    held = substring_dedup.Held(got, bits)
+    n = collections.Counter(h % bits for x in rows for h in x[0])
+    every = np.array([h for x in rows for h in x[0]], np.int64)
+    assert held.of(every).tolist() == [n[h % bits] > 1 for h in every.tolist()]
+
+
 def test_substring_awkward_rows(spark):
     docs, rows = corpus(spark)
     assert substring_dedup.repeated_spans(docs).filter("doc_id IS NULL AND keep_doc_id IS NULL").count() == 0

@@ -259,9 +259,19 @@ class _Block:
             yield nodes[x], by_rank[int(least[x])], int(count[x])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float, keys_of, n: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+class Shingled:
+    """Shingle hashes of texts by words' hashes."""
+
+    def __init__(self, n: int = SHINGLE):
+        self.hashes, self.n = WordHashes(), n
+
+    def shingles(self, text: str) -> np.ndarray:
+        return shingle_hashes(words_of(text), self.hashes, self.n)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, keys_of, shingles_of) -> Iterator[pa.RecordBatch]:
     """(node, root, links) of blocks, which come one after the other."""
-    hashes = WordHashes()
+    shingled = shingles_of()
     out: list[tuple[bytes, bytes, int]] = []
 
     def batch_of() -> pa.RecordBatch:
@@ -277,7 +287,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float, keys_of, n: i
                     out.extend(block.rows(keys_of, at[1] != at[2], threshold))
                 at, block = (comp, bi, bj), _Block()
             if node not in block.seen:
-                block.add(node, side, copies, shingle_hashes(words_of(text), hashes, n))
+                block.add(node, side, copies, shingled.shingles(text))
         if len(out) > 50_000:
             yield batch_of()
     if at:
@@ -301,7 +311,7 @@ def in_blocks(members: DataFrame, total: int) -> DataFrame:
     return join_counted(members, sizes, [("component", "_c")], "m", total).drop("_c", "m").withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
 
 
-def verified(rows: DataFrame, n_rows: int, threshold: float, keys_of, n: int = SHINGLE) -> DataFrame:
+def verified(rows: DataFrame, n_rows: int, threshold: float, keys_of, shingles_of=Shingled) -> DataFrame:
     """(node, root, links) for rows with component, n_blocks, side, node, copies and text, each of which goes to all pairs of its block with another.
 
     The pairs of a component go to partitions in turn, so no partition gets
@@ -314,7 +324,7 @@ def verified(rows: DataFrame, n_rows: int, threshold: float, keys_of, n: int = S
     parts = min(max(n_rows // TASK_ROWS, 8), 20_000)
     dealt = rows.withColumn("_p", F.explode(pairs)).select("component", i.alias("bi"), j.alias("bj"), "side", "node", "copies", "text", F.pmod(F.xxhash64("component") + turn, F.lit(parts)).cast("int").alias("slot"))
     dealt = dealt.repartitionById(parts, "slot").drop("slot").sortWithinPartitions("component", "bi", "bj")
-    return map_arrow(dealt, lambda it: _verified(it, threshold, keys_of, n), "node binary, root binary, links long")
+    return map_arrow(dealt, lambda it: _verified(it, threshold, keys_of, shingles_of), "node binary, root binary, links long")
 
 
 def forest_keys(floor: int):
@@ -363,7 +373,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = wanted.groupBy("doc_id", "th").agg(F.first("text").alias("text"))  # a row of each that repeat an id and a text
     texts = wanted.join(members, F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("th") == F.col("row.th")))
     n_dealt = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
-    near = checkpoint(verified(texts, n_dealt, threshold, forest_keys(floor), n))
+    near = checkpoint(verified(texts, n_dealt, threshold, forest_keys(floor), lambda: Shingled(n)))
     classes = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = near.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_l")
     ids = nodes.select(F.col("node").alias("_n"), "min_id", "copies")

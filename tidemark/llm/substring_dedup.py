@@ -25,24 +25,21 @@ doc_id, then by the hash of the text, then by position.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, repeats, sliced, with_flag
 from tidemark.llm.ngram_join import SKETCH, in_blocks, linked, most_unlike, sketches, verified
-from tidemark.llm.shingles import SHINGLE, MinHash, WordHashes, many_shingles, mix, text_key, words_of
+from tidemark.llm.shingles import SHINGLE, MinHash, mix
 
 THRESHOLD, TARGET = 0.8, 0.995
 LEAST_WORDS = 25  # at least a shingle's
 #: Words of an anchor, and of how many successive grams one is an anchor; no more than ``GRAM``, so that neighbours touch.
 GRAM, WINDOW = 13, 13
-#: Whether a code point is white.
-_WHITE = np.zeros(0x110000, bool)
-_WHITE[[c for c in range(0x110000) if chr(c).isspace()]] = True
 
 
 def tune_bands(threshold: float = THRESHOLD, target: float = TARGET, most: int = 32) -> tuple[int, int]:
@@ -64,35 +61,78 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def paragraphs(text: str | None) -> Iterator[tuple[int, int, str]]:
-    """(start, end, line) of lines that aren't blank, in code points."""
-    at = 0
-    for line in (text or "").split("\n"):
-        if line.strip():
-            yield at, at + len(line), line
-        at += len(line) + 1
+class Chars:
+    """Words of many texts at once: where they are and their hashes, from arrays of code points.
+
+    A word's hash is the sum of its code points' random numbers times powers of
+    an odd number, which prefix sums give for all words: those up to the word's
+    end, less those before it, times the inverse of the power at its start.
+    """
+
+    _STEP = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.white = np.zeros(0x110000, bool)
+        self.white[[c for c in range(0x3001) if chr(c).isspace()]] = True  # no code point beyond is
+        self.code = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            grown = [np.full(n + n // 2, x % (1 << 64), np.uint64) for x in (self._STEP, pow(self._STEP, -1, 1 << 64))]
+            for x in grown:
+                x[0] = 1
+            self.power, self.inverse = (np.multiply.accumulate(x) for x in grown)
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points, starts, ends of words)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        white = np.ones(len(points) + 2, bool)
+        white[1:-1] = self.white[points]
+        edges = np.nonzero(white[1:] != white[:-1])[0]
+        return points, edges[::2], edges[1::2]
+
+    def hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._powers(len(points))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code[points] * self.power[: len(points)], dtype=np.uint64)])
+        return mix((total[ends] - total[starts]) * self.inverse[starts])
+
+    def shingles(self, text: str) -> np.ndarray:
+        """Hashes of a text's shingles, in order and with repeats."""
+        w = self.hashes(*self.spans(text.lower()))
+        return run_hashes(w, min(SHINGLE, len(w))) if len(w) else w
 
 
 class _Read:
-    """Words of several texts: their hashes in one array, and the lines of at least ``least`` words."""
-
-    def __init__(self, texts: list[str | None], hashes: WordHashes, least: int):
-        self.lines: list[tuple[int, int, int, int, str]] = []  # text, start, end, words before it, itself
-        self.words: list[list[str]] = []
-        every, sizes = [], []
-        for i, text in enumerate(texts):
-            before = 0
-            for start, end, line in paragraphs(text):
-                words = words_of(line)
-                if len(words) >= least:
-                    self.lines.append((i, start, end, before, line))
-                    self.words.append(words)
-                every.append(words)
-                before += len(words)
-            sizes.append(before)
-        self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.hashes = np.fromiter(map(hashes.__getitem__, chain.from_iterable(every)), np.uint64, int(self.sizes.sum()))
+    """Words of several texts in one array, and the lines of at least ``least`` words."""
+
+    def __init__(self, texts: list[str | None], chars: Chars, least: int):
+        self.all = "\n".join(t or "" for t in texts)
+        points, self.starts, self.stops = chars.spans(self.all)
+        low = self.all.lower()
+        # lower case may be longer, but has the same words
+        self.hashes = chars.hashes(*(chars.spans(low) if low != self.all else (points, self.starts, self.stops)))
+        self.begin = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])]).astype(np.int64)
+        self.first = np.searchsorted(self.starts, self.begin)  # each text's first word
+        self.sizes, self.ends = np.diff(self.first), self.first[1:]
+        cuts = np.nonzero(points == 10)[0]
+        line_starts, line_ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
+        lo, hi = np.searchsorted(self.starts, line_starts), np.searchsorted(self.starts, line_ends)
+        long = hi - lo >= least
+        self.line_starts, self.line_ends, self.lo, self.hi = (x[long] for x in (line_starts, line_ends, lo, hi))
+        self.line_text = np.searchsorted(self.begin, self.line_starts, side="right") - 1
+        self.nodes = [xxhash.xxh128_digest(self.hashes[x:y].tobytes()) for x, y in zip(self.lo.tolist(), self.hi.tolist())]
+
+    def lines(self) -> list[np.ndarray]:
+        """(start, end, words before, words) of the lines in their texts."""
+        at = self.begin[self.line_text]
+        return [x.astype(np.int32) for x in (self.line_starts - at, self.line_ends - at, self.lo - self.first[self.line_text], self.hi - self.lo)]
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, counts) of the lines' shingles."""
+        every, counts = run_hashes(self.hashes, SHINGLE), self.hi - self.lo - SHINGLE + 1
+        at = np.arange(int(counts.sum())) + np.repeat(self.lo - (np.cumsum(counts) - counts), counts)
+        return every[at], counts
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, gram, text): where in the array of all words anchors start, their hashes, and which texts they are in."""
@@ -101,38 +141,32 @@ class _Read:
             return none, none.view(np.uint64), none
         gram = run_hashes(self.hashes, GRAM)
         at = least_at(gram, WINDOW)
-        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)  # of each word
         whole = np.arange(len(at)) + GRAM + WINDOW - 1 <= self.ends[text[: len(at)]]  # windows within one text
         place = np.unique(at[whole])
         return place, gram[place], text[place]
 
 
+def _offsets(of: np.ndarray, rows: int) -> np.ndarray:
+    """Where the lists of rows end, for items that know their row."""
+    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
+
+
+def _list(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
+
+
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int) -> Iterator[pa.RecordBatch]:
     """A row for each row: hashes of its anchors, and its paragraphs with nodes, bands and sketches."""
-    hashes, minhash = WordHashes(), MinHash(SKETCH, seed=2)
+    chars, minhash = Chars(), MinHash(SKETCH, seed=2)
     for batch in sliced(batches, 128):
-        read = _Read(batch.column(1).to_pylist(), hashes, least)
+        read = _Read(batch.column(1).to_pylist(), chars, least)
         _, gram, text = read.anchors()
-        pairs = np.unique(np.stack([text.astype(np.uint64), gram], 1), axis=0) if len(gram) else np.empty((0, 2), np.uint64)
-        shingles, counts = many_shingles(read.words, hashes)
-        sig = minhash.flat(shingles, counts)
-        of = np.array([x[0] for x in read.lines], np.int64)
-        per_text = lambda t: np.concatenate([[0], np.cumsum(np.bincount(t.astype(np.int64), minlength=batch.num_rows))]).astype(np.int32)
-        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
-        at = per_text(of)
-        ints = [pa.array([x[k] for x in read.lines], pa.int32()) for k in (1, 2, 3)]
-        sketch = sketches(sig).view(np.int64)
+        sig = minhash.flat(*read.shingles())
+        at, sketch = _offsets(read.line_text, batch.num_rows), sketches(sig).view(np.int64)
         keys = band_keys(sig[:, : bands * rows], bands, rows).view(np.int64)
-        columns = [
-            batch.column(0),
-            batch.column(2),
-            lists(per_text(pairs[:, 0]), pa.array(pairs[:, 1].view(np.int64))),
-            *[lists(at, x) for x in ints],
-            lists(at, pa.array([len(w) for w in read.words], pa.int32())),
-            lists(at, pa.array([text_key(w) for w in read.words], pa.binary())),
-            lists(at * bands, pa.array(keys.ravel())),
-            *[lists(at, pa.array(sketch[:, k])) for k in (0, 1)],
-        ]
+        columns = [batch.column(0), batch.column(2), _list(_offsets(text, batch.num_rows), gram.view(np.int64)), *[_list(at, x) for x in read.lines()]]
+        columns += [_list(at, pa.array(read.nodes, pa.binary())), _list(at * bands, keys.ravel()), *[_list(at, sketch[:, k]) for k in (0, 1)]]
         yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
@@ -168,14 +202,6 @@ def least_at(x: np.ndarray, n: int) -> np.ndarray:
     return less(at[: len(at) - (n - span)], at[n - span :])
 
 
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end, in code points."""
-    white = np.ones(len(text) + 2, bool)
-    white[1:-1] = _WHITE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    edges = np.nonzero(white[1:] != white[:-1])[0]
-    return edges[::2], edges[1::2]
-
-
 class Held:
     """A filter of one bit a hash, as bytes, for tasks in Python."""
 
@@ -190,30 +216,23 @@ class Held:
         return (np.frombuffer(self.bytes, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _context(read: _Read, texts: list[str | None], place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hashes, steps) of anchors in code points.
+def _context(read: _Read, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, steps) of anchors.
 
     ``hashes`` has two bytes of each of the words before an anchor, nearest
-    first, and of those after it, 0 where the text has none. ``steps`` has the code
-    points from word to word, 255 where there are more.
+    first, and of those after it, 0 where the text has none. ``steps`` has the
+    code points from word to word, 255 where there are more.
     """
-    n = len(place)
-    start, end = np.empty(n, np.int64), np.empty(n, np.int64)
-    hashes, steps = np.zeros((n, 2 * WINDOW), np.uint16), np.full((n, 2 * WINDOW), 255, np.uint8)
-    for t in np.unique(text).tolist():
-        lo, hi = np.searchsorted(text, [t, t + 1])
-        starts, ends = word_spans(texts[t])
-        begin, size = int(read.ends[t] - read.sizes[t]), int(read.sizes[t])
-        k = place[lo:hi] - begin
-        start[lo:hi], end[lo:hi] = starts[k], ends[k + GRAM - 1]
-        # windows over the words' hashes and steps with padding on both sides
-        pad = lambda x, fill: np.pad(x, WINDOW, constant_values=fill)
-        short = pad((read.hashes[begin : begin + size] % np.uint64(65535) + np.uint64(1)).astype(np.uint16), 0)
-        back, on = (pad(np.minimum(np.diff(x, prepend=x[:1] - 255), 255).astype(np.uint8), 255) for x in (starts, ends))
-        before, after = k[:, None] + WINDOW - 1 - np.arange(WINDOW), k[:, None] + WINDOW + GRAM + np.arange(WINDOW)
-        hashes[lo:hi, :WINDOW], hashes[lo:hi, WINDOW:] = short[before], short[after]
-        steps[lo:hi, :WINDOW], steps[lo:hi, WINDOW:] = back[before + 1], on[after]
-    return start, end, hashes, steps
+    j = np.arange(WINDOW)
+    before, after = place[:, None] - 1 - j, place[:, None] + GRAM + j
+    there = np.concatenate([before >= read.first[text][:, None], after < read.ends[text][:, None]], 1)
+    word = np.where(there, np.concatenate([before, after], 1), 0)
+    hashes = np.where(there, read.hashes[word] % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
+    last = len(read.starts) - 1
+    back = read.starts[np.minimum(word[:, :WINDOW] + 1, last)] - read.starts[word[:, :WINDOW]]
+    on = read.stops[word[:, WINDOW:]] - read.stops[np.maximum(word[:, WINDOW:] - 1, 0)]
+    steps = np.where(there, np.minimum(np.concatenate([back, on], 1), 255), 255).astype(np.uint8)
+    return hashes, steps
 
 
 def _blobs(x: np.ndarray) -> pa.Array:
@@ -224,29 +243,25 @@ def _blobs(x: np.ndarray) -> pa.Array:
 
 def _again(batches: Iterator[pa.RecordBatch], grams: Held, nodes: Held, least: int) -> Iterator[pa.RecordBatch]:
     """A row for each text: its anchors that the one filter may hold, and lines whose node the other may hold, each line once a partition, nearly."""
-    hashes = WordHashes()
+    chars = Chars()
     seen: set[bytes] = set()
     for batch in sliced(batches, 128):
-        texts = batch.column(1).to_pylist()
-        read = _Read(texts, hashes, least)
+        read = _Read(batch.column(1).to_pylist(), chars, least)
         place, gram, text = read.anchors()
         hit = grams.of(gram)
         place, gram, text = place[hit], gram[hit], text[hit]
-        start, end, near, steps = _context(read, texts, place, text)
-        word = place - (read.ends - read.sizes)[text]
-        at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
-        keys = [text_key(w) for w in read.words]
-        wanted = nodes.of(np.array([int.from_bytes(k[:7], "big") for k in keys], np.int64))
-        lines: list[list] = [[] for _ in texts]
+        near, steps = _context(read, place, text)
+        at, begin = _offsets(text, batch.num_rows), read.begin[text]
+        lines: list[list] = [[] for _ in range(batch.num_rows)]
+        wanted = nodes.of(np.array([int.from_bytes(k[:7], "big") for k in read.nodes], np.int64))
         for i in np.nonzero(wanted)[0].tolist():
-            if keys[i] not in seen:
+            if read.nodes[i] not in seen:
                 if len(seen) > 200_000:
                     seen.clear()
-                seen.add(keys[i])
-                lines[read.lines[i][0]].append({"node": keys[i], "text": read.lines[i][4]})
-        lists = lambda values: pa.ListArray.from_arrays(pa.array(at), values)
-        columns = [batch.column(0), batch.column(2), lists(pa.array(gram.view(np.int64))), lists(pa.array(word.astype(np.int32)))]
-        columns += [lists(pa.array(start.astype(np.int32))), lists(pa.array(end.astype(np.int32))), lists(_blobs(near)), lists(_blobs(steps))]
+                seen.add(read.nodes[i])
+                lines[read.line_text[i]].append({"node": read.nodes[i], "text": read.all[read.line_starts[i] : read.line_ends[i]]})
+        ints = [x.astype(np.int32) for x in (place - read.first[text], read.starts[place] - begin, read.stops[place + GRAM - 1] - begin)]
+        columns = [batch.column(0), batch.column(2), _list(at, gram.view(np.int64)), *[_list(at, x) for x in ints], _list(at, _blobs(near)), _list(at, _blobs(steps))]
         columns += [pa.array(lines, pa.list_(pa.struct([("node", pa.binary()), ("text", pa.string())])))]
         yield pa.RecordBatch.from_arrays(columns, ["o", "th", "gram", "word", "start", "end", "hashes", "steps", "lines"])
 
@@ -351,7 +366,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = again.select(F.explode("lines").alias("p")).groupBy("p.node").agg(F.min("p.text").alias("text")).withColumnRenamed("node", "_n")
     asked = texts.join(members, F.col("_n") == F.col("node")).withColumn("copies", F.lit(1))
     n_dealt = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
-    near = checkpoint(verified(asked, n_dealt, threshold, banded(bands, rows)))
+    near = checkpoint(verified(asked, n_dealt, threshold, banded(bands, rows), shingles_of=Chars))
     near = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("_n"), F.col("component").alias("root"))
 
     # paragraphs that go: all of a root but the first
