@@ -17,9 +17,11 @@ anchor that an earlier document has goes, with the words before and after it
 for as long as both texts agree. Neighbouring anchors overlap or touch, so a
 repeated passage goes as one span.
 
-Texts are read twice: once for signatures and anchors' hashes, which fill
-filters of bounded size, then for what the filters may hold. Order is by
-doc_id, then by the hash of the text, then by position.
+Texts are read three times: for signatures and anchors' hashes, which fill
+filters of bounded size; for anchors and lines that the filters may hold; and
+for the words around the ends of runs of anchors that go. What shuffles of an
+anchor is its hash and its place alone. Order is by doc_id, then by the hash of
+the text, then by position.
 """
 
 from __future__ import annotations
@@ -147,6 +149,11 @@ class _Read:
         return place, gram[place], text[place]
 
 
+def short_of(gram: np.ndarray) -> np.ndarray:
+    """What of a gram's hash goes into the filter: 31 bits."""
+    return (gram >> np.uint64(33)).astype(np.int32)
+
+
 def _offsets(of: np.ndarray, rows: int) -> np.ndarray:
     """Where the lists of rows end, for items that know their row."""
     return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
@@ -165,13 +172,13 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int
         sig = minhash.flat(*read.shingles())
         at, sketch = _offsets(read.line_text, batch.num_rows), sketches(sig).view(np.int64)
         keys = band_keys(sig[:, : bands * rows], bands, rows).view(np.int64)
-        columns = [batch.column(0), batch.column(2), _list(_offsets(text, batch.num_rows), gram.view(np.int64)), *[_list(at, x) for x in read.lines()]]
+        columns = [batch.column(0), batch.column(2), _list(_offsets(text, batch.num_rows), short_of(gram)), *[_list(at, x) for x in read.lines()]]
         columns += [_list(at, pa.array(read.nodes, pa.binary())), _list(at * bands, keys.ravel()), *[_list(at, sketch[:, k]) for k in (0, 1)]]
         yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 _NAMES = ["o", "th", "grams", "start", "end", "before", "n_words", "node", "bands", "s0", "s1"]
-_SIGNED = "o long, th long, grams array<long>, start array<int>, end array<int>, before array<int>, n_words array<int>, node array<binary>, bands array<long>, s0 array<long>, s1 array<long>"
+_SIGNED = "o long, th long, grams array<int>, start array<int>, end array<int>, before array<int>, n_words array<int>, node array<binary>, bands array<long>, s0 array<long>, s1 array<long>"
 
 
 def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
@@ -212,7 +219,7 @@ class Held:
         self.bytes = bytes(held)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        slot = (h.view(np.int64) % np.int64(self.bits)).astype(np.int64)
+        slot = h.astype(np.int64) % np.int64(self.bits)
         return (np.frombuffer(self.bytes, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -248,10 +255,9 @@ def _again(batches: Iterator[pa.RecordBatch], grams: Held, nodes: Held, least: i
     for batch in sliced(batches, 128):
         read = _Read(batch.column(1).to_pylist(), chars, least)
         place, gram, text = read.anchors()
-        hit = grams.of(gram)
+        hit = grams.of(short_of(gram))
         place, gram, text = place[hit], gram[hit], text[hit]
-        near, steps = _context(read, place, text)
-        at, begin = _offsets(text, batch.num_rows), read.begin[text]
+        at = _offsets(text, batch.num_rows)
         lines: list[list] = [[] for _ in range(batch.num_rows)]
         wanted = nodes.of(np.array([int.from_bytes(k[:7], "big") for k in read.nodes], np.int64))
         for i in np.nonzero(wanted)[0].tolist():
@@ -260,26 +266,63 @@ def _again(batches: Iterator[pa.RecordBatch], grams: Held, nodes: Held, least: i
                     seen.clear()
                 seen.add(read.nodes[i])
                 lines[read.line_text[i]].append({"node": read.nodes[i], "text": read.all[read.line_starts[i] : read.line_ends[i]]})
-        ints = [x.astype(np.int32) for x in (place - read.first[text], read.starts[place] - begin, read.stops[place + GRAM - 1] - begin)]
-        columns = [batch.column(0), batch.column(2), _list(at, gram.view(np.int64)), *[_list(at, x) for x in ints], _list(at, _blobs(near)), _list(at, _blobs(steps))]
+        columns = [batch.column(0), batch.column(2), _list(at, gram.view(np.int64)), _list(at, (place - read.first[text]).astype(np.int32))]
         columns += [pa.array(lines, pa.list_(pa.struct([("node", pa.binary()), ("text", pa.string())])))]
-        yield pa.RecordBatch.from_arrays(columns, ["o", "th", "gram", "word", "start", "end", "hashes", "steps", "lines"])
+        yield pa.RecordBatch.from_arrays(columns, ["o", "th", "gram", "word", "lines"])
+
 
+_AGAIN = "o long, th long, gram array<long>, word array<int>, lines array<struct<node: binary, text: string>>"
+_PLACE = 2654435761
 
-_AGAIN = "o long, th long, gram array<long>, word array<int>, start array<int>, end array<int>, hashes array<binary>, steps array<binary>, lines array<struct<node: binary, text: string>>"
+
+def _located(batches: Iterator[pa.RecordBatch], ends: Held, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor that the filter may hold, by document and word: where it is, and what is around it."""
+    chars = Chars()
+    for batch in sliced(batches, 128):
+        read = _Read(batch.column(1).to_pylist(), chars, least)
+        place, _, text = read.anchors()
+        o, th = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 2))
+        word = place - read.first[text]
+        hit = ends.of(o ^ th ^ word * _PLACE)
+        o, th, word, place, text = (x[hit] for x in (o, th, word, place, text))
+        near, steps = _context(read, place, text)
+        begin = read.begin[text]
+        columns = [pa.array(x) for x in (o, th, word, read.starts[place] - begin, read.stops[place + GRAM - 1] - begin)]
+        yield pa.RecordBatch.from_arrays([*columns, _blobs(near), _blobs(steps)], ["o", "th", "word", "start", "end", "hashes", "steps"])
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of a document that go, to runs of those that touch: the anchors from which an end may move on, one for each text and place that it repeats."""
+    for batch in sliced(batches):
+        out = []
+        for o, th, anchors in zip(*(c.to_pylist() for c in batch.columns)):
+            runs: list[list[dict]] = []
+            for x in sorted(anchors, key=lambda x: (x["word"], x["ko"])):
+                if not runs or x["word"] > runs[-1][-1]["word"] + GRAM:
+                    runs.append([])
+                runs[-1].append(x)
+            for run in runs:
+                first, last = run[0]["word"], run[-1]["word"]
+                for left, near in ((True, [x for x in reversed(run) if x["word"] < first + WINDOW]), (False, [x for x in run if x["word"] > last - WINDOW])):
+                    for x in {(x["ko"], x["kth"], x["word"] - x["kword"]): x for x in near}.values():  # the outermost of each
+                        out.append((o, th, x["word"], x["ko"], x["kth"], x["kword"], first, last, left))
+        columns = list(zip(*out)) or [[]] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 8 else pa.int64()) for k, c in enumerate(columns)], ["o", "th", "word", "ko", "kth", "kword", "first", "last", "left"])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with the words around them on which both texts agree."""
+    """Ends of runs with the words beyond them on which both texts agree: a span for each, which knows where it starts or where it stops, else -1."""
     for batch in sliced(batches, 4096):
-        o, th, start, end, word = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
-        own, other, steps = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(-1, 2 * WINDOW) for c, t in ((5, np.uint16), (6, np.uint16), (7, np.uint8)))
-        grown = []
-        for side in (slice(0, WINDOW), slice(WINDOW, None)):
-            agree = np.cumprod((own[:, side] == other[:, side]) & (own[:, side] > 0) & (steps[:, side] < 255), axis=1, dtype=np.int64)
-            grown.append((agree.sum(1), (agree * steps[:, side]).sum(1)))
-        (lw, lc), (rw, rc) = grown
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (o, th, start - lc, end + rc, word - lw, GRAM + lw + rw)] + [batch.column(8)], ["o", "th", "start", "end", "word", "n_words", "keep"])
+        o, th, at, first, last, left, keep, start, end = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(9))
+        own, other, steps = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(-1, 2 * WINDOW) for c, t in ((9, np.uint16), (10, np.uint16), (11, np.uint8)))
+        agree = (own == other) & (own > 0) & (steps < 255)
+        agree = np.where(left[:, None], agree[:, :WINDOW], agree[:, WINDOW:])
+        steps = np.where(left[:, None], steps[:, :WINDOW], steps[:, WINDOW:])
+        agree = np.cumprod(agree, axis=1, dtype=np.int64)
+        more, further = agree.sum(1), (agree * steps).sum(1)
+        word, stop = np.where(left, np.minimum(first, at - more), first), np.where(left, last + GRAM, np.maximum(last, at + more) + GRAM)
+        start, end = np.where(left & (at - more <= first), start - further, -1), np.where(~left & (at + more >= last), end + further, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (o, th, start, end, word, stop - word, keep)], ["o", "th", "start", "end", "word", "n_words", "keep"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -288,13 +331,14 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         out = []
         for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             runs: list[list[int]] = []
-            for x in sorted(spans, key=lambda s: (s["word"], -s["n_words"], s["keep"])):
+            for x in sorted(spans, key=lambda s: (s["word"], s["start"] < 0, -s["n_words"], s["keep"])):
                 last = x["word"] + x["n_words"]
-                if runs and x["word"] <= runs[-1][4]:
-                    run = runs[-1]
-                    run[1], run[3], run[4] = max(run[1], x["end"]), min(run[3], x["keep"]), max(run[4], last)
-                else:
-                    runs.append([x["start"], x["end"], x["word"], x["keep"], last])
+                if not runs or x["word"] > runs[-1][4]:
+                    runs.append([x["start"], -1, x["word"], x["keep"], last, -1])
+                run = runs[-1]
+                run[3], run[4] = min(run[3], x["keep"]), max(run[4], last)
+                if x["end"] >= 0 and last > run[5]:
+                    run[1], run[5] = x["end"], last
             out += [(doc, r[0], r[1], r[4] - r[2], r[3]) for r in runs if r[4] - r[2] >= least]
         columns = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["o", "start", "end", "n_words", "keep"])
@@ -379,13 +423,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.select("o", "th", *long("start", "end"), F.col("before").cast("long").alias("word"), *long("n_words"), F.col("keep.o").alias("keep"))
 
     # anchors that go: all but the first document's
-    each = again.select("o", "th", F.explode(F.arrays_zip("gram", "word", "start", "end", "hashes", "steps")).alias("a")).select("o", "th", "a.*")
+    each = again.select("o", "th", F.explode(F.arrays_zip("gram", "word")).alias("a")).select("o", "th", "a.gram", "a.word")
     origin = F.struct("o", "th")
-    keepers = each.groupBy("gram").agg(F.min(F.struct("o", "th", "word", "hashes")).alias("k"), F.max(origin).alias("last"), F.count(F.lit(1)).alias("n"))
-    keepers = keepers.filter(F.col("last") > F.struct(F.col("k.o"), F.col("k.th"))).select(F.col("gram").alias("_g"), "k", "n")
-    pasted = join_counted(each, keepers, [("gram", "_g")], "n", n_grams).filter(origin > F.struct(F.col("k.o"), F.col("k.th")))
-    pasted = pasted.select("o", "th", "start", "end", "word", "hashes", F.col("k.hashes").alias("other"), "steps", F.col("k.o").alias("keep"))
-    pasted = map_arrow(pasted, _extended, "o long, th long, start long, end long, word long, n_words long, keep long")
+    keepers = each.groupBy("gram").agg(F.min(F.struct("o", "th", "word")).alias("k"), F.max(origin).alias("last"), F.count(F.lit(1)).alias("n"))
+    keepers = keepers.filter(F.col("last") > F.struct(F.col("k.o"), F.col("k.th"))).select(F.col("gram").alias("_g"), F.col("k.o").alias("ko"), F.col("k.th").alias("kth"), F.col("k.word").alias("kword"), "n")
+    pasted = join_counted(each, keepers, [("gram", "_g")], "n", n_grams).filter(origin > F.struct("ko", "kth"))
+    pasted = pasted.groupBy("o", "th").agg(F.collect_set(F.struct("word", "ko", "kth", "kword")).alias("anchors"))
+    ends = checkpoint(map_arrow(pasted, _chained, "o long, th long, word long, ko long, kth long, kword long, first long, last long, left boolean"))
+
+    # what is around the ends of runs, in both texts
+    n_ends = ends.count()
+    end_bits = filter_bits(2 * n_ends)
+    place = lambda o, th, word: F.col(o).bitwiseXOR(F.col(th)).bitwiseXOR(F.col(word) * _PLACE)
+    asked = ends.select(F.explode(F.array(place("o", "th", "word"), place("ko", "kth", "kword"))).alias("h"))
+    held = spark.broadcast(Held(member_filter(asked, F.col("h"), end_bits, 1), end_bits))
+    around = map_arrow(source, lambda it: _located(it, held.value, least), "o long, th long, word long, start long, end long, hashes binary, steps binary")
+    around = checkpoint(around.dropDuplicates(["o", "th", "word"]))
+    there = ends.groupBy("ko", "kth", "kword").agg(F.count(F.lit(1)).alias("n"))
+    there = there.join(around, (F.col("ko") == F.col("o")) & (F.col("kth") == F.col("th")) & (F.col("kword") == F.col("word"))).select(F.col("ko").alias("_o"), F.col("kth").alias("_th"), F.col("kword").alias("_w"), F.col("hashes").alias("other"), "n")
+    ends = join_counted(ends, there, [("ko", "_o"), ("kth", "_th"), ("kword", "_w")], "n", n_ends).join(around, ["o", "th", "word"])
+    pasted = map_arrow(ends.select("o", "th", "word", "first", "last", "left", F.col("ko").alias("keep"), "start", "end", "hashes", "other", "steps"), _extended, "o long, th long, start long, end long, word long, n_words long, keep long")
 
     span = F.struct("start", "end", "word", "n_words", "keep")
     cut = gone.unionByName(pasted).groupBy("o", "th").agg(F.collect_set(span).alias("spans"))
