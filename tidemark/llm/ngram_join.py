@@ -44,7 +44,7 @@ WIDE = 512
 #: Nodes, and shingles, of one block of a large component.
 BLOCK_NODES, BLOCK_SHINGLES = 160, 400_000
 #: Rows that a task of the verification gets, about.
-TASK_ROWS = 1024
+TASK_ROWS = 4096
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
