@@ -464,7 +464,7 @@ ENTRY = """<entry><title>{f} - Firm {n} (000000000{n}) (Filer)</title><link rel=
 
 
 def test_filings_stop_at_the_cursor_and_keep_the_family(spark):
-    p = payload(spark, ATOM.format("".join(ENTRY.format(n=n, f=f) for n, f in ((4, "8-K"), (3, "8-K12B"), (2, "8-K/A"), (1, "8-K")))))
+    p = payload(spark, ATOM.format("".join(ENTRY.format(n=n, f=f) for n, f in ((4, "8-K"), (3, "S-8"), (2, "8-K/A"), (1, "8-K")))))
     rows = feeds.filings(p, "p", cursor="0000000001-24-000001").orderBy("position").collect()
     assert [(r["external_id"], r["cik"], r["item_codes"]) for r in rows] == [("0000000004-24-000004", "0000000004", ["1.01", "9.01"]), ("0000000002-24-000002", "0000000002", ["1.01", "9.01"])]
     assert rows[0]["published_at"] == dt.datetime(2024, 3, 4, 15, 0) and rows[0]["body"].startswith("Filed Item")
@@ -623,3 +623,42 @@ def test_everything_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
+
+
+def test_families_of_forms_and_their_patterns(spark):
+    entry = lambda i, form, title, summary: f'<entry><title>{title}</title><id>x,2008:accession-number=000000000{i}-24-000001</id><updated>2024-01-05T10:00:00Z</updated><summary>{summary}</summary>{f"""<category term="{form}"/>""" if form else ""}</entry>'
+    p = payload(spark, "<feed>" + entry(1, "8-K12B", "8-K12B - A (12345) (Filer)", "Item   5.2 and Item 12.34, Item 123.4") + entry(2, "SC 13D/A", "SC 13D - B (1234) x", "") + entry(3, "SC 13G", "c", "") + entry(4, None, "d", "") + "</feed>")
+    got = {form: sorted(x["external_id"][9] for x in feeds.filings(p, "p", form).collect()) for form in feeds.FORMS}
+    assert got == {"8-K": ["1", "4"], "10-Q": ["4"], "4": ["4"], "SC 13D": ["2", "4"], "SC 13G": ["3", "4"]}
+    first = feeds.filings(p, "p").orderBy("external_id").first()
+    assert first["cik"] == "12345" and first["item_codes"] == ["5.2", "12.34"]
+    assert [x["cik"] for x in feeds.filings(p, "p", "SC 13D").orderBy("external_id").collect()] == [None, None]
+    with pytest.raises(ValueError):
+        feeds.filings(p, "p", "S-1")
+
+
+def test_walks_of_pages_end(spark):
+    pages = {"a": ([1, 2], "b"), "b": ([2, 3], "c"), "c": ([3], "a")}
+    assert feeds.walk(lambda u: u, "a", pages.get) == ["a", "b", "c"]
+    assert feeds.walk(lambda u: u, "a", pages.get, most=2) == ["a", "b"]
+    with pytest.raises(ValueError):
+        feeds.walk(lambda u: u, "a", pages.get, most=2, strict=True)
+
+
+def test_cursors_move_forward_only(spark):
+    page = {"status": "OK", "results": [{"id": "1", "title": "t", "published_utc": "2024-01-02T00:00:00Z"}]}
+    assert str(feeds.news_cursor(payload(spark, page), "p", "2024-01-03 00:00:00").first()[0]).startswith("2024-01-03")
+    assert str(feeds.news_cursor(payload(spark, page), "p").first()[0]).startswith("2024-01-02")
+    now = dt.datetime(2024, 1, 15)
+    assert feeds.last_complete_month(now) == "2023-12" and feeds.last_complete_month(dt.datetime(2024, 3, 1)) == "2024-02"
+    assert feeds.archive_next(None, "2023-11", now) == "2023-11" and feeds.archive_next("2023-11", "2023-01", now) == "2023-12"
+    assert feeds.archive_next("2023-12", "2023-01", now) is None
+    with pytest.raises(ValueError):
+        feeds.archive_next("2023-13", "2023-01", now)
+
+
+def test_aggregates_need_a_good_status(spark):
+    bars = {"ticker": "A", "status": "ERROR", "results": [{"o": 1, "h": 1, "l": 1, "c": 1, "v": 1, "t": 0}]}
+    with pytest.raises(Exception, match="good status"):
+        feeds.aggregates(payload(spark, bars), "p").collect()
+    assert feeds.aggregates(payload(spark, bars | {"status": "DELAYED"}), "p").count() == 1

@@ -111,3 +111,88 @@ def within_budget(spark, sf) -> DataFrame:
 def identifiers(spark, sf) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit("x"), F.col("c_custkey").cast("string")))
     return V.table(spark, sf, "customer").select("c_custkey", X.padded_cik(raw).alias("cik"), X.symbol(F.replace("c_mktsegment", F.lit("E"), F.lit("-"))).alias("symbol"), X.short_id(F.col("c_name"), 12).alias("short_id"))
+
+
+FILED = """, f AS (SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), CAST(5 + c_custkey % 6 AS INT), '0') AS cik,
+  ['8-K', '8-K/A', '8-K12B', '10-K', '424B2', 'SC 13D', 'SC 13D/A', '4', NULL][CAST(c_custkey % 9 AS INT) + 1] AS form FROM customer)
+"""
+
+
+@query("", "WITH " + FILED[2:] + """SELECT printf('%010d-24-%06d', k, k) AS external_id, cik, form AS form_type, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '2.02' ELSE '2.02,9.1' END AS item_codes
+FROM f WHERE form IS NULL OR form LIKE '8-K%'""")
+def filing_entries(spark, sf) -> DataFrame:
+    """Customers as entries of a feed of filings, written as Atom and read back: the family with its variants, and entries without a form."""
+    c = V.table(spark, sf, "customer").withColumn("k", F.col("c_custkey"))
+    forms = F.array(*[F.lit(x) for x in ("8-K", "8-K/A", "8-K12B", "10-K", "424B2", "SC 13D", "SC 13D/A", "4", None)])
+    form, cik = F.get(forms, (F.col("k") % 9).cast("int")), F.lpad(F.col("k").cast("string"), (5 + F.col("k") % 6).cast("int"), F.lit("0"))
+    number = F.format_string("%010d-24-%06d", "k", "k")
+    codes = F.when(F.col("k") % 3 == 0, F.lit("no codes")).when(F.col("k") % 3 == 1, F.lit("Item 2.02: Results")).otherwise(F.lit("Item  2.02: Results, Item 9.1, Subitem 7.01"))
+    entry = F.concat(F.lit("<entry><title>8-K - "), F.col("c_name"), F.lit(" ("), cik, F.lit(") (Filer)</title><id>urn:tag:x.example,2008:accession-number="), number, F.lit("</id><updated>2024-01-05T10:00:00-05:00</updated><summary>"), codes, F.lit("</summary>"), F.coalesce(F.concat(F.lit('<category term="'), form, F.lit('"/>')), F.lit("")), F.lit("</entry>"))
+    payloads = c.groupBy(F.pmod("k", F.lit(16))).agg(F.concat(F.lit('<?xml version="1.0"?><feed>'), F.concat_ws("", F.collect_list(entry)), F.lit("</feed>")).alias("p"))
+    return feeds.filings(payloads, "p").select("external_id", "cik", "form_type", F.array_join("item_codes", ",").alias("item_codes"))
+
+
+@query("", """SELECT 'a' || event_id AS external_id, ts AS published_at, 'S' || user_id % 8 AS hint, (SELECT max(ts) FROM events) AS cursor FROM (SELECT *, date_trunc('second', ts) AS s FROM events) e WHERE ts >= TIMESTAMP '2024-01-09 23:55:00' """.replace("ts AS published_at", "s AS published_at").replace("max(ts)", "max(date_trunc('second', ts))").replace("WHERE ts", "WHERE s"))
+def news_articles(spark, sf) -> DataFrame:
+    """Events as pages of articles that overlap; from five minutes before the cursor on, once each, with the cursor that follows."""
+    e = V.table(spark, sf, "events")
+    article = F.struct(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_utc"), F.array(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string"))).alias("tickers"))
+    paged = e.withColumn("page", F.explode(F.array_distinct(F.array(F.floor(F.col("event_id") / 100), F.floor((F.col("event_id") + 10) / 100)))))
+    payloads = paged.groupBy("page").agg(F.to_json(F.struct(F.lit("OK").alias("status"), F.collect_list(article).alias("results"))).alias("p"))
+    out = feeds.news_pages(payloads, "p", "2024-01-10 00:00:00")
+    cursor = feeds.news_cursor(payloads, "p", "2024-01-10 00:00:00").select(F.col("cursor").cast("timestamp_ntz"))
+    return out.select("external_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.get("hints", F.lit(0)).alias("hint")).crossJoin(F.broadcast(cursor))
+
+
+@query("", "SELECT CAST(doc_id AS VARCHAR) AS external_id, length(source) AS headline_chars, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, n_chars AS word_count, CAST(doc_id % 3 AS INT) AS n_keywords FROM documents WHERE doc_id % 5 <> 0")
+def archive_items(spark, sf) -> DataFrame:
+    """Documents as an archive's months without one section."""
+    d = V.table(spark, sf, "documents")
+    at = F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int")), "yyyy-MM-dd'T'HH:mm:ss'+0000'")
+    words = F.transform(F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("doc_id") % 3).cast("int")), lambda v: F.struct(F.lit("subject").alias("name"), v.alias("value")))
+    doc = F.struct(F.col("doc_id").cast("string").alias("_id"), F.struct(F.col("source").alias("main")).alias("headline"), at.alias("pub_date"), F.when(F.col("doc_id") % 5 == 0, "Sports").otherwise("World").alias("section_name"), F.col("n_chars").cast("string").alias("word_count"), words.alias("keywords"))
+    payloads = d.groupBy(F.pmod("doc_id", F.lit(16))).agg(F.to_json(F.struct(F.struct(F.collect_list(doc).alias("docs")).alias("response"))).alias("p"))
+    out = feeds.archive_month(payloads, "p", sections=["sports"])
+    return out.select("external_id", F.length("headline").cast("long").alias("headline_chars"), F.col("published_at").cast("timestamp_ntz").alias("published_at"), "word_count", F.size("keywords").alias("n_keywords"))
+
+
+@query("", "SELECT 'T' || user_id AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, value AS open, value + 2 AS high, value - 1 AS low, value + 1 AS close, value * 3 AS volume FROM events")
+def aggregate_bars(spark, sf) -> DataFrame:
+    """Events as pages of daily aggregates, stamped within the day."""
+    e = V.table(spark, sf, "events")
+    v = F.col("value")
+    bar = F.struct(v.alias("o"), (v + 2).alias("h"), (v - 1).alias("l"), (v + 1).alias("c"), (v * 3).alias("v"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    payloads = e.groupBy("user_id").agg(F.to_json(F.struct(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("ticker"), F.lit("DELAYED").alias("status"), F.collect_list(bar).alias("results"))).alias("p"))
+    return feeds.aggregates(payloads, "p", daily=True).select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+@query("", """SELECT 'X' || user_id % 4 AS pair, date_trunc('minute', ts)::TIMESTAMP AS ts, CAST(round(value, 2) AS DOUBLE) AS close FROM events
+WHERE date_trunc('minute', ts) <= TIMESTAMP '2024-01-25'""")
+def exchange_candles(spark, sf) -> DataFrame:
+    """Events as candles of four pairs; those after the last closed one are left out."""
+    e = V.table(spark, sf, "events").withColumn("pair", F.concat(F.lit("X"), (F.col("user_id") % 4).cast("string")))
+    price = F.round("value", 2).cast("decimal(18,2)").cast("string")
+    candle = F.array(F.unix_seconds(F.date_trunc("minute", "ts").cast("timestamp")).cast("string"), price, price, price, price, price, F.lit("1.5"), F.lit("3"))
+    last = F.lit('"last": 1706140800')
+    payloads = e.groupBy("pair", F.pmod("event_id", F.lit(8))).agg(F.concat(F.lit('{"error": [], "result": {"'), F.col("pair"), F.lit('": '), F.to_json(F.collect_list(candle)), F.lit(", "), last, F.lit("}}")).alias("p"))
+    return feeds.exchange_ohlc(payloads, "p").select("pair", "ts", F.col("close").cast("double").alias("close"))
+
+
+@query("", """SELECT 'C' || c_custkey AS symbol, timezone('UTC', timezone('America/New_York', o_orderdate + to_minutes(CASE o_orderstatus WHEN 'F' THEN 480 WHEN 'P' THEN 720 ELSE 965 END))) AS scheduled_at,
+  CASE o_orderstatus WHEN 'F' THEN 'bmo' WHEN 'P' THEN 'dmh' ELSE 'amc' END AS slot FROM orders JOIN customer ON c_custkey = o_custkey""")
+def earnings_slots(spark, sf) -> DataFrame:
+    """Orders as reports: before the open, during trade, and after the close where the hour is unknown."""
+    o = V.table(spark, sf, "orders")
+    hour = F.when(F.col("o_orderstatus") == "F", "bmo").when(F.col("o_orderstatus") == "P", "dmh").otherwise("")
+    row = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), hour.alias("hour"))
+    payloads = o.groupBy(F.pmod("o_orderkey", F.lit(64))).agg(F.to_json(F.struct(F.collect_list(row).alias("earningsCalendar"))).alias("p"))
+    return feeds.earnings(payloads, "p").select("symbol", F.col("scheduled_at").cast("timestamp_ntz").alias("scheduled_at"), "slot")
+
+
+@query("", """SELECT 'S' || s_nationkey AS symbol, lpad(CAST(arg_min(s_suppkey, s_suppkey) AS VARCHAR), 10, '0') AS cik FROM supplier GROUP BY 1""")
+def ticker_numbers(spark, sf) -> DataFrame:
+    """Suppliers as a map of tickers: the first entry of a symbol wins."""
+    s = V.table(spark, sf, "supplier")
+    entry = F.struct(F.col("s_suppkey").cast("string").alias("i"), F.struct(F.col("s_suppkey").alias("cik_str"), F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("ticker"), F.col("s_name").alias("title")).alias("e"))
+    payloads = s.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("p"))
+    return feeds.ticker_map(payloads, "p")

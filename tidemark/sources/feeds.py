@@ -15,10 +15,12 @@ from tidemark.functions import text as X
 
 ACCESSION = r"accession-number=(\d{10}-\d{2}-\d{6})"
 ACCESSION_ANY = r"(\d{10}-\d{2}-\d{6})"
-ITEM_CODE = r"Item (\d+\.\d{2})"
-TITLE_CIK = r"\((\d{10})\)"
-#: Form families: exact names, or names that begin with one of these.
-FORMS = {"8-K": ("8-K", "8-K/A"), "10-Q": ("10-Q", "10-Q/A"), "4": ("4", "4/A")}
+ITEM_CODE = r"\bItem\s+(\d{1,2}\.\d{1,2})\b"
+TITLE_CIK = r"\((\d{5,10})\)"
+#: Form families by name: the form and its amendment; of those in PREFIXED all variants that begin with it.
+FORMS, PREFIXED = ("8-K", "10-Q", "4", "SC 13D", "SC 13G"), ("8-K",)
+#: Pages that one poll follows.
+MOST_PAGES = 10
 CURSOR_IDS = 500
 
 _LINK = "array<struct<_VALUE: string, _href: string, _rel: string>>"
@@ -37,6 +39,36 @@ def _href(links: Column) -> Column:
     return F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"], F.get(links, F.lit(0))["_VALUE"])
 
 
+def in_family(form_type: Column, form: str) -> Column:
+    """Whether a form belongs to a family; one that the feed doesn't name is taken to."""
+    if form not in FORMS:
+        raise ValueError(f"no form family {form}")
+    own = form_type.startswith(form) if form in PREFIXED else form_type.isin(form, f"{form}/A")
+    return form_type.isNull() | own
+
+
+def walk(fetch, url: str, ids, most: int = MOST_PAGES, strict: bool = False) -> list[str]:
+    """Payloads of a response and of the pages that it goes on to, as texts.
+
+    ``fetch(url)`` gives a payload; ``ids(payload)`` what it lists and the next
+    page's address, if any. A page that lists nothing new ends the walk, as its
+    address then leads in circles. At the bound the rest waits for the next
+    poll, whose cursor still lies before it; ``strict`` makes that an error,
+    for ranges that no later poll reads again.
+    """
+    out, seen, at = [], set(), url
+    while at is not None and len(out) < most:
+        payload = fetch(at)
+        listed, following = ids(payload)
+        out.append(payload)
+        fresh = set(listed) - seen
+        seen |= fresh
+        at = following if fresh else None
+    if at is not None and strict:
+        raise ValueError(f"more than {most} pages from {url}")
+    return out
+
+
 def filings(payloads: DataFrame, column: str, form: str = "8-K", cursor: str | None = None) -> DataFrame:
     """(external_id, headline, url, body, published_at, cik, form_type, item_codes, position): entries of a family, newest first, up to the cursor."""
     feed = F.from_xml(F.regexp_replace(F.col(column), r"<\?xml[^>]*\?>", ""), ATOM)
@@ -50,7 +82,7 @@ def filings(payloads: DataFrame, column: str, form: str = "8-K", cursor: str | N
     if cursor is not None:
         stop = out.filter(F.col("external_id") == cursor).agg(F.min("position").alias("stop"))
         out = out.crossJoin(F.broadcast(stop)).filter(F.col("stop").isNull() | (F.col("position") < F.col("stop"))).drop("stop")
-    return out.filter(F.col("form_type").isNull() | F.col("form_type").isin(*FORMS[form]))
+    return out.filter(in_family(F.col("form_type"), form))
 
 
 def syndicated(payloads: DataFrame, column: str) -> DataFrame:
@@ -73,6 +105,18 @@ def next_cursor(current: Column, seen: Column) -> Column:
 NEWS = "status string, next_url string, results array<struct<id: string, title: string, description: string, author: string, article_url: string, published_utc: string, tickers: array<string>, keywords: array<string>, publisher: struct<name: string>>>"
 
 
+def later(cursor: Column, seen: Column) -> Column:
+    """A cursor of time moves forward only: the later of both, null-safe."""
+    return F.greatest(cursor, seen)
+
+
+def news_cursor(payloads: DataFrame, column: str, cursor: str | None = None) -> DataFrame:
+    """(cursor): the latest time of publication of all pages, or the present cursor where that is later."""
+    r = payloads.select(F.explode_outer(F.from_json(column, NEWS)["results"]).alias("r"))
+    now = F.lit(cursor).cast("timestamp")
+    return r.agg(later(now, F.max(_iso(F.col("r.published_utc")))).alias("cursor"))
+
+
 def news_pages(payloads: DataFrame, column: str, cursor: str | None = None, overlap_minutes: int = 5) -> DataFrame:
     """Articles of paged responses, once each, from a few minutes before the cursor on; a status other than OK is an error."""
     p = payloads.select(F.from_json(column, NEWS).alias("p"))
@@ -98,6 +142,26 @@ def archive_month(payloads: DataFrame, column: str, sections: list[str] = (), ma
     return out.filter("headline IS NOT NULL AND headline <> '' AND published_at IS NOT NULL")
 
 
+def last_complete_month(now) -> str:
+    """The newest month that an archive serves: the one before ``now``'s."""
+    return f"{now.year - (now.month == 1):04d}-{(now.month - 2) % 12 + 1:02d}"
+
+
+def archive_next(cursor: str | None, start: str, now) -> str | None:
+    """The month to fetch after the last one that was taken, or none when the archive has no later one that is complete."""
+    import re
+
+    for month in (cursor, start):
+        if month is not None and not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", month):
+            raise ValueError(f"a month must read YYYY-MM, not {month}")
+    if cursor is None:
+        following = start
+    else:
+        year, month = int(cursor[:4]), int(cursor[5:])
+        following = f"{year + month // 12:04d}-{month % 12 + 1:02d}"
+    return following if following <= last_complete_month(now) else None
+
+
 SNAPSHOT = "status string, tickers array<struct<ticker: string, min: struct<o: double, h: double, l: double, c: double, v: double, t: bigint>>>"
 
 
@@ -120,9 +184,10 @@ AGGREGATES = "ticker string, status string, next_url string, results array<struc
 
 
 def aggregates(payloads: DataFrame, column: str, daily: bool = False) -> DataFrame:
-    """Bars of paged aggregates; minutes must be aligned, days are cut to the UTC day."""
+    """Bars of paged aggregates; a bad status is an error, minutes must be aligned, days are cut to the UTC day."""
     p = payloads.select(F.from_json(column, AGGREGATES).alias("p"))
-    b = p.select("p.ticker", F.explode("p.results").alias("b"))
+    b = p.select("p.ticker", "p.status", F.explode("p.results").alias("b"))
+    b = b.withColumn("b", F.col("b").withField("t", _checked(F.col("b.t"), F.coalesce(F.col("status").isin("OK", "DELAYED"), F.lit(False)), "aggregates without a good status")))
     ms = F.col("b.t") - F.col("b.t") % 86_400_000 if daily else _checked(F.col("b.t"), F.col("b.t") % 60_000 == 0, "a minute bar must begin with a minute")
     return b.select(F.col("ticker").alias("symbol"), F.timestamp_millis(ms).cast("timestamp_ntz").alias("ts"), *[F.col(f"b.{k}").alias(v) for k, v in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))])
 
