@@ -334,8 +334,49 @@ def test_exit_order(spark):
 def test_time_stop_beyond_the_deadline_unless_strict(spark):
     p = spark.createDataFrame([(1, 1, T0, 100.0, True, 0.0, 24.0)], "position_id long, instrument_id long, opened_at timestamp_ntz, entry_price double, is_long boolean, atr double, hours double")
     b = bars(spark, [(10, 101), (1500, 102)])
-    assert decide.exit_instants(p, b).first()["exit_ts"] == at(1500)
-    assert decide.exit_instants(p, b, strict=True).first()["exit_ts"] is None
+    assert decide.exit_instants(p, b, strict=False).first()["exit_ts"] == at(1500)
+    assert decide.exit_instants(p, b).first()["exit_ts"] is None
+    assert decide.exit_instants(p, b.unionByName(bars(spark, [(1440, 103)]))).first()["exit_ts"] == at(1440)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_exits_by_day_extremes_are_those_of_all_bars(spark, strict):
+    import random
+
+    r = random.Random(3)
+    closes = {(i, m): 100 + r.gauss(0, 6) for i in (1, 2) for m in r.sample(range(-600, 8 * 1440), 500)}
+    b = bars(spark, [(m, c) for (i, m), c in closes.items() if i == 1]).unionByName(bars(spark, [(m, c) for (i, m), c in closes.items() if i == 2], 2))
+    rows = [(n, r.choice((1, 2)), at(r.randrange(0, 4000)), 100 + r.gauss(0, 5), r.random() < 0.5, r.choice((None, 0.0, 2.0, 5.0, 9.0)), r.choice((6.5, 24.0, 72.0))) for n in range(150)]
+    p = spark.createDataFrame(rows, "position_id long, instrument_id long, opened_at timestamp_ntz, entry_price double, is_long boolean, atr double, hours double")
+    rules = C.RULES | {"take_profit_atr_multiple": 3}
+    want = {}
+    for n, i, opened, entry, long, atr, hours in rows:
+        end = opened + dt.timedelta(hours=hours)
+        last = end if strict else end + dt.timedelta(days=3)
+        for m, c in sorted((at(m), c) for (j, m), c in closes.items() if j == i):
+            if n not in want and opened < m <= last:
+                gain = c - entry if long else entry - c
+                why = "stop_loss" if (atr or 0) > 0 and -gain >= atr * 2 else "take_profit" if (atr or 0) > 0 and gain >= atr * 3 else "time_stop" if m >= end else None
+                if why:
+                    want[n] = (m, c, why)
+    got = {x["position_id"]: (x["exit_ts"], x["exit_price"], x["exit_reason"]) for x in decide.exit_instants(p, b, rules, strict=strict).collect()}
+    assert len(got) == 150 and {k: v for k, v in got.items() if v[0]} == want
+
+
+def test_backtest_marks_positions_at_the_last_bar(spark):
+    w = world(spark, [(1, 0, 1, None, 100.0, None, None), (2, 60, 2, "liquidity", 50.0, None, None), (3, 3000, 2, "liquidity", 50.0, None, None)])
+    m = portfolio.marked(w, bars(spark, [(0, 100), (50, 120), (61, 500)]))
+    assert {x["signal_id"]: x["marks"] for x in m.collect()} == {1: {1: 100.0}, 2: {1: 120.0}, 3: None}  # the last bar is older than a day
+    d = {x["signal_id"]: x for x in portfolio.backtest(m, 100_000.0)[0].collect()}
+    cost = d[1]["qty"] * 100.05
+    assert d[2]["equity"] == pytest.approx(100_000 - cost + d[1]["qty"] * 120, abs=0.02) and d[3]["equity"] == pytest.approx(100_000, abs=0.02)
+
+
+def test_long_chains_are_one_group(spark):
+    from tidemark.operators import similarity
+
+    chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    assert {x["group"] for x in similarity.groups(chain).collect()} == {0}
 
 
 def test_fill_rounds_half_away(spark):

@@ -69,19 +69,37 @@ def exit_reason(entry: Column, price: Column, is_long: Column, atr: Column, open
     return out.when(age >= hours, "time_stop")
 
 
-def exit_instants(positions: DataFrame, bars: DataFrame, rules: dict = C.RULES, reach_days: int = 3, strict: bool = False) -> DataFrame:
+def exit_instants(positions: DataFrame, bars: DataFrame, rules: dict = C.RULES, reach_days: int = 3, strict: bool = True) -> DataFrame:
     """Add exit_ts, exit_price and exit_reason: the first bar after the opening at which a rule fires.
 
     Positions: position_id, instrument_id, opened_at, entry_price, is_long, atr,
     hours. A position's exit depends on itself alone, so all are found at once.
-    ``reach_days`` after the deadline the search for a time stop ends;
-    ``strict`` looks at no bar beyond the deadline.
+    No bar beyond the deadline counts, so a time stop needs one at that very
+    instant; without ``strict`` the search for it goes on for ``reach_days``.
+
+    Positions meet a row for each day with its extremes first, then the bars of
+    four days at most: the opening's, the deadline's, the last one, and the
+    first between them on which a rule is sure to fire.
     """
     end = F.col("opened_at") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("hours") * 60).cast("int"))
     last = end if strict else end + F.make_dt_interval(F.lit(reach_days))
-    p = positions.withColumn("_last", last).withColumn("_day", F.explode(F.sequence(F.to_date("opened_at"), F.to_date("_last"))))
+    p = positions.withColumns({"_last": last, "_d0": F.to_date("opened_at"), "_de": F.to_date(end), "_d1": F.to_date(last)})
     b = bars.select("instrument_id", "ts", "close").withColumn("_day", F.to_date("ts"))
-    j = p.join(b, ["instrument_id", "_day"]).filter((F.col("ts") > F.col("opened_at")) & (F.col("ts") <= F.col("_last")))
+    extremes = b.groupBy("instrument_id", "_day").agg(F.min("close").alias("_lo"), F.max("close").alias("_hi"))
+    worst = F.when(F.col("is_long"), F.col("_lo") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("_hi"))
+    best = F.when(F.col("is_long"), F.col("_hi") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("_lo"))
+    stop = F.col("atr") * rules["stop_atr_multiple"]
+    hit = F.coalesce((stop > 0) & (-worst >= stop), F.lit(False))
+    if rules["take_profit_atr_multiple"] is not None:
+        take = F.col("atr") * rules["take_profit_atr_multiple"]
+        hit = hit | F.coalesce((take > 0) & (best >= take), F.lit(False))
+    day = F.col("_day")
+    may = p.withColumn("_day", F.explode(F.sequence("_d0", "_d1"))).join(extremes, ["instrument_id", "_day"]).withColumn("_hit", hit).filter(F.col("_hit") | (day >= F.col("_de")))
+    edge = day.isin(F.col("_d0"), F.col("_de"), F.col("_d1"))
+    sure = F.min(F.when((F.col("_hit") | (day > F.col("_de"))) & ~edge, day))
+    found = may.groupBy(F.col("position_id").alias("_p")).agg(F.array_union(F.collect_set(F.when(edge, day)), F.array_compact(F.array(sure))).alias("_days"))
+    near = p.join(found, F.col("position_id") == F.col("_p")).withColumn("_day", F.explode("_days")).drop("_p", "_days", "_d0", "_de", "_d1")
+    j = near.join(b, ["instrument_id", "_day"]).filter((F.col("ts") > F.col("opened_at")) & (F.col("ts") <= F.col("_last")))
     reason = exit_reason(F.col("entry_price"), F.col("close"), F.col("is_long"), F.col("atr"), F.col("opened_at"), F.col("ts"), F.col("hours"), rules)
     hit = j.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy(F.col("position_id").alias("_p")).agg(F.min(F.struct("ts", "close", "reason")).alias("x"))
     out = positions.join(hit, F.col("position_id") == F.col("_p"), "left")

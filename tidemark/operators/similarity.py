@@ -31,12 +31,16 @@ def similar_sets(items: DataFrame, key: str, tokens: str, threshold: float) -> D
     return both.withColumn("similarity", X.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, group): the least node reachable over edges. Labels pass along edges and to their label's label; lineage is cut each round."""
+def groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, group): the least node reachable over edges. Labels pass along edges and to their label's label; lineage is cut each round.
+
+    Rounds end when no label changes; taking over the label's label makes their
+    number logarithmic in the longest chain.
+    """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a)))
     both = checkpoint(both.union(both.select("u", "u")).distinct())
     labels = checkpoint(both.groupBy("u").agg(F.min("v").alias("g")).withColumnRenamed("u", "node"))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, F.col("u") == F.col("node")).groupBy("v").agg(F.min("g").alias("g"))
         up = labels.select(F.col("node").alias("_n"), F.col("g").alias("_g"))
         now = checkpoint(heard.join(up, F.col("g") == F.col("_n")).select(F.col("v").alias("node"), F.least("g", "_g").alias("g")))
@@ -44,7 +48,6 @@ def groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> Da
         if now.join(old, F.col("node") == F.col("_o")).filter("g <> _was").isEmpty():
             return now.select("node", F.col("g").alias("group"))
         labels = now
-    raise RuntimeError("labels still change; the graph has longer chains than the rounds reach")
 
 
 def leader_clusters(items: DataFrame, edges: DataFrame, hours: int = C.CLUSTER_HOURS) -> DataFrame:

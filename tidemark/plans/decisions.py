@@ -101,7 +101,7 @@ def positions(spark, sf) -> DataFrame:
 
 EXITS = """, po AS (SELECT signal_id, instrument_id, event_type, confidence, decision_at AS opened_at, quote AS entry, direction = 'bullish' AS long, quote * 0.25 AS a FROM wf WHERE quote IS NOT NULL AND direction <> 'neutral'),
 ej AS (SELECT p.*, y.ts, y.close, CASE WHEN -(CASE WHEN long THEN y.close - entry ELSE entry - y.close END) >= a * 2 THEN 'stop_loss' WHEN (CASE WHEN long THEN y.close - entry ELSE entry - y.close END) >= a * 3 THEN 'take_profit'
-   WHEN y.ts >= opened_at + INTERVAL 1 DAY THEN 'time_stop' END AS reason FROM po p JOIN bars_1m y ON p.instrument_id = y.instrument_id AND y.ts > opened_at AND y.ts <= opened_at + INTERVAL 4 DAY),
+   WHEN y.ts >= opened_at + INTERVAL 1 DAY THEN 'time_stop' END AS reason FROM po p JOIN bars_1m y ON p.instrument_id = y.instrument_id AND y.ts > opened_at AND y.ts <= opened_at + INTERVAL 1 DAY),
 ex AS (SELECT signal_id, min(ts) AS exit_ts, first(close ORDER BY ts) AS exit_price, first(reason ORDER BY ts) AS exit_reason FROM ej WHERE reason IS NOT NULL GROUP BY 1),
 td AS (SELECT po.*, exit_ts, exit_price, exit_reason, CASE WHEN long THEN 10 ELSE -10 END AS qty, round((exit_price - entry) * CASE WHEN long THEN 10 ELSE -10 END, 2) AS pnl FROM po JOIN ex USING (signal_id))
 """
@@ -146,15 +146,36 @@ def portfolio_cash(spark, sf) -> DataFrame:
     return f.groupBy("instrument_id").agg(F.round(F.sum(sign * F.col("amount") - F.col("fee")).cast("double"), 2).alias("cash_delta"), F.round(F.sum("fee").cast("double"), 2).alias("fees"), F.sum(-sign * F.col("qty")).cast("double").alias("qty"))
 
 
-@query("", None)
+# integers of hundredths of a share and of 10**-8 of a currency; halves are rounded away from zero
+LOTS = """WITH RECURSIVE x AS (SELECT *, CAST(round(l_quantity * 100) AS HUGEINT) AS q, CAST(round(l_extendedprice * 100) AS HUGEINT) AS cents FROM lineitem),
+o AS (SELECT l_partkey % 50 AS instrument_id, l_returnflag <> 'A' AS buy, q, (2 * cents * 1000000 + q) // (2 * q) AS p, CAST(round(l_tax * 100) AS HUGEINT) * 1000000 AS f,
+  row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM x),
+s(instrument_id, i, held, cost, realized, fees, cash) AS (
+  SELECT instrument_id, 0::BIGINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT FROM (SELECT DISTINCT instrument_id FROM o)
+  UNION ALL
+  SELECT instrument_id, i, CASE WHEN buy THEN held + q ELSE held - q END,
+    CASE WHEN adds THEN cost + p * q WHEN q > abs(held) THEN p * (q - abs(held)) ELSE cost - gone END,
+    CASE WHEN adds THEN realized WHEN held > 0 THEN realized + p * closing - gone ELSE realized + gone - p * closing END,
+    fees + f, cash + CASE WHEN buy THEN -p * q ELSE p * q END - f
+  FROM (SELECT *, CASE WHEN closing = abs(held) THEN cost ELSE (2 * cost * closing + abs(held)) // greatest(2 * abs(held), 1) END AS gone
+    FROM (SELECT s.*, o.i AS j, o.buy, o.q, o.p, o.f, s.held = 0 OR (s.held > 0) = o.buy AS adds, least(o.q, abs(s.held)) AS closing FROM s JOIN o ON o.instrument_id = s.instrument_id AND o.i = s.i + 1)
+    ) t(instrument_id, i0, held, cost, realized, fees, cash, i, buy, q, p, f, adds, closing, gone)),
+e AS (SELECT instrument_id, last(held ORDER BY i) AS held, last(cost ORDER BY i) AS cost, last(realized ORDER BY i) AS realized, last(fees ORDER BY i) AS fees, last(cash ORDER BY i) AS cash FROM s GROUP BY 1)
+SELECT instrument_id, CAST(held AS DOUBLE) / 100 AS qty, CASE WHEN held <> 0 THEN CAST((2 * cost + abs(held)) // (2 * abs(held)) AS DOUBLE) / 1000000 END AS avg_entry_price, CAST(cost AS DOUBLE) / 100000000 AS open_cost,
+  CAST(realized AS DOUBLE) / 100000000 AS realized, CAST(fees AS DOUBLE) / 100000000 AS fees, CAST(cash AS DOUBLE) / 100000000 AS cash_delta FROM e"""
+
+
+@query("", LOTS)
 def lots(spark, sf) -> DataFrame:
-    return portfolio.lots(V.fills(spark, sf), ["filled_at", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    got = portfolio.lots(V.fills(spark, sf), ["filled_at", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return got.select("instrument_id", F.col("qty").cast("double").alias("qty"), F.col("avg_entry_price").cast("double").alias("avg_entry_price"), *[F.col(c).cast("double").alias(c) for c in ("open_cost", "realized", "fees", "cash_delta")])
 
 
 def _world_for_book(spark, sf) -> DataFrame:
     w = decide.screened(world(spark, sf).withColumns({"open_positions": F.lit(0), "has_position": F.lit(False)}), RULES).withColumnRenamed("skip_reason", "world_reason")
     x = decide.exit_instants(positions(spark, sf), V.bars_1m(spark, sf), RULES).select(F.col("position_id").alias("_p"), "exit_ts", "exit_price", "exit_reason")
-    return w.join(x, F.col("signal_id") == F.col("_p"), "left").withColumn("run_id", F.col("prompt_version"))
+    w = w.join(x, F.col("signal_id") == F.col("_p"), "left").withColumn("run_id", F.col("prompt_version"))
+    return portfolio.marked(w, V.bars_1m(spark, sf))
 
 
 @query("", None)
