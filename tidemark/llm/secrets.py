@@ -85,8 +85,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
                 last.clear()
                 at += 1
             near = {r for r, end in last.items() if r != role and s - end <= reach}
-            # an endpoint alone tells nothing about a secret that a base finding already reports
-            if kind and near and (kind != "linked_endpoint" or "secret" in near or "identifier" in near):
+            if kind and near:
                 found.add((kind, -e, -s) if flip else (kind, s, e))
             last[role] = max(last.get(role, e), e)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -112,15 +111,34 @@ def _found(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordB
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """A row for each row of ``docs``: counts of base findings, a digest of their spans, all spans, and findings with their values.
 
-    Null texts count as empty; ids may be null or repeat. Nothing shuffles. An
-    empty table gives an empty result.
+    Null texts count as empty, very long ones are read whole; ids may be null
+    or repeat. Spans that start together go by kind as listed. Nothing
+    shuffles. Other columns play no part, whatever their names. An empty table
+    gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, lambda it: _found(it, reach), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, findings array<struct<kind: string, start: bigint, end: bigint, value: string>>")
 
 
+def covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """(start, end) of what the spans cover together: overlapping ones are one."""
+    out: list[tuple[int, int]] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with the found spans replaced in the text."""
+    """``docs`` with the found spans replaced in the text.
+
+    Spans that overlap are replaced as one; those that touch, one by one. Null
+    and empty texts stay as they are, very long ones are read whole. Ids play
+    no part; other columns stay, whatever their names. An empty table gives an
+    empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1024):
@@ -128,15 +146,13 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
             for text in batch.column(0).to_pylist():
                 if text:
                     base = base_spans(text)
-                    end = len(text)
-                    for _, s, e in sorted(base + linked_spans(text, base), key=lambda x: -x[1]):
-                        text = text[:s] + mask + text[max(min(e, end), s) :]
-                        end = s
+                    for s, e in reversed(covered(base + linked_spans(text, base))):
+                        text = text[:s] + mask + text[e:]
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
 
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names)])
+    rows = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
     schema = "_text string, " + ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names))
     out = map_arrow(rows, run, schema)
     return out.select(*[(F.col("_text") if c == text_col else F.col(n)).alias(c) for c, n in zip(docs.columns, names)])
