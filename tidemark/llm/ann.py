@@ -11,8 +11,8 @@ pruned alike. Queries follow their shard's vectors through the same task and
 search its graph with a beam. Scores are exact inner products in double
 precision on the original vectors, and the shards' lists meet in a top-k a query.
 
-A task holds one shard's vectors and graph, of about ``SHARD`` vectors;
-queries stream through it.
+Each shard has a task of its own, which holds its vectors and graph, of about
+``SHARD`` vectors; queries stream through it.
 """
 
 from __future__ import annotations
@@ -260,7 +260,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     asked = clean.filter("q").select("vec_id", "v").distinct()
     asked = map_arrow(asked, _queries, "ids array<long>, vector binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("shard"), F.lit(1).alias("kind"), "ids", "vector")
-    tasks = held.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    tasks = held.unionByName(asked).repartitionById(parts, "shard").sortWithinPartitions("shard", "kind")
     found = map_arrow(tasks, lambda it: _searched(it, top, k, search_beam), "query_id long, vec_id long, score double")
     # ids that repeat with other vectors keep their best score
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
