@@ -331,7 +331,7 @@ def test_slots_hit_twice(spark):
     rows += rows[:20]
     bits = 1 << 20
     got = common.repeats(spark.createDataFrame(rows, "h array<long>").repartition(5), bits)
-    held = substring_dedup.Held(got, bits)
+    held = common.Held(got, bits)
     n = collections.Counter(h % bits for x in rows for h in x[0])
     every = np.array([h for x in rows for h in x[0]], np.int64)
     assert held.of(every).tolist() == [n[h % bits] > 1 for h in every.tolist()]

@@ -158,8 +158,8 @@ def _slots_of(batches: Iterator[pa.RecordBatch], bits: int, most: int = 4_000_00
     yield out()
 
 
-def _hit_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of the positions that come twice in a bucket; rows of a bucket come one after the other."""
+def _hit(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the positions that come once, or twice, in a bucket; rows of a bucket come one after the other."""
     at, hits = None, np.zeros(BITMAP_BITS, np.uint8)
     rows: list[tuple[int, bytes]] = []
 
@@ -169,8 +169,8 @@ def _hit_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["bucket", "bitmap"])
 
     def close() -> None:
-        if at is not None and (hits > 1).any():
-            rows.append((at, np.packbits(hits > 1, bitorder="little").tobytes()))
+        if at is not None and (hits >= least).any():
+            rows.append((at, np.packbits(hits >= least, bitorder="little").tobytes()))
 
     for batch in batches:
         for bucket, positions in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -186,10 +186,24 @@ def _hit_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def repeats(df: DataFrame, bits: int) -> DataFrame:
-    """``repeat_filter`` with one slot a hash for a column of lists of hashes: a slot shuffles as two bytes. A list should not repeat a hash."""
+def repeats(df: DataFrame, bits: int, least: int = 2) -> DataFrame:
+    """``repeat_filter`` with one slot a hash for a column of lists of hashes: a slot shuffles as two bytes. With ``least`` 1, ``member_filter`` alike."""
     slots = map_arrow(df, lambda it: _slots_of(it, bits), "bucket long, positions binary")
-    return map_arrow(slots.repartition("bucket").sortWithinPartitions("bucket"), _hit_twice, "bucket long, bitmap binary")
+    return map_arrow(slots.repartition("bucket").sortWithinPartitions("bucket"), lambda it: _hit(it, least), "bucket long, bitmap binary")
+
+
+class Held:
+    """A filter of one bit a hash, as bytes, for tasks in Python."""
+
+    def __init__(self, bitmaps: DataFrame, bits: int):
+        self.bits, held = bits, bytearray(bits // 8)
+        for r in bitmaps.collect():  # bits / 8 bytes at most
+            held[r["bucket"] * 4096 - 4096 : r["bucket"] * 4096] = r["bitmap"]
+        self.bytes = bytes(held)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        slot = h.astype(np.int64) % np.int64(self.bits)
+        return (np.frombuffer(self.bytes, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def with_flag(df: DataFrame, h: Column, bits: int, bitmaps: DataFrame, flag: str, hashes: int = 2) -> DataFrame:

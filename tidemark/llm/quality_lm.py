@@ -8,10 +8,13 @@ of followers of each context, three discounts an order from the counts of
 counts, and the interpolated probabilities, joined order by order.
 
 Scoring needs, for each window, the probability at the longest order that was
-seen, times the weights of the longer contexts that were seen. All of these
-n-grams end in the same last byte but one, so tables are split by it into
-shards of bounded size. One shard at a time is broadcast, and sums for each
-document add up over the shards; a model within the bound is one shard.
+seen, times the weights of the longer contexts that were seen. The n-grams and
+contexts of highest counts, ``SHARD_ROWS`` of them at most, go to the tasks that
+read the texts, with a filter of bounded size that holds all others. A window
+that meets none of the others is scored in place. The rest, distinct ones
+first, are joined with the sharded tables order by order, and what they add up
+to is joined to their documents: one pass over the texts whatever the size of
+the model, of which the driver holds a bounded part.
 
 A document stays when its perplexity is at most a quantile, taken for each
 language over trusted documents that the model has not seen: a fifth of them,
@@ -28,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow, sliced
+from tidemark.llm.common import Held, checkpoint, filter_bits, join_counted, map_arrow, repeats, sliced
+from tidemark.llm.shingles import mix
 
 ORDER = 5
 QUANTILE = 0.995
 #: One trusted document in so many calibrates the thresholds and trains nothing.
 CALIBRATING = 5
-#: N-grams and contexts of one broadcast shard: some 12 bytes each.
+#: N-grams and contexts that are broadcast at most: some 12 bytes each.
 SHARD_ROWS = 4_000_000
 #: Rows of a part of the count tables, which are far smaller than the texts.
 PART_ROWS = 250_000
@@ -81,40 +85,62 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
 
 
 class Model:
-    """Tables ``grams`` (order, key, logp) and ``contexts`` (order of the context, key, logw), both with the last byte but one."""
+    """Tables ``grams`` (n, key, c, logp) and ``contexts`` (n of the context, key, c, logw), ``c`` being counts."""
 
     def __init__(self, grams: DataFrame, contexts: DataFrame, order: int):
         self.grams, self.contexts, self.order = grams, contexts, order
 
-    def shards(self, rows: int = SHARD_ROWS) -> Iterator[tuple[np.ndarray, dict, dict]]:
-        """Groups of last bytes but one, and their tables; a group has about ``rows`` rows at most, or one byte."""
-        sizes = {r["turn"]: r["n"] for r in self.grams.select("turn").union(self.contexts.select("turn")).groupBy("turn").agg(F.count(F.lit(1)).alias("n")).collect()}
-        groups: list[list[int]] = []
-        total = rows + 1
-        for turn in sorted(sizes):
-            if turn < 0:
-                continue
-            if total + sizes[turn] > rows:
-                groups.append([])
-                total = 0
-            groups[-1].append(turn)
-            total += sizes[turn]
-        for i, group in enumerate(groups or [[]]):
-            inside = F.col("turn").isin(-1, *group)  # single bytes serve every shard
-            tables = []
-            for table, value in ((self.grams, "logp"), (self.contexts, "logw")):
-                got = table.filter(inside).select("n", "key", value).toArrow()
-                n, key, v = (got.column(c).to_numpy() for c in ("n", "key", value))
-                tables.append({})
-                for k in np.unique(n).tolist():
-                    at = n == k
-                    o = np.argsort(key[at].view(np.uint64))
-                    tables[-1][k] = key[at].view(np.uint64)[o], v[at][o].astype(np.float64)
-            turns = np.zeros(256, bool)
-            turns[group] = True
-            if i == 0:  # bytes that never were a context go with the first shard
-                turns[[b for b in range(256) if b not in sizes]] = True
-            yield turns, *tables
+    def least_count(self, rows: int) -> int:
+        """From which count on, a power of two, n-grams and contexts are ``rows`` at most; 0 if all are."""
+        counts = self.grams.select("c").unionByName(self.contexts.select("c")).groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("m")).collect()
+        by = {r["b"]: r["m"] for r in counts}
+        if sum(by.values()) <= rows:
+            return 0
+        at = max(by, default=0) + 1
+        while sum(m for b, m in by.items() if b >= at - 1) <= rows:
+            at -= 1
+        return 1 << at
+
+    def head(self, least: int) -> tuple[dict, dict]:
+        """Both tables of at least this count, by order: sorted keys and values."""
+        out = []
+        for table, value in ((self.grams, "logp"), (self.contexts, "logw")):
+            got = table.filter(F.col("c") >= least).select("n", "key", value).toArrow()
+            n, key, v = (got.column(c).to_numpy() for c in ("n", "key", value))
+            out.append({})
+            for k in np.unique(n).tolist():
+                at = n == k
+                o = np.argsort(key[at].view(np.uint64))
+                out[-1][k] = key[at].view(np.uint64)[o], v[at][o].astype(np.float64)
+        return out[0], out[1]
+
+    def rest(self, least: int) -> Held:
+        """A filter of all n-grams and contexts below this count."""
+        few = self.grams.select("n", "key", "c").unionByName(self.contexts.select((F.col("n") + 16).alias("n"), "key", "c")).filter(F.col("c") < least).select("n", "key")
+        bits = filter_bits(few.count())
+        return Held(repeats(map_arrow(few, _marks, "h array<long>"), bits, 1), bits)
+
+    def joined(self, windows: DataFrame) -> DataFrame:
+        """(w, logp) of distinct windows ``w`` by joins with the whole tables."""
+        at = windows.withColumns({"logp": F.lit(None).cast("double"), "more": F.lit(0.0)})
+        for n in range(self.order, 0, -1):
+            own = F.col("w").bitwiseAND(F.lit((1 << 8 * n) - 1))
+            grams = self.grams.filter(F.col("n") == n).select(F.col("key").alias("_g"), F.col("logp").alias("_p"))
+            contexts = self.contexts.filter(F.col("n") == n - 1).select(F.col("key").alias("_k"), F.col("logw").alias("_w"))
+            at = at.join(grams, own == F.col("_g"), "left").withColumn("logp", F.coalesce("logp", F.col("more") + F.col("_p"))).drop("_g", "_p")
+            at = at.join(contexts, F.shiftright(own, 8) == F.col("_k"), "left").withColumn("more", F.col("more") + F.coalesce("_w", F.lit(0.0))).drop("_k", "_w")
+        return at.select("w", F.coalesce("logp", F.col("more") + F.lit(float(np.log(1 / 256)))).alias("logp"))
+
+
+def mark(n: int | np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What of an n-gram, or of a context with 16 added to its order, goes into the filter."""
+    return mix(key ^ (np.asarray(n, np.uint64) << np.uint64(56))).view(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = mark(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], ["h"])
 
 
 def train(texts: DataFrame, order: int = ORDER) -> Model:
@@ -144,15 +170,13 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         joined = t.withColumn("_context", context).join(totals, F.col("_context") == F.col("context"))
         own = (F.col("c") - off) / F.col("total")
         if n == 1:
-            p = joined.select("key", (own + w / 256).alias("p"))
+            p = joined.select("key", "c", (own + w / 256).alias("p"))
         else:
             short = F.col("key").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))
-            p = joined.withColumn("_short", short).join(lower.select(F.col("key").alias("_lower"), F.col("p").alias("_p")), F.col("_short") == F.col("_lower")).select("key", (own + w * F.col("_p")).alias("p"))
+            p = joined.withColumn("_short", short).join(lower.select(F.col("key").alias("_lower"), F.col("p").alias("_p")), F.col("_short") == F.col("_lower")).select("key", "c", (own + w * F.col("_p")).alias("p"))
         lower = checkpoint(p.coalesce(parts))
-        turn = F.shiftright("key", 8).bitwiseAND(F.lit(255)) if n > 1 else F.lit(-1).cast("long")
-        grams.append(lower.select(F.lit(n).alias("n"), turn.cast("int").alias("turn"), "key", F.log("p").alias("logp")))
-        last = F.col("context").bitwiseAND(F.lit(255)) if n > 1 else F.lit(-1).cast("long")
-        contexts.append(totals.select(F.lit(n - 1).alias("n"), last.cast("int").alias("turn"), F.col("context").alias("key"), F.log(F.greatest(w, F.lit(1e-300))).alias("logw")))
+        grams.append(lower.select(F.lit(n).alias("n"), "key", "c", F.log("p").alias("logp")))
+        contexts.append(totals.select(F.lit(n - 1).alias("n"), F.col("context").alias("key"), F.col("total").alias("c"), F.log(F.greatest(w, F.lit(1e-300))).alias("logw")))
     union = lambda tables: checkpoint(_union(tables))
     return Model(union(grams), union(contexts), order)
 
@@ -165,10 +189,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 class Scorer:
-    """Log probabilities of windows for one shard."""
+    """Log probabilities of windows by a part of the model, and which ones need the rest of it."""
 
-    def __init__(self, grams: dict, contexts: dict, order: int):
-        self.grams, self.contexts, self.order = grams, contexts, order
+    def __init__(self, grams: dict, contexts: dict, rest: Held | None, order: int):
+        self.grams, self.contexts, self.rest, self.order = grams, contexts, rest, order
         keys, values = grams.get(order, (np.zeros(0, np.uint64), np.zeros(0)))
         self.bits = max(10, int(np.ceil(np.log2(max(2 * len(keys), 2)))))
         slot, unset = self._slot(keys), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -186,78 +210,87 @@ class Scorer:
         at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
         return table[0][at] == keys, table[1][at]
 
-    def of(self, windows: np.ndarray) -> np.ndarray:
+    def of(self, windows: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum over the windows that this part can score, and the others."""
         slot = self._slot(windows)
-        out = self.value[slot].astype(np.float64)
-        miss = np.nonzero(self.key[slot] != windows)[0]
-        if len(miss):
-            rare, back = np.unique(windows[miss], return_inverse=True)
-            out[miss] = self._slow(rare)[back]
-        return out
-
-    def _slow(self, w: np.ndarray) -> np.ndarray:
-        total, left = np.zeros(len(w)), np.arange(len(w))
+        miss = self.key[slot] != windows
+        total = float(self.value[slot[~miss]].astype(np.float64).sum())
+        if not miss.any():
+            return total, windows[:0]
+        rare, back = np.unique(windows[miss], return_inverse=True)
+        p, known = self._slow(rare)
+        return total + float(p[back][known[back]].sum()), windows[miss][~known[back]]
+
+    def _slow(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total, known, left = np.zeros(len(w)), np.ones(len(w), bool), np.arange(len(w))
         for n in range(self.order, 0, -1):
             keys = w[left] & np.uint64((1 << 8 * n) - 1)
             found, p = self._find(self.grams.get(n), keys)
             total[left[found]] += p[found]
             left, keys = left[~found], keys[~found]
-            known, weight = self._find(self.contexts.get(n - 1), keys >> np.uint64(8))
-            total[left] += np.where(known, weight, 0.0)
+            context = keys >> np.uint64(8)
+            here, weight = self._find(self.contexts.get(n - 1), context)
+            total[left] += np.where(here, weight, 0.0)
+            if self.rest is not None:  # what isn't here may be in the rest
+                other = self.rest.of(mark(n, keys)) | ~here & self.rest.of(mark(n + 15, context))
+                known[left[other]] = False
+                left = left[~other]
         total[left] += self.floor
-        return total
+        return total, known
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shard: tuple, order: int) -> Iterator[pa.RecordBatch]:
-    turns, grams, contexts = shard
-    scorer, all_turns = Scorer(grams, contexts, order), bool(turns.all())
+def _scored(batches: Iterator[pa.RecordBatch], head: tuple, order: int) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(*head, order)
     for batch in sliced(batches, 128):
-        sums, counts = [], []
+        sums, counts, rest = [], [], []
         for text in batch.column(1).to_pylist():
             raw = (text or "").encode("utf-8", "replace")
-            total = 0.0
+            total, others = 0.0, []
             for at in range(0, max(len(raw), 1), 1 << 20):
                 w = keys_of(raw, order) if len(raw) <= 1 << 20 else keys_of(raw[max(at - order + 1, 0) : at + (1 << 20)], order)[(order - 1 if at else 0) :]
-                if not all_turns:
-                    w = w[turns[(w >> np.uint64(8) & np.uint64(255)).astype(np.int64)]]
-                total += float(scorer.of(w).sum())
+                some, unknown = scorer.of(w)
+                total += some
+                others.append(unknown)
             sums.append(total)
             counts.append(len(raw) + 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sums), pa.array(counts)], ["doc_id", *batch.schema.names[2:], "logp", "n_bytes"])
+            rest.append(np.concatenate(others).view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]), pa.int32()), pa.array(np.concatenate(rest)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sums), pa.array(counts), lists], ["doc_id", *batch.schema.names[2:], "logp", "n_bytes", "rest"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, extra..., perplexity): a row for each row of ``docs``; per byte, the closing line end included."""
+    """(doc_id, extra..., perplexity): a row for each row of ``docs``; per byte, the closing line end included.
+
+    ``shard_rows`` bounds what of the model is broadcast and changes no result.
+    """
     keep = [F.col(c).alias(f"x{i}") for i, c in enumerate(extra)]
     kinds = "".join(f"x{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(extra))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    names = ["doc_id", *[f"x{i}" for i in range(len(extra))]]
-    schema = f"doc_id long, {kinds}"
-    several = model.grams.count() + model.contexts.count() > shard_rows
-    if several:  # sums add up by a number that rows are given once, whatever order later reads have them in
-        rows = checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
-        schema += "_row long, "
-    parts = list(_parts(rows, model, shard_rows, schema + "logp double, n_bytes long"))
-    out = parts[0]
-    if several:
-        out = _union(parts).groupBy("_row").agg(*[F.first(c).alias(c) for c in names], F.sum("logp").alias("logp"), F.first("n_bytes").alias("n_bytes"))
+    least, order = model.least_count(shard_rows), model.order
+    head = rows.sparkSession.sparkContext.broadcast((*model.head(least), model.rest(least) if least else None))
+    out = map_arrow(rows, lambda it: _scored(it, head.value, order), f"doc_id long, {kinds}logp double, n_bytes long, rest array<long>")
+    if least:
+        out = checkpoint(out).withColumn("_row", F.monotonically_increasing_id())  # rows of a checkpoint keep their numbers
+        asked = out.select("_row", F.explode("rest").alias("w")).groupBy("_row", "w").agg(F.count(F.lit(1)).alias("times"))
+        windows = asked.groupBy("w").agg(F.count(F.lit(1)).alias("m"))
+        known = checkpoint(model.joined(windows.drop("m")))
+        known = known.join(windows.withColumnRenamed("w", "_m"), F.col("w") == F.col("_m")).select(F.col("w").alias("_w"), F.col("logp").alias("_p"), "m")
+        total = asked.count()
+        more = join_counted(asked, known, [("w", "_w")], "m", total).groupBy(F.col("_row").alias("_r")).agg(F.sum(F.col("times") * F.col("_p")).alias("_more"))
+        out = out.join(more, F.col("_row") == F.col("_r"), "left").withColumn("logp", F.col("logp") + F.coalesce("_more", F.lit(0.0)))
     return out.select("doc_id", *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)], F.exp(-F.col("logp") / F.col("n_bytes")).alias("perplexity"))
 
 
-def _parts(rows: DataFrame, model: Model, shard_rows: int, schema: str) -> Iterator[DataFrame]:
-    context, order = rows.sparkSession.sparkContext, model.order
-    for shard in model.shards(shard_rows):
-        held = context.broadcast(shard)
-        yield map_arrow(rows, lambda it, held=held: _scored(it, held.value, order), schema)
-
-
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep), a row for each row of ``docs``.
 
     Trusted documents are those with a label of quality 1 (several labels of an
     id must agree). Null texts count as empty, a null language is a language of
-    its own. A language without trusted documents takes the threshold of all; a
-    corpus without any keeps everything. An empty table gives an empty result.
+    its own; very long texts are read whole, in runs. A language none of whose
+    trusted documents calibrates takes the threshold of all; a corpus without
+    any keeps everything. Rows that repeat an id are scored one by one; a
+    perplexity that equals the threshold stays. An empty table gives an empty
+    result. Other columns play no part, whatever their names.
     """
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("_q")).filter("_q = 1").select("_id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(lang_col).isNull().alias("no_lang"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, repeats, sliced, with_flag
+from tidemark.llm.common import Held, checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, repeats, sliced, with_flag
 from tidemark.llm.ngram_join import SKETCH, in_blocks, linked, most_unlike, sketches, verified
 from tidemark.llm.shingles import SHINGLE, MinHash, mix
 
@@ -209,20 +209,6 @@ def least_at(x: np.ndarray, n: int) -> np.ndarray:
     return less(at[: len(at) - (n - span)], at[n - span :])
 
 
-class Held:
-    """A filter of one bit a hash, as bytes, for tasks in Python."""
-
-    def __init__(self, bitmaps: DataFrame, bits: int):
-        self.bits, held = bits, bytearray(bits // 8)
-        for r in bitmaps.collect():  # bits / 8 bytes at most
-            held[r["bucket"] * 4096 - 4096 : r["bucket"] * 4096] = r["bitmap"]
-        self.bytes = bytes(held)
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        slot = h.astype(np.int64) % np.int64(self.bits)
-        return (np.frombuffer(self.bytes, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _context(read: _Read, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, steps) of anchors.
 
