@@ -565,6 +565,16 @@ def test_replies_follow_their_parents(spark):
     assert quotation.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quoted_replies_equal_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM read_parquet('/root/testdata/sf0.001/conversations.parquet')")
+    got = registry.QUERIES["quoted_replies"](spark, "/root/testdata/sf0.001")
+    want = con.sql(registry.ORACLES["quoted_replies"]).select(*got.columns).fetchall()
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and sum(x[5] is not None for x in want) > 30
+
+
 def test_quotations_equal_their_sql(spark, tmp_path):
     import duckdb
     from parity import differences

@@ -121,3 +121,17 @@ SELECT s.conv_id, s.turn, s.role, s.content, s.n_passages, w.parent AS parent_tu
   coalesce(array_to_string(list_transform(coalesce(w.path, [s.turn]), lambda t: lpad(CAST(t AS VARCHAR), 19, '0')), '/'), '') AS path, '<|' || said_by || '|>' || chr(10) || s.content || chr(10) || '<|end|>' || chr(10) AS formatted
 FROM said s LEFT JOIN whole w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.turn = w.turn
 """
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Conversations as mails that quote: every other message quotes the one before, and every fourth what that one answers too, a level deeper."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    quoted = lambda n, mark: F.concat(F.lit(mark), F.replace(F.lag("text", n).over(w), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    both = F.concat(F.lit("On Monday X wrote:\n"), F.when(F.col("turn") % 4 == 3, F.coalesce(quoted(2, ">> "), F.lit(""))).otherwise(""), quoted(1, "> "), F.col("text"))
+    return messages.withColumn("text", F.when(F.col("turn") % 2 == 1, F.coalesce(both, F.col("text"))).otherwise(F.col("text")))
+
+
+QUOTED_ORACLE = r"""
+WITH RECURSIVE quoted AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 1 THEN coalesce('On Monday X wrote:' || chr(10) || CASE WHEN turn % 4 = 3 THEN coalesce('>> ' || replace(lag(text, 2) OVER w, chr(10), chr(10) || '>> ') || chr(10), '') ELSE '' END
+  || '> ' || replace(lag(text) OVER w, chr(10), chr(10) || '> ') || chr(10) || text, text) ELSE text END AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+""" + ORACLE.replace("WITH RECURSIVE ", "", 1).replace("FROM conversations)", "FROM quoted)", 1).lstrip()

@@ -36,6 +36,11 @@ def op6_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking over the conversations as mails that quote: the table itself has no quotes."""
+    return quotation.link_quotations(quotation.quoting(table(spark, sf_dir, "conversations")))
+
+
 def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_quotation": op6_quotation,
+    "quoted_replies": quoted_replies,
     "op7_quality_lm": op7_quality_lm,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
@@ -67,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_quotation": quotation.ORACLE,
+    "quoted_replies": quotation.QUOTED_ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
