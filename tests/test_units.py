@@ -703,3 +703,75 @@ def test_aggregates_need_a_good_status(spark):
     with pytest.raises(Exception, match="good status"):
         feeds.aggregates(payload(spark, bars), "p").collect()
     assert feeds.aggregates(payload(spark, bars | {"status": "DELAYED"}), "p").count() == 1
+
+
+def test_a_symbol_keeps_its_number(spark):
+    from tidemark.operators import entity
+
+    df = lambda *rows: spark.createDataFrame(list(rows), "symbol string, cik string")
+    assert {tuple(x) for x in entity.identified(df(("A", "1"), ("B", "2")), df(("A", "9")), df(("A", "9"), ("B", None))).collect()} == {("A", "9"), ("B", "2")}
+    with pytest.raises(Exception, match="another number for the symbol A"):
+        entity.identified(df(("A", "1")), df(("A", "9")), df(("A", "1"))).collect()
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    import threading
+
+    from tidemark.operators import sinks
+
+    path = str(tmp_path / "t")
+    rows = spark.range(40).withColumnRenamed("id", "k")
+    threads = [threading.Thread(target=lambda: sinks.append_absent(rows, path, ["k"])) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert spark.read.parquet(path).count() == 40 and not (tmp_path / "t.lock").exists()
+    with sinks.single_writer(spark, path):
+        with pytest.raises(TimeoutError):
+            with sinks.single_writer(spark, path, wait_seconds=0.3):
+                pass
+
+
+def test_ticks_store_crypto_before_equity_fails():
+    from tidemark.streaming import pipelines
+
+    stored = []
+    with pytest.raises(ValueError):
+        pipelines.record_tick(lambda: stored.append("crypto"), lambda: int("no"))
+    assert stored == ["crypto"]
+
+
+def test_settling_looks_back_nine_days(spark):
+    from tidemark.streaming import pipelines
+
+    a = spark.createDataFrame([(i, at(-i * 60)) for i in (0, 216, 217)], "cluster_id long, anchor_ts timestamp_ntz")
+    assert sorted(x["cluster_id"] for x in pipelines.settling(a, F.lit(at(0)).cast("timestamp_ntz")).collect()) == [0, 216]
+
+
+def test_measurements_under_two_clocks_are_filled_in_later(spark):
+    """A second run adds what had not settled, and leaves the rest."""
+    from tidemark.operators import sinks
+
+    a = spark.createDataFrame([(1, 1, T0, at(-5))], "cluster_id long, instrument_id long, anchor_ts timestamp_ntz, published_ts timestamp_ntz")
+    every = bars(spark, [(-10, 100), (4, 101), (14, 102), (29, 103), (59, 104), (1439, 90), (1441, 80)])
+    none = spark.createDataFrame([], "instrument_id long, beta double")
+    daily = spark.createDataFrame([], "instrument_id long, ts timestamp_ntz, close double")
+    early = study.measure(a, every.filter(F.col("ts") < F.lit(at(40)).cast("timestamp_ntz")), daily, none, 0)[0]
+    late = study.measure(a, every, daily, none, 0)
+    keys = ["measurer_version", "cluster_id", "instrument_id", "horizon"]
+    added = sinks.absent(late[0], early, keys)
+    assert {x["horizon"] for x in early.collect()} < {x["horizon"] for x in late[0].collect()}
+    assert added.count() + early.count() == late[0].count() and {x["measurer_version"] for x in late[1].collect()} == {"m1", "m1-pub"}
+
+
+def test_calendars_flag_what_they_backfill(spark):
+    from tidemark.operators import intervals
+
+    now = F.lit(at(0)).cast("timestamp_ntz")
+    rows = [("a", "cpi", None, at(-60)), ("a", "cpi", None, at(-50)), ("b", "cpi", None, at(-3000)), ("c", "earnings", "BRK-B", at(60)), ("d", "earnings", "ZZ", at(60)), ("e", "cpi", None, at(200_000))]
+    f = spark.createDataFrame(rows, "event_key string, kind string, symbol string, scheduled_at timestamp_ntz")
+    symbols = spark.createDataFrame([("BRK.B", 7)], "symbol string, instrument_id long")
+    got, counts = intervals.calendar(f, symbols, now)
+    assert {(x["event_key"], x["instrument_id"], x["backfilled"]) for x in got.collect()} == {("a", None, False), ("c", 7, False)}
+    assert counts.first().asDict() == {"outside": 2, "duplicates": 1, "not_members": 1}
+    got, counts = intervals.calendar(f, symbols, now, backfill_from=F.lit(at(-4000)).cast("timestamp_ntz"))
+    assert {x["event_key"]: x["backfilled"] for x in got.collect()} == {"a": False, "b": True, "c": False}

@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 
 #: Closed vocabularies: fixed values.
 DIRECTIONS = ("bullish", "bearish", "neutral")
-SECTORS = ("technology", "financials", "health_care", "consumer_discretionary", "consumer_staples", "energy", "industrials", "materials", "utilities", "real_estate", "communication_services")
+HORIZONS = ("intraday", "1d", "3d", "5d")
+EVENT_TYPES = (
+    "earnings_result", "guidance_update", "merger_acquisition", "ma_speculation", "executive_change", "analyst_action", "capital_return", "capital_raise", "restatement_accounting", "bankruptcy_restructuring",
+    "impairment_writeoff", "delisting_compliance", "material_agreement", "legal_regulatory", "clinical_fda", "product_news", "insider_activity", "stake_disclosure", "other",
+)
+MACRO_EVENT_TYPES = (
+    "monetary_policy", "fiscal_policy", "trade_policy", "macro_data", "currency_move", "geopolitical_conflict", "political_transition", "regulation_legal", "energy_supply", "commodity_supply",
+    "supply_chain_disruption", "natural_event", "public_health", "labor_action", "technology_shift", "other",
+)
+SECTORS = ("Communication Services", "Consumer Discretionary", "Consumer Staples", "Energy", "Financials", "Health Care", "Industrials", "Information Technology", "Materials", "Real Estate", "Utilities")
+MOST_COMPANIES, MOST_REASONING = 3, 600
+#: Minutes after the anchor up to which a scorer sees items.
+CONTEXT_MINUTES = 5
 MOST_SECTORS, MOST_MOVE_BPS, MOST_MACRO_BPS, LEAST_MATERIALITY = 4, 5000, 2000, 0.1
 
 
@@ -30,6 +42,32 @@ def contexts(items: DataFrame, per_item: int, total: int, most: int = 3) -> Data
     return t.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_items"), ordered.alias("context"))
 
 
+def as_of(items: DataFrame, now: Column, minutes: int = CONTEXT_MINUTES) -> DataFrame:
+    """Items (received_at, first_at) that a scorer may see: received at most so many minutes after the story began, and not after ``now``."""
+    cut = F.least(F.col("first_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), now)
+    return items.filter(F.col("received_at") <= cut)
+
+
+def counts_as_of(items: DataFrame, lag_minutes: int) -> DataFrame:
+    """(cluster_id, n_items, n_sources): how large stories were so many minutes after they began, not how large they turned out."""
+    lag = F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("first_at").cast("timestamp"))
+    return items.filter(lag <= lag_minutes * 60_000_000).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("source").alias("n_sources"))
+
+
+def refused(event_type: Column, direction: Column, horizon: Column, move_bps: Column, materiality: Column, confidence: Column, reasoning: Column) -> Column:
+    """Why a judgment of one company is refused, or null; a missing value is refused like one out of range."""
+    in_range = lambda x, top: F.coalesce(x.between(0, top), F.lit(False))
+    return (
+        F.when(~F.coalesce(event_type.isin(*EVENT_TYPES), F.lit(False)), "event_type")
+        .when(~F.coalesce(direction.isin(*DIRECTIONS), F.lit(False)), "direction")
+        .when(~F.coalesce(horizon.isin(*HORIZONS), F.lit(False)), "horizon")
+        .when(~in_range(move_bps, MOST_MOVE_BPS), "move_range")
+        .when(~in_range(materiality, 1), "materiality_range")
+        .when(~in_range(confidence, 1), "confidence_range")
+        .when(~in_range(F.length(reasoning) - 1, MOST_REASONING - 1), "reasoning")
+    )
+
+
 def incoherent(scope: Column, sectors: Column, move_bps: Column, confidence: Column) -> Column:
     """Why a judgment is refused, or null. ``sectors`` is an array of (sector, materiality)."""
     names = F.transform(sectors, lambda s: s["sector"])

@@ -9,6 +9,31 @@ from tidemark import constants as C
 from tidemark.functions import money
 
 
+#: Features of a decision that come from the world, and those that come from the portfolio.
+WORLD_KEYS = ("calendar_match", "move_bps", "median_dollar_volume", "atr", "n_items", "n_sources", "items_per_hour")
+PORTFOLIO_KEYS = ("open_positions", "has_position", "equity_usd")
+
+
+def overlaid(snapshots: DataFrame, portfolio: DataFrame, key: str) -> DataFrame:
+    """Stored features with the portfolio's recomputed; the world's stay as they were, and so do those of keys that ``portfolio`` lacks."""
+    new = [c for c in PORTFOLIO_KEYS if c in portfolio.columns and c in snapshots.columns]
+    p = portfolio.select(F.col(key).alias("_k"), F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in new])
+    j = snapshots.join(p, F.col(key) == F.col("_k"), "left")
+    return j.withColumns({c: F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)) for c in new}).select(*snapshots.columns)
+
+
+def replayed(snapshots: DataFrame, rules: dict = C.RULES, stored: str = "skip_reason") -> DataFrame:
+    """Stored decisions decided again on their stored features: ``replay_reason`` beside the stored reason, and the outcome.
+
+    Rows depend on nothing but themselves: portfolio features are those of the
+    day, not of the replay. ``outcome`` is same, opened (the stored decision
+    skipped), closed (it didn't), or other_reason.
+    """
+    again = screened(snapshots.withColumnRenamed(stored, "_stored"), rules)
+    outcome = F.when(F.col("_stored").eqNullSafe(F.col("skip_reason")), "same").when(F.col("skip_reason").isNull(), "opened").when(F.col("_stored").isNull(), "closed").otherwise("other_reason")
+    return again.withColumn("outcome", outcome).drop("gates", "n_failed").withColumnRenamed("skip_reason", "replay_reason").withColumnRenamed("_stored", stored)
+
+
 def gates(rules: dict = C.RULES) -> Column:
     """Array of (gate, pass, observed, threshold) in order; values as text. A missing number fails its gate."""
     c, yes = F.col, F.lit(True)

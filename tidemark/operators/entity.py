@@ -75,6 +75,38 @@ def promote(links: DataFrame, answers: DataFrame, confidence: float = 0.9) -> tu
     return new, both.select("item_id", F.size("confirmed").alias("n_confirmed"))
 
 
+def discovered(judgments: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of judgments that name companies (judgment_id, scope, companies: array of (symbol, direction, materiality, move_bps)).
+
+    A row for each named company of the universe (symbol, instrument_id),
+    whatever the letters' case; what isn't in it is dropped and counted:
+    (judgment_id, n_known, n_unknown). Scope ``none`` gives neither.
+    """
+    named = judgments.filter("scope <> 'none'").select("judgment_id", F.explode_outer("companies").alias("c"))
+    known = universe.select(F.upper("symbol").alias("_s"), "symbol", "instrument_id")
+    each = named.join(known, F.upper("c.symbol") == F.col("_s"), "left")
+    rows = each.filter("instrument_id IS NOT NULL").select("judgment_id", "instrument_id", "symbol", "c.direction", "c.materiality", "c.move_bps")
+    counts = each.groupBy("judgment_id").agg(F.count("instrument_id").alias("n_known"), F.count_if(F.col("c").isNotNull() & F.col("instrument_id").isNull()).alias("n_unknown"))
+    return rows, counts
+
+
+def identified(constituents: DataFrame, numbers: DataFrame, known: DataFrame) -> DataFrame:
+    """Constituents (symbol, cik, ...) with the registrant number of ``numbers`` (symbol, cik) before their own.
+
+    A symbol that ``known`` (symbol, cik) holds with another number is an
+    error: its links belong to another company.
+    """
+    from tidemark.sources.feeds import looked_up
+
+    found = looked_up(constituents.select("symbol").distinct(), numbers).select(F.col("symbol").alias("_s"), F.col("cik").alias("_cik"))
+    held = known.filter("cik IS NOT NULL").select(F.col("symbol").alias("_k"), F.col("cik").alias("_held"))
+    both = constituents.join(found, F.col("symbol") == F.col("_s"), "left").join(held, F.col("symbol") == F.col("_k"), "left")
+    cik = F.coalesce("_cik", "cik")
+    why = F.concat(F.lit("another number for the symbol "), F.col("symbol"), F.lit(": "), F.col("_held"), F.lit(", now "), F.coalesce(cik, F.lit("none")))
+    sure = F.when(F.col("_held").isNotNull() & ~cik.eqNullSafe(F.col("_held")), F.raise_error(why).cast("string")).otherwise(cik)
+    return both.withColumn("cik", sure).drop("_s", "_cik", "_k", "_held")
+
+
 def fan_out(judgments: DataFrame, universe: DataFrame) -> DataFrame:
     """A row for each instrument of each sector that a judgment names (judgment_id, anchor_ts, expected_move_bps, sectors: array of (sector, materiality)).
 

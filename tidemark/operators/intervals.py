@@ -45,6 +45,38 @@ def apply_versions(history: DataFrame, wanted: DataFrame, keys: list[str], now:
     return history.filter("valid_to IS NOT NULL").unionByName(gone).unionByName(kept).unionByName(new)
 
 
+def bar_universe(instruments: DataFrame, members: DataFrame, at: Column, benchmark: str) -> DataFrame:
+    """Instruments (instrument_id, symbol, asset_class) whose bars are needed at a time, once each: members of then, all crypto, and the benchmark."""
+    now = members.filter(valid_at(at, F.col("valid_from"), F.col("valid_to"))).select("instrument_id").distinct()
+    extra = (F.col("asset_class") == "crypto") | ((F.col("symbol") == benchmark) & (F.col("asset_class") == "us_equity"))
+    every = instruments.join(now, "instrument_id", "left_semi").unionByName(instruments.filter(extra))
+    return every.dropDuplicates(["instrument_id"])
+
+
+def calendar(fetched: DataFrame, symbols: DataFrame, now: Column, horizon_days: int = 90, backfill_from: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of fetched events: event_key, kind, symbol (null: concerns all), scheduled_at.
+
+    Rows lie between a day before ``now``, or an earlier ``backfill_from``, and
+    the horizon, the first of each key; those more than a day past are
+    ``backfilled``, as nobody knew them before. Counts are of the rows left
+    out: outside, duplicates, and not_members, whose symbol isn't in
+    ``symbols`` (symbol, instrument_id).
+    """
+    grace = now - F.make_dt_interval(F.lit(1))
+    since = grace if backfill_from is None else F.least(grace, backfill_from)
+    known = symbols.select(F.col("symbol").alias("_s"), "instrument_id")
+    e = fetched.join(known, F.upper(F.replace("symbol", F.lit("-"), F.lit("."))) == F.col("_s"), "left").drop("_s")
+    w = W.partitionBy("event_key").orderBy("scheduled_at", F.col("symbol").asc_nulls_first())
+    at = F.col("scheduled_at")
+    why = F.when(F.col("symbol").isNotNull() & F.col("instrument_id").isNull(), "not_members").when((at < since) | (at > now + F.make_dt_interval(F.lit(horizon_days))), "outside")
+    e = e.withColumn("_why", why)
+    first = e.filter("_why IS NULL").withColumn("_n", F.row_number().over(w))
+    rows = first.filter("_n = 1").select("event_key", "kind", "instrument_id", "scheduled_at", (at < grace).alias("backfilled"))
+    left = e.filter("_why IS NOT NULL").select("_why").unionByName(first.filter("_n > 1").select(F.lit("duplicates").alias("_why")))
+    counts = left.agg(*[F.count_if(F.col("_why") == k).alias(k) for k in ("outside", "duplicates", "not_members")])
+    return rows, counts
+
+
 def extended(minute: DataFrame, daily: DataFrame) -> DataFrame:
     """Minute closes followed by daily ones: a day's close counts at the day's end, and only past the last minute bar."""
     last = minute.groupBy(F.col("instrument_id").alias("_i")).agg(F.max("ts").alias("_last"))

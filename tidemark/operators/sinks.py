@@ -9,7 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,18 +81,62 @@ def read_raw(spark: SparkSession, folder: str, keys: list[str] | None = None) ->
     return out
 
 
+def audit_key(signal_key: Column, at: Column) -> Column:
+    """llm/day/hash.json: the same for another attempt on a day, so it replaces what the first one left."""
+    return F.concat(F.lit("llm/"), F.date_format(at, "yyyy-MM-dd"), F.lit("/"), F.substring(F.sha2(signal_key, 256), 1, 16), F.lit(".json"))
+
+
+def write_audit(attempts: DataFrame, existing: DataFrame) -> DataFrame:
+    """Audit rows after attempts (signal_key, analyzed_at, ...): one for each key, the last attempt's."""
+    keyed = attempts.withColumn("key", audit_key(F.col("signal_key"), F.col("analyzed_at")))
+    return upserted(existing, keyed, ["key"], ["analyzed_at"])
+
+
+@contextmanager
+def single_writer(spark: SparkSession, path: str, wait_seconds: float = 600.0):
+    """Hold a table's lock: a file beside it that only one writer can create, wherever the table is stored.
+
+    Others wait for it. A writer that died leaves its lock, which then has to
+    be removed by hand, since nothing tells it from one that is slow.
+    """
+    jvm = spark.sparkContext._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.lock")
+    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(lock.getParent())
+    local = jvm.java.io.File(lock.toUri().getPath()) if fs.getUri().getScheme() == "file" else None
+
+    def made() -> bool:
+        if local is not None:  # Spark's own local store looks first and creates then
+            return local.createNewFile()
+        try:
+            fs.create(lock, False).close()
+            return True
+        except Py4JJavaError:
+            if not fs.exists(lock):
+                raise
+            return False
+
+    until = time.monotonic() + wait_seconds
+    while not made():
+        if time.monotonic() > until:
+            raise TimeoutError(f"{lock.toString()} is held by another writer")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
 def append_absent(incoming: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> int:
-    """Append rows of new keys to a Parquet table; how many they were."""
+    """Append rows of new keys to a Parquet table, one writer at a time; how many they were."""
     spark = incoming.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as e:  # the first write makes the table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        existing = incoming.limit(0)
-    new = absent(incoming, existing, keys, order).persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    new.unpersist()
+    with single_writer(spark, path):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        existing = spark.read.parquet(path) if there else incoming.limit(0)  # the first write makes the table
+        new = absent(incoming, existing, keys, order).persist()
+        n = new.count()
+        if n:
+            new.write.mode("append").parquet(path)
+        new.unpersist()
     return n

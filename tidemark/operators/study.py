@@ -25,6 +25,11 @@ def days(n: int) -> Column:
     return F.make_dt_interval(F.lit(n))
 
 
+def horizon_order(horizon: Column) -> Column:
+    """The place of a horizon among all, from 1; 0 for one that isn't among them."""
+    return F.array_position(F.array(*[F.lit(h) for h in C.HORIZONS]), horizon)
+
+
 def horizon_frame(values: dict[str, int] = C.HORIZONS) -> Column:
     """An array of (horizon, minutes, falls) to explode."""
     return F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("minutes"), F.lit(h in C.FALL_FORWARD).alias("falls")) for h, m in values.items()])

@@ -66,14 +66,14 @@ def prompt_contexts(spark, sf) -> DataFrame:
 
 
 @query("signals", """, j AS (SELECT signal_id, CASE k % 3 WHEN 0 THEN 'none' ELSE 'sector' END AS scope, k, confidence, value * 10 AS move,
- CASE k % 5 WHEN 0 THEN [] WHEN 1 THEN ['energy'] WHEN 2 THEN ['energy', 'energy'] WHEN 3 THEN ['moon'] ELSE ['energy', 'utilities'] END AS s, materiality AS m FROM signals),
+ CASE k % 5 WHEN 0 THEN [] WHEN 1 THEN ['Energy'] WHEN 2 THEN ['Energy', 'Energy'] WHEN 3 THEN ['moon'] ELSE ['Energy', 'Utilities'] END AS s, materiality AS m FROM signals),
 r AS (SELECT *, CASE WHEN abs(move) > 2000 THEN 'move_range' WHEN scope = 'none' AND len(s) > 0 THEN 'scope_none_with_sectors' WHEN scope <> 'none' AND len(s) = 0 THEN 'scope_without_sectors' WHEN len(list_distinct(s)) < len(s) THEN 'duplicate_sector'
  WHEN list_contains(s, 'moon') THEN 'unknown_sector' WHEN len(s) > 0 AND m <= 0.1 THEN 'none_material' ELSE 'ok' END AS reason FROM j) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def coherence(spark, sf) -> DataFrame:
     s = V.signals(spark, sf)
     sector = lambda *names: F.array(*[F.struct(F.lit(x).alias("sector"), F.col("materiality").alias("materiality")) for x in names]) if names else F.array().cast("array<struct<sector:string,materiality:double>>")
     k = F.col("k") % 5
-    sectors = F.when(k == 0, sector()).when(k == 1, sector("energy")).when(k == 2, sector("energy", "energy")).when(k == 3, sector("moon")).otherwise(sector("energy", "utilities"))
+    sectors = F.when(k == 0, sector()).when(k == 1, sector("Energy")).when(k == 2, sector("Energy", "Energy")).when(k == 3, sector("moon")).otherwise(sector("Energy", "Utilities"))
     s = s.withColumns({"scope": F.when(F.col("k") % 3 == 0, "none").otherwise("sector"), "sectors": sectors})
     why = context.incoherent(F.col("scope"), F.col("sectors"), F.col("value") * 10, F.col("confidence"))
     return s.groupBy(F.coalesce(why, F.lit("ok")).alias("reason")).agg(n())

@@ -70,3 +70,18 @@ def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     j = usage.join(F.broadcast(p), F.col("model") == F.col("_m"), "left")
     value = (F.col("input_tokens") * F.col("input_per_m") + F.col("output_tokens") * F.col("output_per_m")) / 1e6
     return j.withColumn("cost_usd", F.when(F.col("_m").isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("double"))).drop("_m", "input_per_m", "output_per_m")
+
+
+def record_tick(crypto, equity) -> None:
+    """One tick of both recorders, callables that write what they fetch: equity's failure doesn't keep crypto's bars from being stored, and is raised after that."""
+    crypto()
+    equity()
+
+
+#: Hours that a measurement is run over again, so that horizons which settle late are filled in: five days, three more to fall forward, and a day.
+SETTLING_HOURS = 216
+
+
+def settling(anchors: DataFrame, now: Column, clock: str = "anchor_ts", hours: int = SETTLING_HOURS) -> DataFrame:
+    """Anchors to measure again at ``now``; rows that exist already are left as they are by the write."""
+    return anchors.filter((F.col(clock) >= now - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col(clock) <= now))
