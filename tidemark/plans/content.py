@@ -87,7 +87,28 @@ def shingle_jaccard(spark, sf) -> DataFrame:
     return similarity.similar_sets(t, "page_id", "g", 0.3).select("a", "b", r6("similarity").alias("similarity"))
 
 
-@query("", None)
+# items one by one in order of arrival; the state is the list of clusters and the first cluster of each content hash
+LEADERS = """WITH RECURSIVE """ + TITLES[5:] + r"""w AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM t),
+g AS (SELECT DISTINCT page_id, substr('  ' || w || ' ', i, 3) AS g FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i)), c AS (SELECT page_id, count(*) AS m FROM g GROUP BY 1),
+p AS (SELECT x.page_id AS a, y.page_id AS b, count(*) AS s FROM g x JOIN g y ON x.g = y.g AND x.page_id <> y.page_id GROUP BY 1, 2),
+near AS (SELECT a AS i, list(struct_pack(neg := -s / (ca.m + cb.m - s), o := b)) AS near FROM p JOIN c ca ON ca.page_id = a JOIN c cb ON cb.page_id = b WHERE s / (ca.m + cb.m - s) >= 0.5 GROUP BY a),
+it AS (SELECT page_id AS i, sha256(""" + NORM.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + r""") AS h, TIMESTAMP '2024-01-01' + to_minutes(page_id * 15) AS t, CASE WHEN page_id % 9 = 0 THEN page_id % 27 END AS cik, row_number() OVER (ORDER BY page_id) AS n FROM pages),
+full_it AS (SELECT it.*, near FROM it LEFT JOIN near USING (i)),
+st AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS i, NULL::BIGINT AS lead, NULL::DOUBLE AS sim, []::STRUCT(lead BIGINT, start TIMESTAMP, last TIMESTAMP, cik BIGINT)[] AS cl, []::STRUCT(h VARCHAR, lead BIGINT)[] AS hs
+  UNION ALL
+  SELECT n, i, lead, sim,
+    CASE WHEN lead = i THEN list_append(cl, struct_pack(lead := i, start := t, last := t, cik := cik)) ELSE list_transform(cl, lambda x: CASE WHEN x.lead = lead THEN struct_pack(lead := x.lead, start := x.start, last := greatest(x.last, t), cik := coalesce(x.cik, cik)) ELSE x END) END,
+    CASE WHEN known IS NULL THEN list_append(hs, struct_pack(h := h, lead := lead)) ELSE hs END
+  FROM (SELECT *, CASE WHEN same THEN known WHEN best IS NOT NULL THEN best.o ELSE i END AS lead, CASE WHEN NOT same AND best IS NOT NULL THEN -best.neg ELSE 1.0 END AS sim
+    FROM (SELECT *, coalesce(len(list_filter(free, lambda x: x.lead = known)) > 0, false) AS same,
+        list_sort(list_filter(near, lambda y: len(list_filter(free, lambda x: x.lead = y.o AND t - x.start <= INTERVAL 48 HOUR AND t - x.last <= INTERVAL 48 HOUR)) > 0))[1] AS best
+      FROM (SELECT full_it.*, st.cl, st.hs, list_filter(st.hs, lambda x: x.h = full_it.h)[1].lead AS known, list_filter(st.cl, lambda x: full_it.cik IS NULL OR x.cik IS NULL OR x.cik = full_it.cik) AS free
+        FROM st JOIN full_it ON full_it.n = st.n + 1))))
+SELECT i AS item_id, lead AS leader_id, round(sim, 6) AS similarity FROM st WHERE i IS NOT NULL"""
+
+
+@query("", LEADERS)
 def leader_clusters(spark, sf) -> DataFrame:
     """Pages as news items, a quarter of an hour apart, clustered in order of arrival."""
     p = V.table(spark, sf, "pages").select(F.col("page_id").alias("item_id"), X.normalised(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
