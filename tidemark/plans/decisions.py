@@ -178,19 +178,48 @@ def _world_for_book(spark, sf) -> DataFrame:
     return portfolio.marked(w, V.bars_1m(spark, sf))
 
 
-@query("", None)
+# the book in integers: cents of cash, 10**-8 of a share, 10**-6 of a price; products are of 10**-14 and sums stay positive, so halves go up
+BOOK = """, wr AS (SELECT gg.*, list_filter(gates[1:7], lambda x: x <> '')[1] AS why, exit_ts, exit_price, exit_reason, CAST(round(quote * 100) AS HUGEINT) AS p2, CAST(round(exit_price * 100) AS HUGEINT) AS x2,
+  CASE WHEN asset_class = 'crypto' THEN 26::HUGEINT ELSE 0::HUGEINT END AS bps, CASE WHEN direction = 'bearish' THEN -1::HUGEINT ELSE 1::HUGEINT END AS sign, row_number() OVER (PARTITION BY prompt_version ORDER BY decision_at, signal_id) AS n FROM gg LEFT JOIN ex USING (signal_id)),
+mk AS (SELECT signal_id, list(struct_pack(i := d.instrument_id, p := CAST(round(y.close * 1000000) AS HUGEINT))) AS marks
+  FROM (SELECT signal_id, decision_at, x.instrument_id FROM wr, (SELECT DISTINCT instrument_id FROM bars_1m) x) d ASOF JOIN bars_1m y ON d.instrument_id = y.instrument_id AND y.ts <= d.decision_at WHERE decision_at - y.ts <= INTERVAL 24 HOUR GROUP BY 1),
+bo AS (SELECT wr.*, coalesce(marks, []) AS marks FROM wr LEFT JOIN mk USING (signal_id))
+"""
+WALK = """, {r}(run, n, cash, pos, signal_id, reason, q, equity) AS (
+  SELECT DISTINCT prompt_version, 0::BIGINT, 10000000::HUGEINT, []::STRUCT(i BIGINT, q HUGEINT, e HUGEINT, x_ts TIMESTAMP, x2 HUGEINT, bps HUGEINT)[], NULL::BIGINT, NULL::VARCHAR, NULL::HUGEINT, NULL::HUGEINT FROM bo
+  UNION ALL
+  SELECT run, n, cash2, pos2, signal_id, reason, q,
+    cash2 + (coalesce(list_sum(list_transform(pos2, lambda x: x.q * CASE WHEN quote IS NOT NULL AND x.i = instrument_id THEN p2 * 10000 ELSE coalesce(list_filter(marks, lambda y: y.i = x.i)[1].p, x.e) END))::HUGEINT, 0::HUGEINT) + 1000000000000500000000000) // 1000000000000 - 1000000000000
+  FROM (SELECT *, CASE WHEN q IS NULL THEN cash1 ELSE cash1 + (-sign * q * entry - ((entry * q * bps + 500000000000) // 1000000000000) * 100000000 + 1000000000000500000000000) // 1000000000000 - 1000000000000 END AS cash2,
+      CASE WHEN q IS NULL THEN lef ELSE list_append(lef, struct_pack(i := instrument_id, q := sign * q, e := entry, x_ts := exit_ts, x2 := x2, bps := bps)) END AS pos2
+    FROM (SELECT *, p2 * (10000 + sign * 5) AS entry, CASE WHEN why2 IS NOT NULL THEN why2 WHEN atr8 IS NULL OR atr8 <= 0 THEN 'atr_available' WHEN q2 <= 0 THEN 'position_too_small' END AS reason, CASE WHEN why2 IS NULL AND atr8 > 0 AND q2 > 0 THEN q2 END AS q
+      FROM (SELECT *, CASE WHEN q1 * p2 * 1000000 // 100000000 > eq * 100000 THEN CASE WHEN bps > 0 THEN eq * 100000 * 100000000 // (p2 * 1000000) ELSE eq * 100000 * 100000000 // (p2 * 1000000) // 100000000 * 100000000 END ELSE q1 END AS q2
+        FROM (SELECT *, CASE WHEN bps > 0 THEN q0 ELSE q0 // 100000000 * 100000000 END AS q1
+          FROM (SELECT *, CASE WHEN atr8 > 0 THEN eq * 1000000 * 50 // 10000 * 100000000 // (2 * atr8) END AS q0, CASE WHEN quote IS NULL THEN 'no_quote' ELSE coalesce(why, CASE WHEN len(lef) >= {most} THEN 'max_concurrent_positions' WHEN len(list_filter(lef, lambda x: x.i = instrument_id)) > 0 THEN 'no_existing_position' END) END AS why2
+            FROM (SELECT *, cash1 + (coalesce(list_sum(list_transform(lef, lambda x: x.q * coalesce(list_filter(marks, lambda y: y.i = x.i)[1].p, x.e)))::HUGEINT, 0::HUGEINT) + 1000000000000500000000000) // 1000000000000 - 1000000000000 AS eq
+              FROM (SELECT run, bo.n, bo.signal_id, instrument_id, quote, p2, x2, bps, sign, atr8, why, exit_ts, marks, list_filter(pos, lambda x: x.x_ts IS NULL OR x.x_ts > decision_at) AS lef,
+                  cash + coalesce(list_sum(list_transform(list_filter(pos, lambda x: x.x_ts <= decision_at), lambda x: (x.q * x.x2 * (10000 - sign(x.q)::HUGEINT * 5) - ((x.x2 * (10000 - sign(x.q)::HUGEINT * 5) * abs(x.q) * x.bps + 500000000000) // 1000000000000) * 100000000 + 1000000000000500000000000) // 1000000000000 - 1000000000000))::HUGEINT, 0::HUGEINT) AS cash1
+                FROM {r} w JOIN bo ON bo.prompt_version = w.run AND bo.n = w.n + 1))))))))
+"""
+OPENED = "CASE WHEN q IS NULL THEN 'skip' WHEN sign < 0 THEN 'open_short' ELSE 'open_long' END"
+
+
+@query(WV, WORLD + EXITS + BOOK + WALK.format(r="bk", most=10) + f"SELECT run AS run_id, signal_id, {OPENED} AS action, reason AS skip_reason, CAST(q AS DOUBLE) / 100000000 AS qty, CAST(equity AS DOUBLE) / 100 AS equity FROM bk JOIN (SELECT signal_id, sign FROM wr) USING (signal_id)", True)
 def backtest_decisions(spark, sf) -> DataFrame:
     return portfolio.backtest(_world_for_book(spark, sf), 100_000.0, RULES)[0]
 
 
-@query("", None)
+@query(WV, WORLD + EXITS + BOOK + WALK.format(r="bk", most=10) + """, tr2 AS (SELECT run, bk.signal_id, instrument_id, sign * q AS q, p2 * (10000 + sign * 5) AS e, x2 * (10000 - sign * 5) AS x, bps, decision_at, exit_ts, exit_reason FROM bk JOIN wr USING (signal_id) WHERE q IS NOT NULL AND exit_ts IS NOT NULL)
+SELECT run AS run_id, signal_id, instrument_id, CAST(q AS DOUBLE) / 100000000 AS qty, CAST(e AS DOUBLE) / 1000000 AS entry_price, CAST(x AS DOUBLE) / 1000000 AS exit_price, decision_at AS opened_at, exit_ts AS closed_at, exit_reason,
+  CAST(CASE WHEN v < 0 THEN -((-v + 500000000000) // 1000000000000) ELSE (v + 500000000000) // 1000000000000 END AS DOUBLE) / 100 AS realized_usd FROM (SELECT *, q * (x - e) - ((x * abs(q) * bps + 500000000000) // 1000000000000) * 100000000 AS v FROM tr2)""", True)
 def backtest_trades(spark, sf) -> DataFrame:
-    return portfolio.backtest(_world_for_book(spark, sf), 100_000.0, RULES)[1]
+    t = portfolio.backtest(_world_for_book(spark, sf), 100_000.0, RULES)[1]
+    return t.select("run_id", "signal_id", "instrument_id", *[F.col(c).cast("double").alias(c) for c in ("qty", "entry_price", "exit_price")], "opened_at", "closed_at", "exit_reason", F.col("realized_usd").cast("double").alias("realized_usd"))
 
 
-@query("", None)
+@query(WV, WORLD + EXITS + BOOK + WALK.format(r="ba", most=10) + WALK.format(r="bb", most=1) + """SELECT CASE WHEN (a.q IS NULL) = (b.q IS NULL) AND a.reason IS NOT DISTINCT FROM b.reason THEN 'same' ELSE 'changed' END AS outcome, count(*) AS n FROM ba a JOIN bb b ON a.run = b.run AND a.signal_id = b.signal_id GROUP BY 1""", True)
 def replay_comparison(spark, sf) -> DataFrame:
-    """A run against its replay under looser rules, key by key."""
+    """A run against its replay with a book of its own under stricter rules, key by key: the world's features are the same, the portfolio's are those of each book."""
     w = _world_for_book(spark, sf)
     a = portfolio.backtest(w, 100_000.0, RULES)[0]
     b = portfolio.backtest(w, 100_000.0, RULES | {"max_positions": 1})[0]

@@ -145,14 +145,14 @@ def _daily(spark, sf) -> DataFrame:
 @query(
     "anchors bars_session bars_1d",
     LADDER + BETA + ABNORMAL + SIDES + POINTS.format(until="s.anchor_ts + INTERVAL 8 DAY") + LONG
-    + "SELECT cluster_id, instrument_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("trough_bps", "hours_to_trough", "hours_to_half", "hours_to_full", "days_used")) + ", conclusive FROM rec",
+    + "SELECT cluster_id, instrument_id, round(trough_bps, 3) AS trough_bps, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("hours_to_trough", "hours_to_half", "hours_to_full", "days_used")) + ", conclusive FROM rec",
 )
 def recovery(spark, sf) -> DataFrame:
     """Of falls: over minute bars of eight days, then daily closes up to the thirtieth."""
     anchors, bars = V.anchors(spark, sf), V.bars_session(spark, sf)
     fell = anchors.join(study.falls(_abnormal(spark, sf)), ["cluster_id", "instrument_id"], "left_semi")
     r = study.recovery(_series(spark, sf, fell, bars, C.RECOVERY_DAYS, daily=_daily(spark, sf)))
-    return r.select("cluster_id", "instrument_id", *[r6(c).alias(c) for c in ("trough_bps", "hours_to_trough", "hours_to_half", "hours_to_full", "days_used")], "conclusive")
+    return r.select("cluster_id", "instrument_id", F.round("trough_bps", 3).alias("trough_bps"), *[r6(c).alias(c) for c in ("hours_to_trough", "hours_to_half", "hours_to_full", "days_used")], "conclusive")
 
 
 CREDIBLE = "published_ts >= anchor_ts - INTERVAL 24 HOUR AND published_ts <= anchor_ts + INTERVAL 2 MINUTE"
