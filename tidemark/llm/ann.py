@@ -29,9 +29,9 @@ from tidemark.llm.common import map_arrow
 
 K = 20
 DEGREE, BEAM, RELAX = 32, 64, 1.2
-SEARCH_BEAM = 96
+SEARCH_BEAM = 192
 #: Vectors of a shard; small tables have LEAST_SHARDS shards.
-SHARD, LEAST_SHARDS = 50_000, 8
+SHARD, LEAST_SHARDS = 20_000, 8
 _INF = np.float32(np.inf)
 
 
