@@ -463,6 +463,36 @@ def test_nearest_of_awkward_rows(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_recall_of_a_full_shard():
+    """Vectors of one length without any structure in one shard of the largest size."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(ann.SHARD, 64))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    shard = ann.Shard(float(np.sqrt((x**2).sum(1).max())), ann.K, ann.SEARCH_BEAM)
+    for i, v in enumerate(x):
+        shard.add(v.tobytes(), [i])
+    shard.build()
+    asked = np.arange(0, ann.SHARD, 100)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    least = -np.sort(-scores, 1)[:, ann.K - 1]
+    found = collections.Counter()
+    for query, _, score in shard.nearest(asked.tolist(), x[asked]):
+        found[query] += score >= least[query // 100] - 1e-9
+    assert sum(found.values()) >= 0.9 * ann.K * len(asked)
+
+
+def test_equal_scores_over_shards_go_to_the_least_ids(spark):
+    r = np.random.default_rng(6)
+    half = r.normal(size=(40, 8))
+    # mirrored in the last coordinate, where queries are zero: pairs tie, and lie in different shards
+    rows = [(i, [*v[:7].tolist(), 1.0]) for i, v in enumerate(half)] + [(100 + i, [*v[:7].tolist(), -1.0]) for i, v in enumerate(half)] + [(1000, [*r.normal(size=7).tolist(), 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1000, k=9, shards=5).orderBy("rank").collect()
+    q = np.array(rows[-1][1])
+    want = sorted((-float((np.array(v) * q).sum()), i) for i, v in rows[:-1])[:9]
+    assert [(x["vec_id"], x["score"]) for x in got] == [(i, pytest.approx(-s)) for s, i in want]
+
+
 # --- 5 ---
 
 
