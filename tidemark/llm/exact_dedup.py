@@ -28,9 +28,10 @@ def normalised(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The largest id of a group stays; a null id counts as the smallest. Of rows
-    that repeat both id and text exactly one is kept. An empty table gives an
-    empty result; other columns play no part.
+    The largest id of a group stays; a null id counts as the smallest, a null
+    text as empty. Of rows that repeat both id and text exactly one is kept.
+    Very long texts are read whole. An empty table gives an empty result; other
+    columns play no part, whatever their names.
     """
     rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")))
     h = F.xxhash64("text_sha256")
@@ -49,16 +50,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of equal texts the one with the largest id.
 
-    Rows that repeat an id break ties by the other columns, so reruns agree.
+    A null id counts as the smallest, a null text as empty; very long texts are
+    read whole. Rows that repeat an id break ties by a hash of all their
+    columns, so reruns agree. Columns may have any name and any type. An empty
+    table gives an empty result.
     """
     rows = packed(docs)
     text = F.col(f"row.{text_col}")
     h = F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))  # coarser than the equality, so nothing equal is told apart
     bits = filter_bits(docs.count())
     flagged = with_flag(rows, h, bits, repeat_filter(rows, h, bits), "maybe")
-    whole = F.struct(F.col(f"row.{id_col}").alias("id"), F.col("row"))
-    best = flagged.filter("maybe").groupBy(F.sha2(normalised(text), 256).alias("sha")).agg(F.max(whole).alias("best"))
-    return flagged.filter(~F.col("maybe")).select("row.*").unionByName(best.select("best.row.*"))
+    order = F.struct(F.col(f"row.{id_col}").alias("id"), F.xxhash64(F.to_json("row")).alias("tie"))
+    best = flagged.filter("maybe").groupBy(F.sha2(normalised(text), 256).alias("sha")).agg(F.max_by("row", order).alias("row"))
+    return flagged.filter(~F.col("maybe")).select("row.*").unionByName(best.select("row.*"))
 
 
 ORACLE = """
