@@ -248,8 +248,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     Null ids take no part, nor do vectors that aren't usable or whose number of
     components differs from the commonest (the smaller of equally common ones).
     Of rows that repeat an id and a vector one counts; a query row never finds
-    its own id. With fewer than k others all are found. An empty table gives an
-    empty result.
+    its own id. With fewer than k others all are found. Vectors may have any
+    number of components. Equal scores go to the least ids. An empty table
+    gives an empty result. Other columns play no part, whatever their names.
     """
     clean = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(usable(F.col(vector_col)), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     dims = clean.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)).alias("sq")).orderBy(F.desc("n"), "d").limit(1).collect()

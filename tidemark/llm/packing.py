@@ -229,8 +229,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A null or empty text is its end id alone. Null ids and rows that repeat an
-    id are packed like others, each row as a document. ``window`` is a power of
-    two. An empty table gives an empty result.
+    id are packed like others, each row as a document; very long texts fill
+    whole sequences of their own, and pieces of one length take their turns in
+    the order of their rows. ``window`` is a power of two. An empty table gives
+    an empty result. Other columns play no part, whatever their names.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
         return Model(frozenset(), None, None, 1.0 if sum(toxic) else 0.0)
     counts = map_arrow(rows.select("text", "half", "y"), _counted, "word binary, half int, toxic long, clean long")
     counts = counts.groupBy("word").agg(*[F.sum(F.when(F.col("half") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("toxic", "clean")])
-    # only candidates come to the driver: words that are RATIO times as frequent in toxic rows
+    # only candidates come to the driver: words of three rows or more of the sample, so no more than it bounds, that are RATIO times as frequent in toxic rows
     t, c = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
     likely = counts.filter((F.col("toxic0") >= 3) & (F.col("toxic0") / max(toxic[0], 1) >= RATIO * (F.col("clean0") + 0.5) / max(clean[0], 1)) | (F.col("toxic1") >= 3) & (F.col("toxic1") / max(toxic[1], 1) >= RATIO * (F.col("clean1") + 0.5) / max(clean[1], 1)) | (t >= 3) & (t / sum(toxic) >= RATIO * (c + 0.5) / sum(clean)))
     likely = [(bytes(r["word"]), r["toxic0"], r["clean0"], r["toxic1"], r["clean1"]) for r in likely.collect()]
@@ -186,9 +186,12 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``.
 
-    Null and empty texts are scored as texts without words. A null id is not
-    held out. Without labels of both kinds every score is the rate of the one
-    kind there is (0 without any). An empty table gives an empty result.
+    Null and empty texts are scored as texts without words, very long ones
+    whole. A null id is not held out; rows that repeat an id are scored one by
+    one, and a label of it trains with each. A score that equals the threshold
+    counts as toxic. Without labels of both kinds every score is the rate of
+    the one kind there is (0 without any). An empty table gives an empty
+    result. Other columns play no part, whatever their names.
     """
     model = fit(docs, labels, max_train, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
@@ -197,10 +200,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not reject."""
+    """The rows of ``docs``, with all their columns, that the model does not reject.
+
+    Nulls, empty and long texts, labels and an empty table go as in
+    ``toxicity``; rows that repeat an id are scored one by one. Columns keep
+    their names, whatever these are.
+    """
     model = fit(docs, labels, max_train, id_col, text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(text_col).alias("_text"))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names))
     scored = map_arrow(rows, lambda it: _scored(it, model), f"{schema}, score double")
     return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
