@@ -808,6 +808,78 @@ def toxic_corpus(spark, n=1200):
     return spark.createDataFrame([*rows, (n, None, 1.0), (n + 1, "", 1.0), (None, "w1", 1.0), rows[0]], "doc_id long, text string, score double"), spark.createDataFrame([*labels, (0, 1), (None, 1), (5, None)], "doc_id long, toxic int"), {i: y for i, y in labels}
 
 
+def plain_features(text, lexicon):
+    """The features by their definitions, a word at a time."""
+    raw = (text or "").encode("utf-8", "replace")
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    found = [m.group() for m in re.finditer(rb"[a-z0-9\x80-\xff]+", lower)]
+    plain, starts = {x for x in lexicon if not x.endswith(b"~")}, {x[:-1] for x in lexicon if x.endswith(b"~")}
+    n = max(len(found), 1)
+    begun = [w not in plain and any(len(w) > k and w[:k] in starts for k in (4, 5)) or w not in plain and len(w) > 4 and w[:5] in starts for w in found]
+    hit = [w in plain for w in found]
+    look = dict(zip("013457@$!|", "oleastasil"))
+    undone = "".join(look.get(chr(c), chr(c)) if c not in b"*.-_'`~^#" else "" for c in lower)
+    undone = [w.encode("latin-1") for w in re.findall("[a-z\x80-\xff]+", undone)]
+    hidden = sum(w in plain and w not in found for w in undone)
+    second = [i for i, w in enumerate(found) if w in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 5 and (hit[j] or begun[j] or len(found[j]) > 4 and (found[j][:4] in starts or found[j][:5] in starts)) for j in range(len(found))) for i in second)
+    letters = max(sum(chr(c).isalpha() for c in raw if c < 128), 1)
+    capitals = sum(65 <= c <= 90 for c in raw)
+    shouted = sum(len(w) > 2 and w.isupper() for w in raw.split()) if capitals * 4 > letters else 0
+    marks = sum(33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in raw)
+    odd = sum(c in b"#$%&*@^" for c in raw)
+    return [sum(hit) / n, min(sum(hit), 20), sum(begun) / n, min(sum(begun), 20), min(hidden, 20), min(near, 20), len(second) / n, capitals / letters, shouted / n, raw.count(b"!") / n, marks / n, odd / n,
+            min(len(re.findall(rb"(?i)[a-z][0-9@$!|*]+[a-z]", raw)), 50) / n, len(re.findall(rb"(.)\1\1", raw)) / n, len(raw) / n, np.log1p(len(found))]
+
+
+def test_features_are_those_of_their_definitions():
+    r = random.Random(12)
+    lexicon = frozenset([b"vile", b"awful", b"rott~", b"stinki~"[:6] + b"~", b"grim~"])
+    pieces = ["vile", "AWFUL", "rotten", "rott", "stinking", "grimly", "you", "You", "v1le", "aw*ful", "word", "THE", "éa", "!!!", "a1b", "xxx", "...", "\n", "$$", "ni7ce", "DU"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(25))) for _ in range(200)] + [None, ""]
+    got = toxicity.features(texts, lexicon)
+    for t, x in zip(texts, got):
+        assert x.tolist() == pytest.approx(plain_features(t, lexicon)), t
+
+
+def test_first_split_is_the_best_of_all():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(120, 3)).round(1)
+    y = (x[:, 1] + 0.3 * r.normal(size=120) > 0.4).astype(float)
+    t = boosting.Trees(rounds=1, depth=1, rate=1.0).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(120, p * (1 - p))
+    best = max((sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1), j, c) for j in range(3) for c in t.edges[j] for left in [x[:, j] <= c] if 4 <= left.sum() <= 116)
+    feature, cut, value = t.trees[0]
+    assert (feature[1], cut[1]) == (best[1], best[2])
+    left = x[:, best[1]] <= best[2]
+    want = t.base + np.where(left, g[left].sum() / (h[left].sum() + 1), g[~left].sum() / (h[~left].sum() + 1))
+    assert t.margin(x).tolist() == pytest.approx(want.tolist())
+
+
+def test_pools_are_the_isotonic_means():
+    r = np.random.default_rng(8)
+    f = np.sort(r.normal(size=60))
+    y = (f + r.normal(size=60) > 0).astype(float)
+    m = boosting.Isotonic().fit(f, y, weight=0.0)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert sorted(set(np.round(m.y, 9))) == sorted(set(np.round(want, 9)))
+
+
+def test_exact_dedup_keeps_columns_of_any_kind(spark):
+    docs = spark.createDataFrame([(1, "A b", {"k": 1}, 5), (2, "a B", {"k": 2}, 6), (2, "a b", {"k": 3}, 7), (3, "c", None, 8)], "doc_id long, text string, m map<string,int>, `a.b` int")
+    out = exact_dedup.exact_dedup(docs)
+    assert out.columns == docs.columns and sorted((x["doc_id"], x["text"].lower()) for x in out.collect()) == [(2, "a b"), (3, "c")]
+    assert sorted(map(str, out.collect())) == sorted(map(str, exact_dedup.exact_dedup(docs.repartition(3)).collect()))
+
+
+def test_rejecting_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "nice words here" if i % 2 else "vile awful you", i, "t") for i in range(60)], "doc_id long, text string, `a.b` int, _text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    out = toxicity.without_toxic(docs, labels)
+    assert out.columns == docs.columns and {x["doc_id"] % 2 for x in out.collect()} == {1} and out.count() == 30
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels, truth = toxic_corpus(spark)
     got = toxicity.toxicity(docs, labels).collect()
@@ -850,7 +922,7 @@ def test_queries_read_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_ngram_join", "op3_secrets", "op5_mixing", "op8_exact_dedup", "op10_toxicity"):
         assert registry.QUERIES[name](spark, SF).count() == n
-    assert len(registry.QUERIES) == 10
+    assert len(registry.QUERIES) == 11 and sum(name.startswith("op") for name in registry.QUERIES) == 10
 
 
 def test_queries_equal_their_sql(spark):
