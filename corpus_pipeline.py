@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; its result is written as Parquet and read again as the next one's docs.
+
+Documents may lack ids or repeat them: null and repeated ids, empty and very
+long texts, equal rows and an empty table go as the operators' docstrings say.
+All stages but the last keep the columns of documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them is written to the shared checkpoint folder."""
+    """All stages over ``documents``; what is between them is written to the shared checkpoint folder, and goes once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs
