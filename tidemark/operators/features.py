@@ -13,14 +13,18 @@ def calendar_match(rows: DataFrame, calendar: DataFrame, key: str, at: str, minu
     """Add ``calendar_match``: an event of the row's instrument, or of none, within ``minutes`` either side, both ends included.
 
     An interval join on slots as long as the reach: a row meets its own slot
-    and the two beside it, and matches are reduced to keys before they return.
+    and the two beside it, there only the events of its instrument and the
+    times of events without one, and matches are reduced to keys before they
+    return.
     """
     width = minutes * 60_000_000
     slot = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / width)
     probe = rows.select(F.col(key), "instrument_id", F.col(at).alias("_at")).withColumn("_slot", F.explode(F.array(*[slot(F.col("_at")) + i for i in (-1, 0, 1)])))
     cal = calendar.select(F.col("instrument_id").alias("_i"), F.col("scheduled_at").alias("_s")).distinct().withColumn("_slot", slot(F.col("_s")))
     near = F.abs(F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("_s").cast("timestamp"))) <= width
-    hits = probe.join(cal, "_slot").filter(near & (F.col("_i").isNull() | (F.col("_i") == F.col("instrument_id")))).select(F.col(key).alias("_k")).distinct()
+    own = probe.join(cal.filter("_i IS NOT NULL").withColumnRenamed("_slot", "_cs"), (F.col("instrument_id") == F.col("_i")) & (F.col("_slot") == F.col("_cs"))).filter(near)
+    common = probe.join(cal.filter("_i IS NULL").select("_slot", "_s"), "_slot").filter(near)
+    hits = own.select(F.col(key).alias("_k")).unionByName(common.select(F.col(key).alias("_k"))).distinct()
     return rows.join(hits, F.col(key) == F.col("_k"), "left").withColumn("calendar_match", F.col("_k").isNotNull()).drop("_k")
 
 

@@ -50,11 +50,22 @@ def closing_groups(stream: DataFrame, at: str, by: list[str], gap: str = "48 hou
 
 
 def within_budget(queue: DataFrame, cost: str, order: list[str], spent: float, cap: float) -> DataFrame:
-    """The head of a queue that today's budget still pays for: a row is taken while what was spent before it is below the cap."""
+    """The head of a queue that today's budget still pays for: a row is taken while what was spent before it is below the cap.
+
+    The running sum is taken in ranges of the order, each by a task of its own,
+    from the sums of the ranges before it.
+    """
     from pyspark.sql import Window as W
 
-    before = F.coalesce(F.sum(cost).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return queue.withColumn("_before", before + spent).filter(F.col("_before") < cap).drop("_before")
+    from tidemark.storage import checkpoint
+
+    ranges = checkpoint(queue.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id())
+    sums = ranges.groupBy("_range").agg(F.sum(cost).alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select(F.col("_range").alias("_r"), earlier.alias("_earlier"))  # a row for each range
+    within = F.coalesce(F.sum(cost).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rows = ranges.withColumn("_within", within).join(F.broadcast(sums), F.col("_range") == F.col("_r"))
+    return rows.filter(F.col("_earlier") + F.col("_within") + spent < cap).select(*queue.columns)
 
 
 def due(queue: DataFrame, done: DataFrame, attempts: DataFrame, keys: list[str], cap: int, stale: Column | None = None) -> DataFrame:
