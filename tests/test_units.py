@@ -650,6 +650,18 @@ def test_broker_places_once_and_rejects_without_a_quote(spark):
     assert got == {"a": ("filled", Decimal("100.050000"), Decimal("0.000000")), "b": ("rejected", None, None)}
 
 
+def test_cli_stages_run_known_queries(spark, capsys, tmp_path):
+    from tidemark import cli
+    from tidemark.plans import registry
+
+    assert {q for v in cli.STAGES.values() for q in v} <= set(registry.QUERIES)
+    assert cli.main(["stages"]) == 0 and "eval-latency: latency_by_horizon" in capsys.readouterr().out
+    sf = "/root/testdata/sf0.001"
+    assert cli.stage(spark, "documents", sf, 3) == 0 and "## document_queue" in capsys.readouterr().out
+    assert cli.stage(spark, "documents", sf, 3, str(tmp_path / "d")) == 0 and spark.read.parquet(str(tmp_path / "d" / "document_queue")).count() > 3
+    assert cli.stage(spark, "documents", sf, 3, str(tmp_path / "d.md")) == 0 and (tmp_path / "d.md").read_text().startswith("## document_queue")
+
+
 def test_cli_lists_and_renders(spark, capsys):
     from tidemark import cli
 
