@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by largest inner product over robust-pruned directed graphs.
 
-Vectors are dealt to shards by a hash of their bytes, so that equal vectors
-meet: an index holds each distinct vector once, with its smallest ids. A
-vector gets one more coordinate, sqrt(M^2 - |v|^2) with M the largest norm, so
-that the largest inner product with a query is the smallest distance. Each
+Vectors are dealt to shards by ranges of their norm and then by a hash of their
+bytes, so that equal vectors meet: an index holds each distinct vector once,
+with its smallest ids. A vector gets one more coordinate, sqrt(M^2 - |v|^2) with
+M the shard's largest norm, so that the largest inner product with a query is
+the smallest distance; in a range of norms this coordinate stays small, and the
+graph is that of the vectors' directions. Each
 shard's graph is built by insertion in growing batches: a greedy beam search
 over the graph so far proposes neighbours, robust pruning drops a candidate
 that a kept neighbour covers within the relaxed distance, and reverse edges are
@@ -32,6 +34,8 @@ DEGREE, BEAM, RELAX = 32, 64, 1.2
 SEARCH_BEAM = 192
 #: Vectors of a shard; small tables have LEAST_SHARDS shards.
 SHARD, LEAST_SHARDS = 20_000, 8
+#: Norms are counted in steps of this ratio; a shard's span so many steps at most.
+STEP, WIDEST = 1.05, 4
 _INF = np.float32(np.inf)
 
 
@@ -157,8 +161,8 @@ class Graph:
 class Shard:
     """Distinct vectors with their smallest ids, and the graph over them."""
 
-    def __init__(self, top: float, k: int, search_beam: int):
-        self.top, self.k, self.beam = top, k, search_beam
+    def __init__(self, k: int, search_beam: int):
+        self.k, self.beam = k, search_beam
         self.ids: dict[bytes, list[int]] = {}
         self.graph: Graph | None = None
 
@@ -170,8 +174,9 @@ class Shard:
         self.lists = list(self.ids.values())
         self.vectors = np.frombuffer(b"".join(self.ids), np.float64).reshape(len(self.ids), -1) if self.ids else np.zeros((0, 0))
         self.ids = {}
-        rest = np.sqrt(np.maximum(self.top**2 - (self.vectors**2).sum(1), 0))
-        self.graph = Graph(np.concatenate([self.vectors, rest[:, None]], 1) / (self.top or 1.0))
+        square = (self.vectors**2).sum(1)
+        top = square.max() if len(square) else 1.0
+        self.graph = Graph(np.concatenate([self.vectors, np.sqrt(np.maximum(top - square, 0))[:, None]], 1) / np.sqrt(top))
 
     def nearest(self, query_ids: list[int], q: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """At most k rows a query: copies of a vector tie, and so do their ids."""
@@ -188,7 +193,32 @@ class Shard:
                 yield query, i, -s
 
 
-def _collapsed(batches: Iterator[pa.RecordBatch], shards: int, k: int) -> Iterator[pa.RecordBatch]:
+class Dealt:
+    """Which shard a vector belongs to: ranges of norms, each with shards enough for its vectors."""
+
+    def __init__(self, counts: dict[int, int], size: int):
+        """``counts`` of steps of the norm; a range ends when it holds ``size`` vectors or is ``WIDEST`` steps wide."""
+        self.last, self.first, self.shards = [], [0], []
+        steps = sorted(counts)
+        total, begin = 0, steps[0]
+        for step, following in zip(steps, [*steps[1:], None]):
+            total += counts[step]
+            if following is None or total >= size or following - begin >= WIDEST:
+                self.last.append(step)
+                self.shards.append(max(-(-total // size), 1))
+                self.first.append(self.first[-1] + self.shards[-1])
+                total, begin = 0, following
+
+    def __len__(self) -> int:
+        return self.first[-1]
+
+    def of(self, vector: np.ndarray, h: int) -> int:
+        step = int(np.floor(np.log(np.sqrt((vector**2).sum())) / np.log(STEP)))
+        i = min(int(np.searchsorted(self.last, step)), len(self.last) - 1)
+        return self.first[i] + h % self.shards[i]
+
+
+def _collapsed(batches: Iterator[pa.RecordBatch], dealt: Dealt, k: int) -> Iterator[pa.RecordBatch]:
     """Rows of a partition to distinct vectors, each with its k + 1 smallest ids: enough for any query, itself left out."""
     import xxhash
 
@@ -198,7 +228,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch], shards: int, k: int) -> Iterat
         keys = list(held)
         ids = [sorted({*held[v]})[: k + 1] for v in keys]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(v) % shards for v in keys], pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(keys, pa.binary())], ["shard", "kind", "ids", "vector"])
+        return pa.RecordBatch.from_arrays([pa.array([dealt.of(np.frombuffer(v), xxhash.xxh64_intdigest(v)) for v in keys], pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(keys, pa.binary())], ["shard", "kind", "ids", "vector"])
 
     for batch in batches:
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -211,7 +241,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch], shards: int, k: int) -> Iterat
     yield out()
 
 
-def _searched(batches: Iterator[pa.RecordBatch], top: float, k: int, search_beam: int) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], k: int, search_beam: int) -> Iterator[pa.RecordBatch]:
     shard, at = None, None
     for batch in batches:
         numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -223,7 +253,7 @@ def _searched(batches: Iterator[pa.RecordBatch], top: float, k: int, search_beam
                 hi += 1
             ids, vectors = batch.column(2).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo).to_pylist()
             if numbers[lo] != at:
-                shard, at = Shard(top, k, search_beam), numbers[lo]
+                shard, at = Shard(k, search_beam), numbers[lo]
             if kinds[lo] == 0:
                 for i, v in zip(ids, vectors):
                     shard.add(v, i)
@@ -253,16 +283,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     gives an empty result. Other columns play no part, whatever their names.
     """
     clean = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(usable(F.col(vector_col)), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    dims = clean.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)).alias("sq")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim, n, sq = (dims[0]["d"], dims[0]["n"], dims[0]["sq"]) if dims else (0, 0, 0.0)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
+    steps = clean.groupBy(F.size("v").alias("d"), F.floor(F.log(norm) / float(np.log(STEP))).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each number of components and each step of the norm that occurs; doubles have some 29,000 steps
+    dims = steps.groupBy("d").agg(F.sum("n").alias("n"), F.collect_list(F.struct("s", "n")).alias("steps")).orderBy(F.desc("n"), "d").limit(1).collect()
+    dim, n, counts = (dims[0]["d"], dims[0]["n"], {r["s"]: r["n"] for r in dims[0]["steps"]}) if dims else (0, 0, {0: 0})
     clean = clean.filter(F.size("v") == dim)
-    top, parts = float(sq) ** 0.5, shards or max(LEAST_SHARDS, -(-n // SHARD))
-    held = map_arrow(clean.select("vec_id", "v"), lambda it: _collapsed(it, parts, k), "shard int, kind int, ids array<long>, vector binary")
+    dealt = Dealt(counts, max(-(-n // (shards or max(LEAST_SHARDS, -(-n // SHARD)))), 1))
+    parts = len(dealt)
+    held = map_arrow(clean.select("vec_id", "v"), lambda it: _collapsed(it, dealt, k), "shard int, kind int, ids array<long>, vector binary")
     asked = clean.filter("q").select("vec_id", "v").distinct()
     asked = map_arrow(asked, _queries, "ids array<long>, vector binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("shard"), F.lit(1).alias("kind"), "ids", "vector")
     tasks = held.unionByName(asked).repartitionById(parts, "shard").sortWithinPartitions("shard", "kind")
-    found = map_arrow(tasks, lambda it: _searched(it, top, k, search_beam), "query_id long, vec_id long, score double")
+    found = map_arrow(tasks, lambda it: _searched(it, k, search_beam), "query_id long, vec_id long, score double")
     # ids that repeat with other vectors keep their best score
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
