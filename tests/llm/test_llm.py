@@ -468,7 +468,7 @@ def test_recall_of_a_full_shard():
     r = np.random.default_rng(5)
     x = r.normal(size=(ann.SHARD, 64))
     x /= np.sqrt((x**2).sum(1, keepdims=True))
-    shard = ann.Shard(float(np.sqrt((x**2).sum(1).max())), ann.K, ann.SEARCH_BEAM)
+    shard = ann.Shard(ann.K, ann.SEARCH_BEAM)
     for i, v in enumerate(x):
         shard.add(v.tobytes(), [i])
     shard.build()
@@ -482,6 +482,29 @@ def test_recall_of_a_full_shard():
     assert sum(found.values()) >= 0.9 * ann.K * len(asked)
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_recall_of_vectors_of_unlike_lengths(spread):
+    """The longest of these vectors are everyone's nearest; shards are ranges of lengths."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(8000, 64)) * np.exp(spread * r.normal(size=(8000, 1)))
+    steps = np.floor(np.log(np.sqrt((x**2).sum(1))) / np.log(ann.STEP)).astype(int)
+    dealt = ann.Dealt(dict(collections.Counter(steps.tolist())), 1000)
+    shards = [ann.Shard(ann.K, ann.SEARCH_BEAM) for _ in range(len(dealt))]
+    for i, v in enumerate(x):
+        shards[dealt.of(v, i)].add(v.tobytes(), [i])
+    asked = np.arange(0, 8000, 40)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    least = -np.sort(-scores, 1)[:, ann.K - 1]
+    found = collections.defaultdict(list)
+    for shard in shards:
+        shard.build()
+        for query, _, score in shard.nearest(asked.tolist(), x[asked]):
+            found[query].append(score)
+    hits = sum(sum(v >= least[q // 40] - 1e-9 for v in sorted(vs)[-ann.K :]) for q, vs in found.items())
+    assert hits >= 0.95 * ann.K * len(asked)
+
+
 def test_equal_scores_over_shards_go_to_the_least_ids(spark):
     r = np.random.default_rng(6)
     half = r.normal(size=(40, 8))
