@@ -261,20 +261,23 @@ _AGAIN = "o long, th long, gram array<long>, word array<int>, lines array<struct
 _PLACE = 2654435761
 
 
-def _located(batches: Iterator[pa.RecordBatch], ends: Held, least: int) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor that the filter may hold, by document and word: where it is, and what is around it."""
+def _located(batches: Iterator[pa.RecordBatch], ends: Held, origins: Held, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor that one of the filters may hold, by document and word: where it is, what is around it, and which filter it was."""
     chars = Chars()
     for batch in sliced(batches, 128):
         read = _Read(batch.column(1).to_pylist(), chars, least)
         place, _, text = read.anchors()
         o, th = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 2))
         word = place - read.first[text]
-        hit = ends.of(o ^ th ^ word * _PLACE)
-        o, th, word, place, text = (x[hit] for x in (o, th, word, place, text))
+        at = o ^ th ^ word * _PLACE
+        is_end, is_origin = ends.of(at), origins.of(at)
+        hit = is_end | is_origin
+        o, th, word, place, text, is_end, is_origin = (x[hit] for x in (o, th, word, place, text, is_end, is_origin))
         near, steps = _context(read, place, text)
         begin = read.begin[text]
         columns = [pa.array(x) for x in (o, th, word, read.starts[place] - begin, read.stops[place + GRAM - 1] - begin)]
-        yield pa.RecordBatch.from_arrays([*columns, _blobs(near), _blobs(steps)], ["o", "th", "word", "start", "end", "hashes", "steps"])
+        columns += [_blobs(near), _blobs(steps), pa.array(is_end), pa.array(is_origin)]
+        yield pa.RecordBatch.from_arrays(columns, ["o", "th", "word", "start", "end", "hashes", "steps", "is_end", "is_origin"])
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,15 +422,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # what is around the ends of runs, in both texts
     n_ends = ends.count()
-    end_bits = filter_bits(2 * n_ends)
+    end_bits = filter_bits(n_ends)
     place = lambda o, th, word: F.col(o).bitwiseXOR(F.col(th)).bitwiseXOR(F.col(word) * _PLACE)
-    asked = ends.select(F.explode(F.array(place("o", "th", "word"), place("ko", "kth", "kword"))).alias("h"))
-    held = spark.broadcast(Held(member_filter(asked, F.col("h"), end_bits, 1), end_bits))
-    around = map_arrow(source, lambda it: _located(it, held.value, least), "o long, th long, word long, start long, end long, hashes binary, steps binary")
-    around = checkpoint(around.dropDuplicates(["o", "th", "word"]))
+    held = [spark.broadcast(Held(member_filter(ends, place(*at), end_bits, 1), end_bits)) for at in (("o", "th", "word"), ("ko", "kth", "kword"))]
+    around = map_arrow(source, lambda it: _located(it, held[0].value, held[1].value, least), "o long, th long, word long, start long, end long, hashes binary, steps binary, is_end boolean, is_origin boolean")
+    around = checkpoint(around)
     there = ends.groupBy("ko", "kth", "kword").agg(F.count(F.lit(1)).alias("n"))
-    there = there.join(around, (F.col("ko") == F.col("o")) & (F.col("kth") == F.col("th")) & (F.col("kword") == F.col("word"))).select(F.col("ko").alias("_o"), F.col("kth").alias("_th"), F.col("kword").alias("_w"), F.col("hashes").alias("other"), "n")
-    ends = join_counted(ends, there, [("ko", "_o"), ("kth", "_th"), ("kword", "_w")], "n", n_ends).join(around, ["o", "th", "word"])
+    origins = around.filter("is_origin").select(F.col("o").alias("_o"), F.col("th").alias("_th"), F.col("word").alias("_w"), F.col("hashes").alias("other"))
+    # rows that repeat an id and a text are met once as an origin; as ends their equal spans are one in the end
+    there = there.join(origins, (F.col("ko") == F.col("_o")) & (F.col("kth") == F.col("_th")) & (F.col("kword") == F.col("_w"))).groupBy("_o", "_th", "_w").agg(F.first("other").alias("other"), F.first("n").alias("n"))
+    ends = join_counted(ends, there, [("ko", "_o"), ("kth", "_th"), ("kword", "_w")], "n", n_ends).join(around.filter("is_end").drop("is_end", "is_origin"), ["o", "th", "word"])
     pasted = map_arrow(ends.select("o", "th", "word", "first", "last", "left", F.col("ko").alias("keep"), "start", "end", "hashes", "other", "steps"), _extended, "o long, th long, start long, end long, word long, n_words long, keep long")
 
     span = F.struct("start", "end", "word", "n_words", "keep")
