@@ -337,6 +337,24 @@ def test_slots_hit_twice(spark):
     assert held.of(every).tolist() == [n[h % bits] > 1 for h in every.tolist()]
 
 
+def test_filters_united(spark):
+    a, b = ([(h,) for h in range(k, k + 400)] for k in (0, 300))
+    maps = [common.member_filter(spark.createDataFrame(x, "h long"), F.col("h"), 1 << 20, 1) for x in (a, b)]
+    held = common.Held(maps[0].unionByName(maps[1]), 1 << 20)
+    assert held.of(np.arange(1000)).tolist() == [h < 700 for h in range(1000)]
+
+
+def test_substring_dedup_leaves_no_filter_with_the_driver(spark, monkeypatch):
+    """Filters of full size are some 32 MB each: none is in a plan's broadcast joins, and of those that tasks hold one is alive in the end."""
+    made = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    got = substring_dedup.repeated_spans(corpus(spark)[0])
+    assert "bitmap" not in got._jdf.queryExecution().toString().lower().replace("bitmap_c", "")
+    assert len(made) > 4 and sum(x._jbroadcast.isValid() for x in made) == 1
+    assert got.count()
+
+
 def test_substring_awkward_rows(spark):
     docs, rows = corpus(spark)
     assert substring_dedup.repeated_spans(docs).filter("doc_id IS NULL AND keep_doc_id IS NULL").count() == 0

@@ -193,13 +193,18 @@ def repeats(df: DataFrame, bits: int, least: int = 2) -> DataFrame:
 
 
 class Held:
-    """A filter of one bit a hash, as bytes, for tasks in Python."""
+    """A filter of one bit a hash, as bytes, for tasks in Python; of several filters that are united, what any of them holds.
+
+    ``with_flag`` costs the driver's heap several copies of a filter at once
+    for each join, and keeps them; this one goes through it once and stays in
+    blocks until the broadcast is destroyed.
+    """
 
     def __init__(self, bitmaps: DataFrame, bits: int):
-        self.bits, held = bits, bytearray(bits // 8)
-        for r in bitmaps.collect():  # bits / 8 bytes at most
-            held[r["bucket"] * 4096 - 4096 : r["bucket"] * 4096] = r["bitmap"]
-        self.bytes = bytes(held)
+        self.bits, self.bytes = bits, bytearray(bits // 8)
+        held = np.frombuffer(self.bytes, np.uint8)
+        for r in bitmaps.collect():  # bits / 8 bytes at most for each filter among the rows
+            held[r["bucket"] * 4096 - 4096 : r["bucket"] * 4096] |= np.frombuffer(r["bitmap"], np.uint8)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         slot = h.astype(np.int64) % np.int64(self.bits)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Held, checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, repeats, sliced, with_flag
+from tidemark.llm.common import Held, checkpoint, connected_components, filter_bits, join_counted, map_arrow, member_filter, repeats, sliced
 from tidemark.llm.ngram_join import SKETCH, in_blocks, linked, most_unlike, sketches, verified
 from tidemark.llm.shingles import SHINGLE, MinHash, mix
 
@@ -181,6 +181,29 @@ _NAMES = ["o", "th", "grams", "start", "end", "before", "n_words", "node", "band
 _SIGNED = "o long, th long, grams array<int>, start array<int>, end array<int>, before array<int>, n_words array<int>, node array<binary>, bands array<long>, s0 array<long>, s1 array<long>"
 
 
+def _met(batches: Iterator[pa.RecordBatch], keys: Held, bands: int) -> Iterator[pa.RecordBatch]:
+    """A row for each band of a line that the filter may hold."""
+    for batch in batches:
+        node, s0, s1, key = (batch.column(c).flatten() for c in range(4))
+        at = np.nonzero(keys.of(key.to_numpy(zero_copy_only=False)))[0]
+        of = pa.array(at // bands)
+        yield pa.RecordBatch.from_arrays([node.take(of), s0.take(of), s1.take(of), key.take(pa.array(at))], ["node", "s0", "s1", "key"])
+
+
+_LINES = "o long, th long, start int, end int, before int, n_words int, node binary, short long"
+
+
+def _lines(batches: Iterator[pa.RecordBatch], shorts: Held) -> Iterator[pa.RecordBatch]:
+    """A row for each line whose node's number the filter may hold."""
+    names = ["o", "th", "start", "end", "before", "n_words", "node", "short"]
+    for batch in batches:
+        lists = [batch.column(c).flatten() for c in range(2, 8)]
+        at = np.nonzero(shorts.of(lists[-1].to_numpy(zero_copy_only=False)))[0]
+        ends = np.cumsum(batch.column(7).value_lengths().to_numpy(zero_copy_only=False))
+        of = pa.array(np.searchsorted(ends, at, side="right"))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in (0, 1)], *[x.take(pa.array(at)) for x in lists]], names)
+
+
 def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
     """A hash of each ``n`` successive ones, by doubling."""
     m = len(w) - n + 1
@@ -376,26 +399,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_grams, n_lines = sizes
 
     # paragraphs: nodes are equal words; those whose bands collide are linked where their sketches allow it
+    # filters go to tasks in Python, one after the other, and are destroyed once used: the driver holds one or two at a time
+    spark = source.sparkSession.sparkContext
     bits = filter_bits(n_lines * bands)
-    of = parts.select(F.posexplode(F.arrays_zip("node", "s0", "s1")).alias("i", "p"), "bands").select(F.xxhash64("p.node").alias("short"), "p.s0", "p.s1", F.explode(F.slice("bands", F.col("i") * bands + 1, F.lit(bands))).alias("key"))
-    likely = with_flag(of, F.col("key"), bits, repeats(parts.select("bands"), bits), "_met", 1).filter("_met").select("key", F.lit(0).cast("long").alias("deep"), "short", "s0", "s1").distinct()
-    comps = checkpoint(connected_components(linked(checkpoint(likely), n_lines * bands, 0, most_unlike(threshold))).withColumnRenamed("node", "_n"))
+    met = spark.broadcast(Held(repeats(parts.select("bands"), bits), bits))
+    of = map_arrow(parts.select("node", "s0", "s1", "bands"), lambda it: _met(it, met.value, bands), "node binary, s0 long, s1 long, key long")
+    likely = checkpoint(of.select("key", F.lit(0).cast("long").alias("deep"), F.xxhash64("node").alias("short"), "s0", "s1").distinct())
+    met.destroy()
+    comps = checkpoint(connected_components(linked(likely, n_lines * bands, 0, most_unlike(threshold))).withColumnRenamed("node", "_n"))
     # lines that have a copy, or a link: nodes of other lines have no part in what follows
     bits = filter_bits(n_lines)
-    lines = parts.select("o", "th", F.explode(F.arrays_zip("start", "end", "before", "n_words", "node")).alias("p")).select("o", "th", "p.*").withColumn("short", F.xxhash64("node"))
-    lines = with_flag(lines, F.col("short"), bits, repeats(parts.select(F.transform("node", lambda x: F.xxhash64(x))), bits), "_twice", 1)
-    lines = with_flag(lines, F.col("short"), bits, member_filter(comps, F.col("_n"), bits), "_linked").filter("_twice or _linked").drop("_twice", "_linked")
+    shorts = F.transform("node", lambda x: F.xxhash64(x)).alias("short")
+    again_or_linked = spark.broadcast(Held(repeats(parts.select(shorts), bits).unionByName(member_filter(comps, F.col("_n"), bits, 1)), bits))
+    every = parts.select("o", "th", "start", "end", "before", "n_words", "node", shorts)
+    lines = map_arrow(every, lambda it: _lines(it, again_or_linked.value), _LINES)
     first = F.min(F.struct("o", "th", "start"))
     nodes = checkpoint(lines.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), (F.max("n_words") - SHINGLE + 1).cast("long").alias("n_shingles")).withColumn("short", F.xxhash64("node")))
+    again_or_linked.destroy()
     members = checkpoint(comps.join(nodes.select("node", "short", "n_shingles"), F.col("_n") == F.col("short")).select("component", "node", "n_shingles"))
     members = checkpoint(in_blocks(members, n_lines))
 
     # the texts once more, for anchors that two documents may have and for lines of linked nodes
     gram_bits, node_bits = filter_bits(n_grams), filter_bits(n_lines)
-    spark = source.sparkSession.sparkContext
     grams = spark.broadcast(Held(repeats(parts.select("grams"), gram_bits), gram_bits))
     known = spark.broadcast(Held(member_filter(members, _start_of("node"), node_bits, 1), node_bits))
     again = checkpoint(map_arrow(source, lambda it: _again(it, grams.value, known.value, least), _AGAIN))
+    grams.destroy()
+    known.destroy()
     texts = again.select(F.explode("lines").alias("p")).groupBy("p.node").agg(F.min("p.text").alias("text")).withColumnRenamed("node", "_n")
     asked = texts.join(members, F.col("_n") == F.col("node")).withColumn("copies", F.lit(1))
     n_dealt = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
@@ -406,7 +436,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = nodes.join(near, F.col("node") == F.col("_n"), "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     roots = nodes.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).filter("all > 1").withColumnRenamed("root", "_r")
     kept = checkpoint(join_counted(nodes, roots, [("root", "_r")], "m", n_lines).select(F.col("node").alias("_n"), "keep", "n"))
-    maybe = with_flag(lines, F.xxhash64("node"), node_bits, member_filter(kept, F.xxhash64("_n"), node_bits), "_kept").filter("_kept")
+    kept_bits = filter_bits(4 * n_lines)
+    stays = spark.broadcast(Held(member_filter(kept, F.xxhash64("_n"), kept_bits, 1), kept_bits))
+    maybe = map_arrow(every, lambda it: _lines(it, stays.value), _LINES)
     gone = join_counted(maybe, kept, [("node", "_n")], "n", n_lines).filter(F.struct("o", "th", "start") > F.col("keep"))
     long = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
     gone = gone.select("o", "th", *long("start", "end"), F.col("before").cast("long").alias("word"), *long("n_words"), F.col("keep.o").alias("keep"))
@@ -427,6 +459,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = [spark.broadcast(Held(member_filter(ends, place(*at), end_bits, 1), end_bits)) for at in (("o", "th", "word"), ("ko", "kth", "kword"))]
     around = map_arrow(source, lambda it: _located(it, held[0].value, held[1].value, least), "o long, th long, word long, start long, end long, hashes binary, steps binary, is_end boolean, is_origin boolean")
     around = checkpoint(around)
+    for x in held:
+        x.destroy()
     there = ends.groupBy("ko", "kth", "kword").agg(F.count(F.lit(1)).alias("n"))
     origins = around.filter("is_origin").select(F.col("o").alias("_o"), F.col("th").alias("_th"), F.col("word").alias("_w"), F.col("hashes").alias("other"))
     # rows that repeat an id and a text are met once as an origin; as ends their equal spans are one in the end
