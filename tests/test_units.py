@@ -490,6 +490,25 @@ def test_snapshot_drops_untraded_and_forming(spark):
         feeds.snapshot(payload(spark, {"status": "NO", "tickers": [{"ticker": "A", "min": bar(60_000)}]}), "p", F.lit(150_000).cast("long")).collect()
 
 
+def test_similar_sets_against_brute_force(spark, monkeypatch):
+    """Exact at several thresholds; of sets that share frequent tokens alone hardly a pair leaves the join."""
+    import random
+
+    r = random.Random(4)
+    sets = {k: {f"t{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(1, 24))} for k in range(300)}
+    sets |= {300 + k: {*list(sets[k])[1:], "n"} for k in range(40)} | {400 + k: set(sets[k]) for k in range(20)}
+    monkeypatch.setattr(similarity, "BLOCK_SETS", 7, raising=False)
+    frame, asked = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "k long, t array<string>"), []
+    distinct = type(frame).distinct
+    monkeypatch.setattr(type(frame), "distinct", lambda self: asked.append(self.count()) or distinct(self))
+    for threshold in (0.3, 0.5, 0.8, 1.0):
+        want = {(a, b): round(len(x & y) / len(x | y), 9) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= threshold}
+        got = similarity.similar_sets(frame, "k", "t", threshold).collect()
+        assert {(x["a"], x["b"]): round(x["similarity"], 9) for x in got} == want and len(got) == len(want)
+        if threshold == 0.5:
+            assert asked[-1] < 12 * len(want), "each pair leaves the join once for each token in common at most, and few others do"
+
+
 def test_exchange_candles(spark):
     row = lambda t: [t, "1", "2", "0.5", "1.5", "1.2", "7.5", 3]
     p = payload(spark, {"error": [], "result": {"PAIR": [row(60), row(120), row(180)], "last": 120}})
@@ -504,6 +523,15 @@ ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">{}</fee
 ENTRY = """<entry><title>{f} - Firm {n} (000000000{n}) (Filer)</title><link rel="alternate" href="https://x/000000000{n}-24-00000{n}-index.htm"/><summary type="html">&lt;b&gt;Filed&lt;/b&gt; Item 1.01: a Item 9.01: b</summary><updated>2024-03-0{n}T10:00:00-05:00</updated><category term="{f}"/><id>urn:accession-number=000000000{n}-24-00000{n}</id></entry>"""
 
 
+def test_exchange_candles_of_a_long_response(spark):
+    """A response is read once, not once for each of its candles."""
+    rows = ", ".join(f'["{60 * t}", "1", "2", "0.5", "{t}", "1", "3", "4"]' for t in range(5))
+    got = feeds.exchange_ohlc(spark.createDataFrame([(f'{{"error": [], "result": {{"XY": [{rows}], "last": 180}}}}',)], "p string"), "p")
+    assert [int(x["close"]) for x in got.collect()] == [0, 1, 2, 3]
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "map_keys" not in above and "element_at" not in above
+
+
 def test_filings_stop_at_the_cursor_and_keep_the_family(spark):
     p = payload(spark, ATOM.format("".join(ENTRY.format(n=n, f=f) for n, f in ((4, "8-K"), (3, "S-8"), (2, "8-K/A"), (1, "8-K")))))
     rows = feeds.filings(p, "p", cursor="0000000001-24-000001").orderBy("position").collect()

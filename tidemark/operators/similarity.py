@@ -11,22 +11,47 @@ from tidemark.functions import text as X
 from tidemark.storage import checkpoint
 
 
+#: Bits of a set's signature: differing tokens flip one bit each, so signatures differ in no more bits than sets in tokens.
+SIGNATURE = 256
+#: Sets that one probe meets at once: longer lists of a token are cut, so that no task holds a frequent token alone.
+BLOCK_SETS = 1000
+
+
 def similar_sets(items: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b: pairs of sets whose Jaccard similarity reaches the threshold.
 
-    Prefix filtering: with tokens in order of rarity, two such sets share one of
-    their first size - ceil(threshold * size) + 1 tokens, so only these are
-    joined, and sizes must be within the threshold of each other. Exact.
+    Prefix filtering: with tokens in order of rarity and sets in order of size,
+    the lesser of two such sets has one of its first size - ceil(2 threshold /
+    (1 + threshold) * size) + 1 tokens, and the greater one of its first size -
+    ceil(threshold * size) + 1, in common with the other. Only these are joined,
+    and of what they join only pairs that could still reach the threshold leave
+    the join: by size, by the tokens that follow in both, and by the bits in
+    which their signatures differ. Exact.
     """
     sets = items.select(F.col(key).alias("k"), F.col(tokens).alias("t")).filter(F.size("t") > 0)
     rare = sets.select(F.explode("t").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     ranked = sets.select("k", F.explode("t").alias("x"), F.size("t").alias("size")).join(rare, "x")
-    ordered = ranked.groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
-    width = F.col("size") - F.ceil(F.col("size") * threshold).cast("int") + 1
-    prefix = ordered.select("k", "size", F.explode(F.slice("o", F.lit(1), width)).alias("p")).select("k", "size", F.col("p.x").alias("x"))
-    a, b = prefix.select(F.col("k").alias("a"), F.col("size").alias("sa"), "x"), prefix.select(F.col("k").alias("b"), F.col("size").alias("sb"), "x")
-    near = (F.col("a") < F.col("b")) & (F.col("sa") >= F.col("sb") * threshold) & (F.col("sb") >= F.col("sa") * threshold)
-    pairs = a.join(b, "x").filter(near).select("a", "b").distinct()
+    slot = F.pmod(F.xxhash64("x"), F.lit(SIGNATURE)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot % 64)
+    signature = [F.bit_xor(F.when(F.floor(slot / 64) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(SIGNATURE // 64)]
+    words = [f"w{w}" for w in range(SIGNATURE // 64)]
+    ordered = ranked.groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"), *signature)
+    size = F.col("size")
+    least = lambda share: size - F.ceil(size * share - 1e-9).cast("int") + 1
+    own = ["k", "size", *words]
+    wide = ordered.select(*own, F.posexplode(F.slice("o", F.lit(1), least(threshold))).alias("i", "p")).select(*own, (size - F.col("i") - 1).alias("after"), F.col("p.x").alias("x"), (F.col("i") < least(2 * threshold / (1 + threshold))).alias("short"))
+    lists = wide.filter("short").groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
+    dealt = wide.join(lists, "x")
+    a = dealt.filter("short").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    b = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    a, b = (side.select("x", "block", *[F.col(c).alias(f"{c}_{name}") for c in (*own, "after")]) for name, side in (("a", a), ("b", b)))
+    in_order = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("k_a") < F.col("k_b")))
+    both = F.col("size_a") + F.col("size_b")
+    unlike = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    near = in_order & (F.col("size_a") >= F.col("size_b") * threshold - 1e-9)
+    near = near & ((F.least("after_a", "after_b") + 1) * (1 + threshold) >= both * threshold - 1e-9)
+    near = near & (unlike * (1 + threshold) <= both * (1 - threshold) + 1e-9)
+    pairs = a.join(b, ["x", "block"]).filter(near).select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
     return both.withColumn("similarity", X.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
