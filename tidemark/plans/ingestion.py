@@ -174,7 +174,8 @@ def exchange_candles(spark, sf) -> DataFrame:
     price = F.round("value", 2).cast("decimal(18,2)").cast("string")
     candle = F.array(F.unix_seconds(F.date_trunc("minute", "ts").cast("timestamp")).cast("string"), price, price, price, price, price, F.lit("1.5"), F.lit("3"))
     last = F.lit('"last": 1706140800')
-    payloads = e.groupBy("pair", F.pmod("event_id", F.lit(8))).agg(F.concat(F.lit('{"error": [], "result": {"'), F.col("pair"), F.lit('": '), F.to_json(F.collect_list(candle)), F.lit(", "), last, F.lit("}}")).alias("p"))
+    # some 500 candles a response, as exchanges give no more than 720
+    payloads = e.groupBy("pair", F.floor(F.col("event_id") / 2048)).agg(F.concat(F.lit('{"error": [], "result": {"'), F.col("pair"), F.lit('": '), F.to_json(F.collect_list(candle)), F.lit(", "), last, F.lit("}}")).alias("p"))
     return feeds.exchange_ohlc(payloads, "p").select("pair", "ts", F.col("close").cast("double").alias("close"))
 
 

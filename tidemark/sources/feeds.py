@@ -199,7 +199,9 @@ def exchange_ohlc(payloads: DataFrame, column: str, interval_minutes: int = 1) -
     pairs = F.filter(F.map_keys("r"), lambda k: k != "last")
     last = _checked(F.element_at("r", F.lit("last")).cast("bigint"), (F.size(F.coalesce("error", F.array().cast("array<string>"))) == 0) & (F.size(pairs) == 1), "exchange response with errors or without exactly one pair")
     rows = F.from_json(F.element_at("r", F.get(pairs, F.lit(0))), "array<array<string>>")
-    c = p.select(last.alias("last"), F.get(pairs, F.lit(0)).alias("pair"), F.explode(rows).alias("c")).withColumn("t", F.get("c", F.lit(0)).cast("bigint")).filter("t <= last")
+    # what a whole response says is settled before its candles are rows: beside an explode it would be worked out, and the response copied, for each of them
+    whole = p.select(last.alias("last"), F.get(pairs, F.lit(0)).alias("pair"), rows.alias("rows"))
+    c = whole.select("last", "pair", F.explode("rows").alias("c")).withColumn("t", F.get("c", F.lit(0)).cast("bigint")).filter("t <= last")
     step = interval_minutes * 60
     t = _checked(F.col("t"), F.col("t") % step == 0, "a candle must begin with its interval")
     return c.select("pair", F.timestamp_seconds(t).cast("timestamp_ntz").alias("ts"), *[F.get("c", F.lit(i)).cast("decimal(18,6)").alias(v) for i, v in ((1, "open"), (2, "high"), (3, "low"), (4, "close"))], F.get("c", F.lit(6)).cast("decimal(20,4)").alias("volume"))
