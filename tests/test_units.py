@@ -509,6 +509,99 @@ def test_similar_sets_against_brute_force(spark, monkeypatch):
             assert asked[-1] < 12 * len(want), "each pair leaves the join once for each token in common at most, and few others do"
 
 
+def one_by_one(rows, edges, hours):
+    """item_id: (leader_id, similarity), all items in one list."""
+    near, start, last, ciks, by_hash, out, reach = {}, {}, {}, {}, {}, {}, dt.timedelta(hours=hours)
+    for a, b, s in edges:
+        near.setdefault(a, []).append((-s, b))
+        near.setdefault(b, []).append((-s, a))
+    for i, h, t, cik in sorted(rows, key=lambda r: (r[2] is None, r[2] or T0, r[0])):
+        free = lambda lead: cik is None or ciks[lead] in (None, cik)
+        lead, s = by_hash.get(h), 1.0
+        if lead is None or not free(lead):
+            found = [(s, o) for s, o in near.get(i, []) if o in start and None not in (t, start[o]) and t - start[o] <= reach and t - last[o] <= reach and free(o)]
+            s, lead = min(found) if found else (-1.0, i)
+            s = -s
+        if lead == i:
+            start[i], last[i], ciks[i] = t, t, None
+        last[lead], ciks[lead] = t if None not in (t, last[lead]) else last[lead], ciks[lead] or cik
+        if h is not None:
+            by_hash.setdefault(h, lead)
+        out[i] = (lead, round(s, 9))
+    return out
+
+
+def test_leaders_against_one_by_one(spark, monkeypatch):
+    """Sets, times and ciks by chance; pairs further apart in time than a leader stays open neither leave the join nor link groups."""
+    import random
+
+    r = random.Random(6)
+    sets = {i: {f"t{min(r.randrange(14), r.randrange(14))}" for _ in range(r.randrange(2, 6))} for i in range(240)}
+    when = {i: at(r.randrange(0, 600 * 60)) if i % 40 else None for i in sets}
+    rows = [(i, " ".join(sorted(sets[i])) if i % 17 else None, when[i], r.choice([None, None, "A", "B"])) for i in sets]
+    every = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    every = [e for e in every if e[2] >= 0.5]
+    items = spark.createDataFrame(rows, "item_id long, content_hash string, received_at timestamp_ntz, cik string")
+    frame = spark.createDataFrame([(i, sorted(sets[i]), when[i]) for i in sets], "k long, t array<string>, received_at timestamp_ntz")
+    asked, groups = [], similarity.groups
+    monkeypatch.setattr(similarity, "groups", lambda edges, *names: asked.append(edges.count()) or groups(edges, *names))
+    monkeypatch.setattr(similarity, "BLOCK_SETS", 7)
+    for hours, most in ((48, 0), (5, 10_000)):
+        close = {(a, b): round(s, 9) for a, b, s in every if when[a] and when[b] and abs(when[a] - when[b]) <= dt.timedelta(hours=hours)}
+        assert 0 < len(close) < len(every) / 4
+        want = one_by_one(rows, every, hours)
+        assert any(lead != i and s < 1 for i, (lead, s) in want.items())
+        got = similarity.leader_clusters(items, spark.createDataFrame(every, "a long, b long, similarity double"), hours).collect()
+        assert {x["item_id"]: (x["leader_id"], round(x["similarity"], 9)) for x in got} == want and len(got) == len(rows)
+        assert asked[-1] <= len(close)
+        monkeypatch.setattr(similarity, "SPAN_SETS", most, raising=False)
+        pairs = similarity.similar_sets(frame, "k", "t", 0.5, "received_at", hours).collect()
+        assert {(x["a"], x["b"]): round(x["similarity"], 9) for x in pairs} == close and len(pairs) == len(close)
+
+
+def test_leaders_of_equal_items(spark, monkeypatch):
+    """Most repeats of a content never meet the walk; those of a refused cik lead themselves, or join by an edge."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i, f"h{min(r.randrange(30), r.randrange(30))}" if i % 50 else None, at(r.randrange(0, 300 * 60)) if i % 60 else None, r.choice([None, None, "A", "B", "C"])) for i in range(600)]
+    when = {x[0]: x[2] for x in rows}
+    edges = sorted({(min(a, b), max(a, b), r.choice([0.5, 0.7, 0.9])) for a, b in (r.sample(range(600), 2) for _ in range(900))})
+    edges = [e for i, e in enumerate(edges) if i == 0 or e[:2] != edges[i - 1][:2]]
+    items = spark.createDataFrame(rows, "item_id long, content_hash string, received_at timestamp_ntz, cik string")
+    asked, walk = [], type(items).mapInPandas
+    monkeypatch.setattr(type(items), "mapInPandas", lambda self, *a, **b: asked.append(self.count()) or walk(self, *a, **b))
+    for some in (edges, edges[:40]):
+        got = similarity.leader_clusters(items, spark.createDataFrame(some, "a long, b long, similarity double")).collect()
+        want = one_by_one(rows, some, 48)
+        assert {x["item_id"]: (x["leader_id"], round(x["similarity"], 9)) for x in got} == want and len(got) == len(rows)
+        assert any(lead != i and s < 1 for i, (lead, s) in want.items()) or not [e for e in some if when[e[0]] and when[e[1]]]
+    assert asked[-1] < 250
+
+
+def test_leaders_of_pages_against_sql(spark, tmp_path, monkeypatch):
+    """Near titles within and beyond 48 hours, pages without a title and pages without html."""
+    import random
+
+    import duckdb
+    from parity import differences
+
+    from tidemark.plans import registry
+
+    r = random.Random(7)
+    words = ["ocean", "river", "stone", "amber", "light", "north"]
+    title = lambda i: f"<html><title>{' '.join(r.choices(words, k=4))}</title>" if i % 29 else "<p>none</p>"
+    rows = [(i, "u", None if i % 31 == 0 else title(i)) for i in sorted(r.sample(range(3000), 250))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    asked, leaders = [], similarity.leader_clusters
+    monkeypatch.setattr(similarity, "leader_clusters", lambda items, edges, *hours: asked.append(edges.filter("b - a > 192").count()) or leaders(items, edges, *hours))
+    got = registry.QUERIES["leader_clusters"](spark, str(tmp_path))
+    assert differences(got, con, registry.ORACLES["leader_clusters"]) == "" and got.filter("similarity < 1").count() > 5
+    assert asked == [0], "titles too far apart in time to share a story make no pair"
+
+
 def test_exchange_candles(spark):
     row = lambda t: [t, "1", "2", "0.5", "1.5", "1.2", "7.5", 3]
     p = payload(spark, {"error": [], "result": {"PAIR": [row(60), row(120), row(180)], "last": 120}})

@@ -11,6 +11,7 @@ from tidemark.functions import text as X
 from tidemark.operators import entity, similarity
 from tidemark.plans.sql import with_views
 from tidemark.sources import views as V
+from tidemark.storage import checkpoint
 
 QUERIES, ORACLES = {}, {}
 
@@ -112,11 +113,11 @@ SELECT i AS item_id, lead AS leader_id, round(sim, 6) AS similarity FROM st WHER
 def leader_clusters(spark, sf) -> DataFrame:
     """Pages as news items, a quarter of an hour apart, clustered in order of arrival."""
     p = V.table(spark, sf, "pages").select(F.col("page_id").alias("item_id"), X.normalised(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
-    first = p.groupBy("title").agg(F.min("item_id").alias("first")).withColumnRenamed("title", "_t")
-    named = p.join(first, F.col("title") == F.col("_t"))
-    t = named.filter("title <> ''").select("first", "title").distinct().withColumn("g", X.trigrams(F.col("title")))
-    pairs = similarity.similar_sets(t, "first", "g", C.SIMILARITY)
-    items = named.select("item_id", F.sha2("title", 256).alias("content_hash"), (F.lit(V.EPOCH).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("item_id").cast("int") * 15)).alias("received_at"), F.when(F.col("item_id") % 9 == 0, F.col("item_id") % 27).alias("cik"))
+    p = checkpoint(p)
+    received = lambda i: F.lit(V.EPOCH).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col(i).cast("int") * 15)
+    t = checkpoint(p.filter("title <> ''").groupBy("title").agg(F.min("item_id").alias("first"))).select("first", X.trigrams(F.col("title")).alias("g"), received("first").alias("at"))
+    pairs = similarity.similar_sets(t, "first", "g", C.SIMILARITY, at="at")
+    items = p.select("item_id", F.sha2("title", 256).alias("content_hash"), received("item_id").alias("received_at"), F.when(F.col("item_id") % 9 == 0, F.col("item_id") % 27).alias("cik"))
     return similarity.leader_clusters(items, pairs).select("item_id", "leader_id", r6("similarity").alias("similarity"))
 
 

@@ -35,6 +35,6 @@ def attach(batch: DataFrame, members: DataFrame, now: Column, hours: int = C.CLU
     fields = ["item_id", "title", "content_hash", "received_at", "cik"]
     new = batch.join(members.select("item_id"), "item_id", "left_anti").select(*fields)
     every = open_leaders(members, now, hours).select(*fields).unionByName(new)
-    pairs = similarity.similar_sets(every.withColumn("g", X.trigrams(F.col("title"))), "item_id", "g", threshold)
+    pairs = similarity.similar_sets(every.withColumn("g", X.trigrams(F.col("title"))), "item_id", "g", threshold, "received_at", hours)
     got = similarity.leader_clusters(every.select("item_id", "content_hash", "received_at", "cik"), pairs, hours)
     return got.join(new.select("item_id"), "item_id", "left_semi")
